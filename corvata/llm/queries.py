@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corvata.llm import language, quality
 from corvata.llm.decontaminate import decontaminate
 
 
@@ -37,6 +38,25 @@ FROM low l LEFT JOIN hit h USING (doc_id) LEFT JOIN ids i USING (doc_id)
 """
 
 
+def crc(column: str, mod: int):
+    return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit(""))) % mod
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language.fit(docs.where(crc("doc_id", 4) != 2))
+    found = language.identify(docs.select("doc_id", "text", (crc("doc_id", 4) == 2).alias("held_out")), model)
+    return found.select("row.doc_id", "row.held_out", "lang_pred", "score")
+
+
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
+    model = quality.fit(docs, labels.where(crc("doc_id", 3) != 1))
+    found = quality.score(docs.withColumn("held_out", crc("doc_id", 3) == 1), model)
+    return found.select("row.doc_id", "row.held_out", "score", "predicted")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 

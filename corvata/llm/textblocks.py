@@ -32,7 +32,7 @@ class Block:
         return np.diff(self.offs)
 
 
-def blocks(column: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[Block]:
+def blocks(column: pa.Array, limit: int = BLOCK_BYTES, rows: int = 1 << 16) -> Iterator[Block]:
     """Cut an Arrow string column into blocks of whole texts; a null is an empty text."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
@@ -47,7 +47,7 @@ def blocks(column: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[Block]:
     i = 0
     while i < n:
         j = int(np.searchsorted(offs, offs[i] + limit, side="right")) - 1
-        j = min(n, max(j, i + 1))
+        j = min(n, i + rows, max(j, i + 1))
         yield Block(i, data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], null[i:j])
         i = j
 
