@@ -7,7 +7,7 @@ whose cosine distance is over the radius learned for that language is marked rej
 
 Defined results: a null text or one without letters is ``und`` with score 0 and rejected; with
 nothing learned every text is ``und``; ties between languages go to the first in sort order.
-Training rows with a null language are skipped. All columns of the input ride along in ``row``.
+Training rows with a null text, language or key are skipped. All columns of the input ride along in ``row``.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corvata.llm.spool import spool
 from corvata.llm.textblocks import LOWER, Block, blocks
 
 DIMS = 4096
@@ -95,10 +96,12 @@ def train(langs: list[str], counts: np.ndarray, clusters: int = CLUSTERS, seed:
 
 def fit(rows: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", per_language: int = SAMPLE_PER_LANGUAGE, clusters: int = CLUSTERS, seed: int = 7) -> Model | None:
     """Learn from a hashed sample of about per_language rows of each language; None without rows."""
-    rows = rows.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("string").alias("key"), F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text"))
-    sizes = rows.groupBy("lang").count()
-    share = F.pmod(F.xxhash64(F.lit(seed), F.coalesce("key", F.lit(""))), F.lit(1_000_000)) / 1_000_000.0
-    sample = rows.join(sizes, "lang").where(share < F.lit(float(per_language)) / F.col("count")).select("lang", "text")
+    rows = rows.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(key).isNotNull()).select(F.col(key).cast("string").alias("key"), F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text"))
+    keys = rows.select("key", "lang")
+    share = F.pmod(F.xxhash64(F.lit(seed), "key"), F.lit(1_000_000)) / 1_000_000.0
+    chosen = keys.join(keys.groupBy("lang").count(), "lang").where(share < F.lit(float(per_language)) / F.col("count")).select("key", "lang").distinct()
+    chosen, _ = spool(chosen, "language-sample")  # its size is then known, so the texts need not be shuffled to join it
+    sample = rows.join(chosen, ["key", "lang"]).select("lang", "text")
 
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
