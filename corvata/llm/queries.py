@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvata.llm import html_main, language, quality
+from corvata.llm import chat, html_main, language, mixing, quality
 from corvata.llm.decontaminate import decontaminate
 
 
@@ -42,6 +42,61 @@ def crc(column: str, mod: int):
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit(""))) % mod
 
 
+MIX_WEIGHTS = {"dom0": 4, "dom1": 3, "dom2": 2, "dom3": 1, "unknown": 1, "*/en": 4, "*/fr": 3, "*/de": 3, "*/es": 2, "*/*/src0": 2}
+
+
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    mixed = mixing.mix(docs, mixing.domain_of_source(F.col("source")), MIX_WEIGHTS)
+    return mixed.select("row.doc_id", "domain", "lang", "source", "epoch", "n_tokens", "take_tokens")
+
+
+def _fill_sql(name: str, rows: str, parent: str, order: str) -> str:
+    return f"""
+{name}_a AS (SELECT *, coalesce(sum(cap) OVER ({parent} ORDER BY CAST(cap AS DOUBLE) / w, {order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below, sum(w) OVER ({parent} ORDER BY CAST(cap AS DOUBLE) / w, {order} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS lft FROM {rows}),
+{name}_b AS (SELECT *, cap * lft <= (budget - below) * w AS sat FROM {name}_a),
+{name}_c AS (SELECT *, budget - coalesce(sum(CASE WHEN sat THEN cap END) OVER ({parent}), 0) AS rest, CASE WHEN sat THEN 0 ELSE w END AS w0 FROM {name}_b),
+{name}_d AS (SELECT *, sum(w0) OVER ({parent}) AS ws, sum(w0) OVER ({parent} ORDER BY CAST(cap AS DOUBLE) / w, {order} ROWS UNBOUNDED PRECEDING) AS wu FROM {name}_c),
+{name} AS (SELECT *, CASE WHEN sat THEN cap ELSE (rest * wu) // ws - (rest * (wu - w0)) // ws END AS got FROM {name}_d)"""
+
+
+OP3_SQL = r"""
+WITH base AS (SELECT doc_id, coalesce('dom' || CAST(CAST(nullif(regexp_extract(source, '([0-9]{1,9})$', 1), '') AS BIGINT) % 4 AS VARCHAR), 'unknown') AS domain, coalesce(lang, 'unknown') AS lang, coalesce(source, 'unknown') AS source,
+              CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS HUGEINT) AS n FROM documents),
+doc AS (SELECT * FROM base WHERE n > 0),
+leaf AS (SELECT domain, lang, source, sum(n) AS tokens, count(*) AS docs,
+         CASE domain WHEN 'dom0' THEN 4 WHEN 'dom1' THEN 3 WHEN 'dom2' THEN 2 ELSE 1 END AS w1, CASE lang WHEN 'en' THEN 4 WHEN 'fr' THEN 3 WHEN 'de' THEN 3 WHEN 'es' THEN 2 ELSE 1 END AS w2, CASE source WHEN 'src0' THEN 2 ELSE 1 END AS w3 FROM doc GROUP BY domain, lang, source),
+r1 AS (SELECT domain, CAST(sum(tokens) * 3 AS HUGEINT) AS cap, CAST(first(w1) AS HUGEINT) AS w, CAST(sum(sum(tokens)) OVER () AS HUGEINT) * 3 // 5 AS budget FROM leaf GROUP BY domain),""" + _fill_sql("l1", "r1", "", "domain") + """,
+r2 AS (SELECT domain, lang, cap, w, got AS budget FROM (SELECT domain, lang, CAST(sum(tokens) * 3 AS HUGEINT) AS cap, CAST(first(w2) AS HUGEINT) AS w FROM leaf GROUP BY domain, lang) JOIN (SELECT domain, got FROM l1) USING (domain)),""" + _fill_sql("l2", "r2", "PARTITION BY domain", "lang") + """,
+r3 AS (SELECT domain, lang, source, tokens, cap, w, got AS budget FROM (SELECT domain, lang, source, tokens, CAST(tokens * 3 AS HUGEINT) AS cap, CAST(w3 AS HUGEINT) AS w FROM leaf) JOIN (SELECT domain, lang, got FROM l2) USING (domain, lang)),""" + _fill_sql("l3", "r3", "PARTITION BY domain, lang", "source") + """,
+plan AS (SELECT domain, lang, source, got // tokens AS whole, got % tokens AS rest FROM l3 WHERE got > 0),
+rows_ AS (SELECT d.*, whole, rest, sum(n) OVER (PARTITION BY domain, lang, source ORDER BY md5('17|' || CAST(whole AS VARCHAR) || '|' || coalesce(CAST(doc_id AS VARCHAR), '')), n ROWS UNBOUNDED PRECEDING) - n AS start FROM doc d JOIN plan USING (domain, lang, source))
+SELECT doc_id, domain, lang, source, CAST(unnest(range(CAST(whole AS BIGINT))) AS BIGINT) AS epoch, CAST(n AS BIGINT) AS n_tokens, CAST(n AS BIGINT) AS take_tokens FROM rows_
+UNION ALL
+SELECT doc_id, domain, lang, source, CAST(whole AS BIGINT), CAST(n AS BIGINT), CAST(least(n, rest - start) AS BIGINT) FROM rows_ WHERE start < rest
+"""
+
+
+def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shown = chat.rotate(table(spark, sf_dir, "conversations"))
+    spans = F.array_join(F.transform("spans", lambda s: F.concat(s["start"].cast("string"), F.lit("-"), s["end"].cast("string"))), ",")
+    return shown.withColumn("mask", spans).drop("spans")
+
+
+OP4_SQL = r"""
+WITH t AS (SELECT conv_id, CAST(coalesce(floor(turn / 512.0), 4611686018427387904) AS BIGINT) AS segment, turn, regexp_replace(coalesce(role, 'unknown'), '\s', '_', 'g') AS role, replace(coalesce(text, ''), '<|', '<' || chr(8203) || '|') AS text FROM conversations),
+n AS (SELECT *, row_number() OVER (PARTITION BY conv_id, segment ORDER BY turn NULLS LAST, role, text) AS n FROM t),
+p AS (SELECT *, (n - 1) // 512 AS page FROM n),
+who AS (SELECT DISTINCT conv_id, role AS participant FROM t WHERE role <> 'system'),
+h AS (SELECT p.*, w.participant, p.role = w.participant AS own, '<|im_start|>' || CASE WHEN p.role = w.participant THEN 'assistant' WHEN p.role = 'system' THEN 'system' ELSE 'user name=' || p.role END || chr(10) AS head FROM p JOIN who w USING (conv_id)),
+c AS (SELECT *, head || text || '<|im_end|>' || chr(10) AS piece FROM h),
+e AS (SELECT *, sum(length(piece)) OVER (PARTITION BY conv_id, segment, page, participant ORDER BY n ROWS UNBOUNDED PRECEDING) AS stop FROM c)
+SELECT conv_id, segment, page, participant, count(*) AS n_turns, count(*) FILTER (own) AS n_targets, string_agg(piece, '' ORDER BY n) AS text,
+       coalesce(string_agg(CAST(CAST(stop - length(piece) + length(head) AS BIGINT) AS VARCHAR) || '-' || CAST(CAST(stop - 1 AS BIGINT) AS VARCHAR), ',' ORDER BY n) FILTER (own), '') AS mask
+FROM e GROUP BY conv_id, segment, page, participant
+"""
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = language.fit(docs.where(crc("doc_id", 4) != 2))
@@ -66,4 +121,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_benchmark_decontamination": OP6_SQL}
+    return {"op3_mixing": OP3_SQL, "op4_chat_formatting": OP4_SQL, "op6_benchmark_decontamination": OP6_SQL}
