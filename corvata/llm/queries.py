@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvata.llm import chat, html_main, language, mixing, quality
+from corvata.llm import chat, html_main, language, mixing, quality, topk
 from corvata.llm.decontaminate import decontaminate
 
 
@@ -42,6 +42,17 @@ def crc(column: str, mod: int):
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit(""))) % mod
 
 
+def op2_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), 20, F.col("vec_id") % 20 == 0)
+
+
+OP2_SQL = """
+WITH ok AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 64) AS DOUBLE)) AS v, row_number() OVER () AS r FROM embeddings
+            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, q.r AS qr, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score FROM ok q JOIN ok c ON q.r <> c.r WHERE q.vec_id % 20 = 0)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY qr ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 20
+"""
+
 MIX_WEIGHTS = {"dom0": 4, "dom1": 3, "dom2": 2, "dom3": 1, "unknown": 1, "*/en": 4, "*/fr": 3, "*/de": 3, "*/es": 2, "*/*/src0": 2}
 
 
@@ -121,4 +132,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mixing": OP3_SQL, "op4_chat_formatting": OP4_SQL, "op6_benchmark_decontamination": OP6_SQL}
+    return {"op2_topk_search": OP2_SQL, "op3_mixing": OP3_SQL, "op4_chat_formatting": OP4_SQL, "op6_benchmark_decontamination": OP6_SQL}
