@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvata.llm import chat, html_main, language, mixing, quality, topk
+from corvata.llm import cdc, chat, html_main, language, mixing, quality, topk
 from corvata.llm.decontaminate import decontaminate
 
 
@@ -108,6 +108,11 @@ FROM e GROUP BY conv_id, segment, page, participant
 """
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = cdc.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select("row.doc_id", "n_bytes", "n_removed", F.size("removed").cast("long").alias("n_spans"), "n_repeated_chunks", "kept_sha256", F.col("kept").alias("text"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = language.fit(docs.where(crc("doc_id", 4) != 2))
