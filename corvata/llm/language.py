@@ -99,7 +99,8 @@ def fit(rows: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
     rows = rows.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(key).isNotNull()).select(F.col(key).cast("string").alias("key"), F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text"))
     keys = rows.select("key", "lang")
     share = F.pmod(F.xxhash64(F.lit(seed), "key"), F.lit(1_000_000)) / 1_000_000.0
-    chosen = keys.join(keys.groupBy("lang").count(), "lang").where(share < F.lit(float(per_language)) / F.col("count")).select("key", "lang").distinct()
+    sizes, _ = spool(keys.groupBy("lang").count(), "language-sizes")  # a row by language, of known size: no hot language meets in a task
+    chosen = keys.join(sizes, "lang").where(share < F.lit(float(per_language)) / F.col("count")).select("key", "lang").distinct()
     chosen, _ = spool(chosen, "language-sample")  # its size is then known, so the texts need not be shuffled to join it
     sample = rows.join(chosen, ["key", "lang"]).select("lang", "text")
 
