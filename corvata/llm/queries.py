@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvata.llm import cdc, chat, html_main, language, mixing, quality, topk
+from corvata.llm import cdc, chat, html_main, language, mixing, quality, suffixes, topk
 from corvata.llm.decontaminate import decontaminate
 
 
@@ -42,6 +42,11 @@ def crc(column: str, mod: int):
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit(""))) % mod
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = suffixes.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select("row.doc_id", "n_bytes", "n_removed", F.size("removed").cast("long").alias("n_spans"), "kept_sha256")
+
+
 def op2_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), 20, F.col("vec_id") % 20 == 0)
 

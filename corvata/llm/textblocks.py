@@ -130,3 +130,14 @@ def words(block: Block, separator: np.ndarray = SPACE) -> tuple[np.ndarray, np.n
 
 def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64) if x.dtype == U64 else x.astype(np.int64)
+
+
+def firsts(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, group starts): rows sorted by the columns, the first one leading, ties as they stand."""
+    order = np.lexsort(columns[::-1])
+    new = np.zeros(len(order), bool)
+    new[:1] = True
+    for c in columns:
+        x = c[order]
+        new[1:] |= x[1:] != x[:-1]
+    return order, np.flatnonzero(new)
