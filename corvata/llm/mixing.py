@@ -13,7 +13,8 @@ documents, bucket totals are summed along the leaf, and only inside a bucket are
 Defined results: tokens are runs of non-white-space characters; a document without tokens is never
 taken; a null domain, language or source is the child ``unknown``; a weight of 0 or less excludes a
 child; a budget beyond what all epochs give takes everything. Rows that repeat a key are rows of
-their own. All columns of the input ride along in ``row``.
+their own. All columns of the input but the text ride along
+in ``row``; ``with_text`` adds the texts that were taken.
 """
 
 from __future__ import annotations
@@ -73,29 +74,40 @@ def plan(leaves: DataFrame, weights: dict[str, int], budget: int | None, share:
 
 
 def mix(docs: DataFrame, domain: Column, weights: dict[str, int], key: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source", budget: int | None = None, share: tuple[int, int] = (3, 5), epochs: int = 3, seed: int = 17) -> DataFrame:
-    """Columns: row (struct of all columns), domain, lang, source, epoch, n_tokens, take_tokens."""
+    """Columns: row (struct of all columns but the text), key, hash (of the text), domain, lang, source, epoch, n_tokens, take_tokens."""
     unknown = F.lit("unknown")
+    rest = [c for c in docs.columns if c != text]
     base = docs.select(
-        F.struct("*").alias("row"), F.coalesce(F.col(key).cast("string"), F.lit("")).alias("key"), F.coalesce(domain, unknown).alias("domain"),
+        F.struct(*[F.col(f"`{c}`") for c in rest]).alias("row"), F.coalesce(F.col(key).cast("string"), F.lit("")).alias("key"), F.xxhash64(text).alias("hash"), F.coalesce(domain, unknown).alias("domain"),
         F.coalesce(F.col(lang).cast("string"), unknown).alias("lang"), F.coalesce(F.col(source).cast("string"), unknown).alias("source"), F.coalesce(F.regexp_count(F.col(text).cast("string"), F.lit(TOKEN)), F.lit(0)).cast("long").alias("n_tokens"),
-    ).where("n_tokens > 0")
+    )
+    base, _ = spool(base, "token-counts")  # texts are read once; what follows works on short rows
+    base = base.where("n_tokens > 0")
     leaves, _ = spool(base.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("docs")), "leaves")
     got = plan(leaves, weights, budget, share, epochs).where("got > 0").select(*LEVELS, F.expr("got div tokens").alias("whole"), F.expr("got % tokens").alias("rest"), F.expr("greatest(1, docs div %d)" % BUCKET).alias("buckets"))
     got, _ = spool(got, "leaf-budgets")  # one row by leaf; its size is known to Catalyst
     rows = base.join(got, list(LEVELS))
-    cols = ["row", *LEVELS, "epoch", "n_tokens", "take_tokens"]
+    cols = ["row", "key", "hash", *LEVELS, "epoch", "n_tokens", "take_tokens"]
     full = rows.where("whole > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("whole") - 1))).withColumn("take_tokens", F.col("n_tokens")).select(*cols)
     digest = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("whole").cast("string"), F.col("key")))
     part = rows.where("rest > 0").withColumn("digest", digest).withColumn("bucket", F.expr("cast(conv(substr(digest, 1, 8), 16, 10) as bigint) * buckets div 4294967296"))
     leaf_bucket = [*LEVELS, "bucket"]
     sums = part.groupBy(*leaf_bucket).agg(F.sum("n_tokens").alias("in_bucket"))
     before = sums.withColumn("before", F.coalesce(F.sum("in_bucket").over(Window.partitionBy(*LEVELS).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("in_bucket")
-    inside = Window.partitionBy(*leaf_bucket).orderBy("digest", "n_tokens", F.xxhash64("row")).rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(*leaf_bucket).orderBy("digest", "n_tokens", "hash", F.xxhash64("row")).rowsBetween(Window.unboundedPreceding, -1)
     part = part.join(before, leaf_bucket).where("before < rest").withColumn("start", F.col("before") + F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))).where("start < rest")
     part = part.withColumn("epoch", F.col("whole")).withColumn("take_tokens", F.least("n_tokens", F.col("rest") - F.col("start"))).select(*cols)
     return full.unionByName(part)
 
 
+def with_text(mixed: DataFrame, docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Add text, the tokens taken of it. Texts are shuffled once, to where their rows are."""
+    identity = [F.coalesce(F.col(key).cast("string"), F.lit("")).alias("key"), F.xxhash64(text).alias("hash")]
+    texts = docs.select(*identity, F.col(text).cast("string").alias("text"))
+    texts = texts.withColumn("copy", F.row_number().over(Window.partitionBy("key", "hash").orderBy(F.lit(0)))).where("copy = 1").drop("copy")
+    return mixed.join(texts, ["key", "hash"]).withColumn("text", F.when(F.col("take_tokens") < F.col("n_tokens"), token_prefix(F.col("text"), F.col("take_tokens"))).otherwise(F.col("text")))
+
+
 def token_prefix(text: Column, tokens: Column) -> Column:
     """The text up to the end of its token of that number, white space before it as it stands."""
     return F.array_join(F.slice(F.regexp_extract_all(text, F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0)), F.lit(1), tokens.cast("int")), "")
