@@ -201,7 +201,11 @@ def _classes(met: DataFrame) -> DataFrame:
     return met.join(ranks, "rank")
 
 
-def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _finisher(as_text: bool):
+    return lambda batches: _finish(batches, as_text)
+
+
+def _finish(batches: Iterator[pa.RecordBatch], as_text: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts, size, gone, spans, sha = [], [], [], [], []
         for t, f in zip(batch["text"], batch["found"], strict=True):
@@ -217,13 +221,13 @@ def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 kept.append(data[at:s])
                 at = e
             left = b"".join([*kept, data[at:]])
-            texts.append(left)
+            texts.append(left.decode("utf-8", "ignore") if as_text else left)
             size.append(len(data))
             gone.append(len(data) - len(left))
             spans.append([{"start": s, "end": e} for s, e in removed])
             sha.append(hashlib.sha256(left).hexdigest())
         span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-        cols = [batch["row"], pa.array(texts, pa.binary()), pa.array(size, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, span), pa.array(sha, pa.string())]
+        cols = [batch["row"], pa.array(texts, pa.string() if as_text else pa.binary()), pa.array(size, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, span), pa.array(sha, pa.string())]
         yield pa.RecordBatch.from_arrays(cols, names=["row", "kept", "n_bytes", "n_removed", "removed", "kept_sha256"])
 
 
@@ -265,10 +269,10 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: in
     return out
 
 
-def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, seed: int | None = None) -> DataFrame:
-    """Columns: row (struct of all columns), kept (bytes), n_bytes, n_removed, removed (byte spans), kept_sha256."""
+def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, seed: int | None = None, as_text: bool = False) -> DataFrame:
+    """Columns: row (struct of all columns), kept (bytes, or as text without characters cut in two), n_bytes, n_removed, removed (byte spans), kept_sha256."""
     by_doc = repeats(docs, key, text, length, seed).groupBy("key", "hash").agg(F.collect_list(F.struct("start", "end")).alias("found"))
     k, t = F.coalesce(F.col(key).cast("long"), F.lit(NULL_KEY)), F.col(text).cast("string")
     state = docs.select(F.struct("*").alias("row"), k.alias("key"), F.xxhash64(F.col(key).cast("long"), t).alias("hash"), t.alias("text")).join(by_doc, ["key", "hash"], "left").select("row", "text", "found")
-    schema = state.select("row", F.lit(b"").alias("kept"), F.lit(0).cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("removed"), F.lit("").alias("kept_sha256")).schema
-    return state.mapInArrow(_finish, schema)
+    schema = state.select("row", F.lit("" if as_text else b"").alias("kept"), F.lit(0).cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("removed"), F.lit("").alias("kept_sha256")).schema
+    return state.mapInArrow(_finisher(as_text), schema)
