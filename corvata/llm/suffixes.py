@@ -33,9 +33,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvata.llm.spool import spool
-from corvata.llm.textblocks import U64, Block, Fingerprint, blocks, firsts, mix, signed
+from corvata.llm.textblocks import U64, Block, Fingerprint, blocks, firsts, mix, pieces, signed
 
 LENGTH, SEED = 400, 64
+#: Bytes of text looked at at once: a worker needs about 150 times as much.
+RANGE_BYTES = 1 << 19
 #: A range's place holds its first window, its number of windows less one, and its anchor in it.
 _BITS = 12
 NULL_KEY = -(2**63)
@@ -98,7 +100,7 @@ def _find_ranges(length: int, seed: int):
         """n > 0: a range, and how many equal ones the block has (2 for more); else -n bytes from place on are settled."""
         for batch in batches:
             keys, hashes = batch["key"].to_numpy(), batch["hash"].to_numpy()
-            for b in blocks(batch["text"]):
+            for b in blocks(batch["text"], RANGE_BYTES):
                 doc, lo, hi, a, rank, one, two = ranges(b, length, seed)
                 if not len(doc):
                     continue
@@ -122,7 +124,7 @@ def _cut_snippets(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Each unsettled range's bytes: before of them stand left of the anchor; distances low to high of window starts to it."""
         mask = (1 << _BITS) - 1
-        for batch in batches:
+        for batch in (p for x in batches for p in pieces(x, "text")):
             cols: list[list] = [[] for _ in range(9)]
             for text, key, h, found in zip(batch["text"], batch["key"], batch["hash"], batch["found"], strict=True):
                 data = text.as_py().encode("utf-8", "surrogatepass")
@@ -144,9 +146,7 @@ def _make_cells(length: int, seed: int, wide: int, parent: int | None):
     top = length - seed  # the largest distance
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in (p for x in batches for p in (x.slice(i, 512) for i in range(0, x.num_rows, 512))):
             snip = batch["bytes"].to_pylist()
             data = np.frombuffer(b"".join(snip), np.uint8)
             base = np.concatenate([[0], np.cumsum([len(s) for s in snip])[:-1]]).astype(np.int64)
@@ -206,7 +206,7 @@ def _finisher(as_text: bool):
 
 
 def _finish(batches: Iterator[pa.RecordBatch], as_text: bool) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in (p for x in batches for p in pieces(x, "text")):
         texts, size, gone, spans, sha = [], [], [], [], []
         for t, f in zip(batch["text"], batch["found"], strict=True):
             data = (t.as_py() or "").encode("utf-8", "surrogatepass")

@@ -52,6 +52,12 @@ def blocks(column: pa.Array, limit: int = BLOCK_BYTES, rows: int = 1 << 16) -> I
         i = j
 
 
+def pieces(batch: pa.RecordBatch, column: str, limit: int = BLOCK_BYTES, rows: int = 1 << 16) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of whole rows with about limit bytes of a text column each."""
+    for b in blocks(batch[column], limit, rows):
+        yield batch.slice(b.first, b.n)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """The 64-bit finalizer of splitmix64, elementwise."""
     x = x ^ (x >> U64(30))
