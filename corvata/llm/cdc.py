@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvata.llm.spool import spool
-from corvata.llm.textblocks import U64, Block, Fingerprint, blocks, mix, signed
+from corvata.llm.textblocks import U64, Block, Fingerprint, blocks, mix, pieces, signed
 
 WINDOW, ZERO_BITS, GAP, MAX_CHUNK, MIN_RUN = 16, 4, 16, 512, 80
 
@@ -139,7 +139,7 @@ def cut_out(data: bytes, removed: list[tuple[int, int]]) -> bytes:
 
 
 def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in (p for x in batches for p in pieces(x, "text")):
         texts, size, gone, spans, reps, sha = [], [], [], [], [], []
         for t, f in zip(batch["text"], batch["found"], strict=True):
             data = (t.as_py() or "").encode("utf-8", "surrogatepass")
