@@ -40,15 +40,17 @@ def rotate(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: st
     """Columns: conv_id, segment, page, participant, n_turns, n_targets, text, spans."""
     name = F.regexp_replace(F.coalesce(F.col(role).cast("string"), F.lit("unknown")), r"\s", "_")
     rows = turns.select(
-        F.col(conv).alias("conv_id"), F.when(F.col(conv).isNull(), F.monotonically_increasing_id()).otherwise(-1).alias("alone"), F.coalesce(F.floor(F.col(turn) / segment), F.lit(2**62)).cast("long").alias("segment"),
+        F.col(conv).alias("conv_id"), F.coalesce(F.floor(F.col(turn) / segment), F.lit(2**62)).cast("long").alias("segment"),
         F.col(turn).alias("turn"), name.alias("role"), F.replace(F.coalesce(F.col(text).cast("string"), F.lit("")), F.lit("<|"), F.lit("<​|")).alias("text"),
     )
-    keys = ["conv_id", "alone", "segment"]
+    spoken = ~F.col("role").isin(*system)
+    keys = ["conv_id", "segment"]
     order = Window.partitionBy(*keys).orderBy(F.col("turn").asc_nulls_last(), "role", "text")
-    paged = rows.withColumn("n", F.row_number().over(order)).withColumn("page", F.expr(f"cast((n - 1) div {segment} as bigint)"))
+    paged = rows.where("conv_id is not null").withColumn("n", F.row_number().over(order)).withColumn("page", F.expr(f"cast((n - 1) div {segment} as bigint)"))
     grouped = paged.groupBy(*keys, "page").agg(F.array_sort(F.collect_list(F.struct("n", "role", "text"))).alias("turns"))
-    who = rows.where(~F.col("role").isin(*system)).select("conv_id", "alone", F.col("role").alias("participant")).distinct()
-    both = grouped.join(who.withColumnRenamed("conv_id", "_c").withColumnRenamed("alone", "_a"), F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("alone") == F.col("_a")))
+    who = rows.where("conv_id is not null").where(spoken).select("conv_id", F.col("role").alias("participant")).distinct()
+    alone = rows.where("conv_id is null").where(spoken).select("conv_id", "segment", F.lit(0).cast("long").alias("page"), F.array(F.struct(F.lit(1).alias("n"), "role", "text")).alias("turns"), F.col("role").alias("participant"))
+    both = grouped.join(who, "conv_id").unionByName(alone)
 
     def piece(t: Column) -> Column:
         own = t["role"] == F.col("participant")

@@ -67,7 +67,7 @@ class Model:
         """(language index, cosine) of each row."""
         cos = self.vectors(counts) @ self.centroids.T
         best = cos.argmax(axis=1)
-        return self.owner[best], cos[np.arange(len(cos)), best].clip(0, 1)
+        return self.owner[best], cos[np.arange(len(cos)), best].clip(0, 1).round(5)
 
 
 def _spherical_kmeans(x: np.ndarray, k: int, seed: int, steps: int = 10) -> np.ndarray:
