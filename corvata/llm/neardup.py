@@ -6,11 +6,14 @@ twice that many values; bands of ROWS of them are bucket keys. At the default si
 similarity of 0.75 misses every common bucket with a chance of 2e-8, one of 0.8 with 7e-11.
 
 Texts with equal sets are one unit from the start. In every bucket each unit is compared with the
-bucket's leader only; links join units into components (large-star and small-star rounds). Buckets
-that then still hold several components are not yet done: small ones compare all units of different
-components, large ones are dealt into finer buckets by fresh permutations and treated alike, to the
-depth DEPTH, where what is left is compared like in small ones. So no bucket's size is capped, and
-the work in a large group of copies is in proportion to its size.
+bucket's leader only, the unit that shares most with others; links join units into components
+(large-star and small-star rounds). Units of buckets that then still hold several components are
+dealt anew into sharper buckets, by fresh permutations and longer bands, which a similar pair misses
+with a chance of 5e-8 while units that merely share a passage seldom meet: again each is compared with
+the leader. What then is in one bucket but not in one component goes through an exact prefix filter:
+similar sets share one of their rarest shingles, early enough that the rest can still make up the
+overlap; only such pairs are compared. So no bucket's size is capped, and a passage that a third of
+all documents share doesn't pair them.
 
 Defined results: a null or empty text, or one without words, has no shingles and is linked with
 nothing; a text with fewer words than SHINGLE has its whole word sequence as its one shingle; a null
@@ -31,8 +34,8 @@ from corvata.llm.spool import discard, spool
 from corvata.llm.textblocks import U64, Block, blocks, firsts, mix, signed, words
 
 SHINGLE, PERMUTATIONS, ROWS = 5, 48, 3
-#: Units of a bucket that are compared outright, and how often larger buckets are dealt anew.
-SMALL, DEPTH = 48, 3
+#: The sharper buckets.
+SHARP_PERMUTATIONS, SHARP_ROWS = 640, 8
 NO_KEY = 2**63 - 1
 
 _rng = np.random.default_rng(8)
@@ -70,11 +73,11 @@ def shingles(b: Block, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     return d[keep], v[keep]
 
 
-def band_keys(v: np.ndarray, at: np.ndarray, depth: int = 0, permutations: int = PERMUTATIONS, rows: int = ROWS) -> np.ndarray:
+def band_keys(v: np.ndarray, at: np.ndarray, permutations: int = PERMUTATIONS, rows: int = ROWS, skip: int = 0) -> np.ndarray:
     """sets x bands: keys of bands of rows values. Each permutation gives its least and its greatest value, each a minwise sample."""
     values = np.empty((2 * permutations, len(at)), U64)
     for p in range(permutations):
-        x = v * _MUL[depth * permutations + p] + _ADD[depth * permutations + p]
+        x = v * _MUL[skip + p] + _ADD[skip + p]
         values[p] = np.minimum.reduceat(x, at)
         values[permutations + p] = np.maximum.reduceat(x, at)
     bands = 2 * permutations // rows
@@ -123,19 +126,13 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch["sid"].slice(b.first, b.n), lists], names=["sid", "set"])
 
 
-def _deal(depth: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Finer buckets of the units that stand in large ones."""
-        for batch in batches:
-            out_b, out_s = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            for sid, found, inside in zip(batch["sid"].to_pylist(), batch["set"], batch["inside"], strict=True):
-                keys = band_keys(found.values.to_numpy().view(U64), np.array([0]), depth)[0]
-                for bucket in inside.values.to_numpy().view(U64):
-                    out_b.append(signed(mix(keys ^ mix(np.full(len(keys), bucket)))))
-                    out_s.append(np.full(len(keys), sid))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_b)), pa.array(np.concatenate(out_s))], names=["bucket", "sid"])
-
-    return run
+def _deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sharper buckets of units."""
+    for batch in (p for x in batches for p in (x.slice(i, 256) for i in range(0, x.num_rows, 256))):
+        lists = batch["set"]
+        size = lists.value_lengths().to_numpy(zero_copy_only=False)
+        keys = band_keys(lists.flatten().to_numpy(zero_copy_only=False).view(U64), np.cumsum(size) - size, SHARP_PERMUTATIONS, SHARP_ROWS, PERMUTATIONS)
+        yield pa.RecordBatch.from_arrays([pa.array(signed(keys.reshape(-1))), pa.array(np.repeat(batch["sid"].to_numpy(), keys.shape[1]))], names=["bucket", "sid"])
 
 
 def stars(links: DataFrame) -> DataFrame:
@@ -167,11 +164,48 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return got.where(100 * both >= percent * (F.size("x") + F.size("y") - both)).select("a", "b")
 
 
-def _likely(n: str, m: str, percent: int):
-    return 100 * F.least(n, m) >= percent * F.greatest(n, m)
+def _meet(dealt: DataFrame) -> DataFrame:
+    """The rows (bucket, sid) of buckets with several units."""
+    shared = dealt.groupBy("bucket").count().where("count > 1")
+    return spool(dealt.join(shared, "bucket").select("bucket", "sid", F.col("count").alias("size")), "buckets")[0]
+
+
+def _led(buckets: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of each unit with the leaders of its buckets, where the sizes of their sets allow a link."""
+    fame = buckets.groupBy("sid").agg(F.sum("size").alias("fame"))
+    lead = buckets.select("bucket", "sid").join(fame, "sid").groupBy("bucket").agg(F.max(F.struct("fame", (-F.col("sid")).alias("sid"))).alias("top"))
+    lead = lead.select("bucket", (-F.col("top.sid")).alias("lead"))
+    pairs = buckets.join(lead, "bucket").where("sid <> lead").select(F.greatest("sid", "lead").alias("a"), F.least("sid", "lead").alias("b")).distinct()
+    return _sized(pairs, sizes, percent)
+
+
+def _sized(pairs: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    x, y = sizes.select(F.col("sid").alias("a"), F.col("n").alias("na")), sizes.select(F.col("sid").alias("b"), F.col("n").alias("nb"))
+    return pairs.join(x, "a").join(y, "b").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).select("a", "b")
+
 
+def _prefix_pairs(units: DataFrame, percent: int) -> DataFrame:
+    """Of (sid, root, set), the pairs (a, b) of different roots that the prefix filter with positions can't rule out."""
+    n = F.size("set")
+    rows, _ = spool(units.select("sid", "root", n.alias("n"), F.explode("set").alias("shingle")), "shingles")
+    often = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("df"))
+    rare_first = Window.partitionBy("sid").orderBy("df", "shingle")
+    ranked = rows.join(often, "shingle").withColumn("i", F.row_number().over(rare_first))
+    prefix, _ = spool(ranked.where((100 * (F.col("i") - 1) <= (100 - percent) * F.col("n")) & (F.col("df") > 1)).drop("df"), "prefixes")
+    other = prefix.select("shingle", F.col("sid").alias("b"), F.col("root").alias("root_b"), F.col("n").alias("nb"), F.col("i").alias("ib"))
+    reach = (100 + percent) * (1 + F.least(F.col("n") - F.col("i"), F.col("nb") - F.col("ib"))) >= percent * (F.col("n") + F.col("nb"))
+    sized = 100 * F.least("n", "nb") >= percent * F.greatest("n", "nb")
+    return prefix.withColumnRenamed("sid", "a").join(other, "shingle").where((F.col("a") > F.col("b")) & (F.col("root") != F.col("root_b")) & sized & reach).select("a", "b").distinct()
 
-def components(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 75, small: int = SMALL, depth: int = DEPTH) -> DataFrame:
+
+def _divided(buckets: DataFrame, roots: DataFrame) -> DataFrame:
+    """Rows (bucket, sid, root) of buckets that hold several components."""
+    named = buckets.join(roots, "sid", "left").select("bucket", "sid", F.coalesce("root", "sid").alias("root"))
+    state = named.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("bucket")
+    return named.join(state, "bucket")
+
+
+def components(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 75) -> DataFrame:
     """Columns: key, hash (of the text), n_shingles, component_id, kept; one row by row."""
     t = F.col(text).cast("string")
     rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NO_KEY)).alias("key"), F.xxhash64(t).alias("hash"), t.alias("text"))
@@ -179,41 +213,22 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text", percent
     same = Window.partitionBy("one", "two").orderBy("key", "hash")
     units = signed_rows.where("bands is not null").withColumn("i", F.row_number().over(same)).where("i = 1").drop("i")
     units, _ = spool(units.select(F.monotonically_increasing_id().alias("sid"), "*"), "units")
-    dealt = units.select(F.explode("bands").alias("bucket"), "sid", "n")
-    shared = dealt.groupBy("bucket").count().where("count > 1").select("bucket")
-    buckets, _ = spool(dealt.join(shared, "bucket"), "buckets")
-    wanted = units.join(buckets.select("sid").distinct(), "sid").select("sid", "key", "hash")
-    texts = rows.join(wanted, ["key", "hash"])
+    buckets = _meet(units.select(F.explode("bands").alias("bucket"), "sid"))
+    sizes, _ = spool(units.select("sid", "n", "key", "hash").join(buckets.select("sid").distinct(), "sid"), "sizes")
     one_each = Window.partitionBy("key", "hash").orderBy("sid")
-    sets, _ = spool(texts.withColumn("i", F.row_number().over(one_each)).where("i = 1").select("sid", "text").mapInArrow(_sets, "sid long, set array<long>"), "sets")
-    links: list[DataFrame] = []
-    roots = None
-    for level in range(depth + 1):
-        lead = buckets.groupBy("bucket").agg(F.min("sid").alias("lead")).join(units.select(F.col("sid").alias("lead"), F.col("n").alias("m")), "lead")
-        pairs = buckets.join(lead, "bucket").where((F.col("sid") != F.col("lead")) & _likely("n", "m", percent)).select(F.col("sid").alias("a"), F.col("lead").alias("b")).distinct()
-        links.append(spool(_confirm(pairs, sets, percent), "confirmed")[0])
-        roots = stars(_all(links))
-        named = buckets.join(roots, "sid", "left").select("bucket", "sid", "n", F.coalesce("root", "sid").alias("root"))
-        state = named.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("bucket", "size")
-        left, _ = spool(named.join(state, "bucket"), "left")
-        last = level == depth
-        near = left if last else left.where(F.col("size") <= small)
-        other = near.select("bucket", F.col("sid").alias("b"), F.col("n").alias("m"), F.col("root").alias("other"))
-        pairs = near.withColumnRenamed("sid", "a").join(other, "bucket").where((F.col("a") > F.col("b")) & (F.col("root") != F.col("other")) & _likely("n", "m", percent)).select("a", "b").distinct()
-        found, _ = spool(_confirm(pairs, sets, percent), "confirmed")
-        grew = found.limit(1).count() > 0
-        if grew:
-            links.append(found)
-        large = left.where(F.col("size") > small)
-        if last or large.limit(1).count() == 0:
-            break
-        inside = large.groupBy("sid").agg(F.collect_list("bucket").alias("inside"), F.first("n").alias("n"))
-        fresh = sets.join(inside, "sid").select("sid", "set", "inside").mapInArrow(_deal(level + 1), "bucket long, sid long")
-        fresh, _ = spool(fresh, "dealt")
-        shared = fresh.groupBy("bucket").count().where("count > 1").select("bucket")
-        buckets, _ = spool(fresh.join(shared, "bucket").join(units.select("sid", "n"), "sid"), "buckets")
-    if grew:
-        roots = stars(_all(links))
+    texts = rows.join(sizes.select("sid", "key", "hash"), ["key", "hash"]).withColumn("i", F.row_number().over(one_each)).where("i = 1")
+    sets, _ = spool(texts.select("sid", "text").mapInArrow(_sets, "sid long, set array<long>"), "sets")
+    first, _ = spool(_confirm(_led(buckets, sizes, percent), sets, percent), "confirmed")
+    roots = stars(first)
+    unsure = _divided(buckets, roots).select("sid").distinct()
+    sharp = _meet(sets.join(unsure, "sid").mapInArrow(_deal, "bucket long, sid long"))
+    second, _ = spool(_confirm(_led(sharp, sizes, percent), sets, percent), "confirmed")
+    roots = stars(first.unionByName(second))
+    left, _ = spool(_divided(sharp, roots).select("sid", "root").distinct(), "left")
+    pairs = _prefix_pairs(left.join(sets, "sid"), percent)
+    third, _ = spool(_confirm(pairs, sets, percent), "confirmed")
+    if third.limit(1).count():
+        roots = stars(first.unionByName(second).unionByName(third))
     named = units.join(roots, "sid", "left").select("one", "two", "key", F.coalesce("root", "sid").alias("root"))
     least = named.groupBy("root").agg(F.min("key").alias("least"))
     by_set, _ = spool(named.join(least, "root").select("one", "two", "least"), "classes")
@@ -223,13 +238,6 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text", percent
     return out.select(own.alias("key"), "hash", F.col("n").alias("n_shingles"), component.alias("component_id"), component.eqNullSafe(own).alias("kept"))
 
 
-def _all(parts: list[DataFrame]) -> DataFrame:
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 75) -> DataFrame:
     """The rows of docs with one document of each group left; repeated rows stay once, texts without words all stay."""
     found = components(docs, key, text, percent)
