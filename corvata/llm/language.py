@@ -7,7 +7,7 @@ whose cosine distance is over the radius learned for that language is marked rej
 
 Defined results: a null text or one without letters is ``und`` with score 0 and rejected; with
 nothing learned every text is ``und``; ties between languages go to the first in sort order.
-Training rows with a null text, language or key are skipped. All columns of the input ride along in ``row``.
+Training rows with a null text or language are skipped, and repeated ones count once. All columns of the input ride along in ``row``.
 """
 
 from __future__ import annotations
@@ -96,13 +96,10 @@ def train(langs: list[str], counts: np.ndarray, clusters: int = CLUSTERS, seed:
 
 def fit(rows: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", per_language: int = SAMPLE_PER_LANGUAGE, clusters: int = CLUSTERS, seed: int = 7) -> Model | None:
     """Learn from a hashed sample of about per_language rows of each language; None without rows."""
-    rows = rows.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(key).isNotNull()).select(F.col(key).cast("string").alias("key"), F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text"))
-    keys = rows.select("key", "lang")
-    share = F.pmod(F.xxhash64(F.lit(seed), "key"), F.lit(1_000_000)) / 1_000_000.0
-    sizes, _ = spool(keys.groupBy("lang").count(), "language-sizes")  # a row by language, of known size: no hot language meets in a task
-    chosen = keys.join(sizes, "lang").where(share < F.lit(float(per_language)) / F.col("count")).select("key", "lang").distinct()
-    chosen, _ = spool(chosen, "language-sample")  # its size is then known, so the texts need not be shuffled to join it
-    sample = rows.join(chosen, ["key", "lang"]).select("lang", "text")
+    rows = rows.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text"), F.xxhash64(F.lit(seed), F.col(key), F.col(text)).alias("h"))
+    sizes, _ = spool(rows.groupBy("lang").count(), "language-sizes")  # a row by language, of known size: joining it shuffles no texts
+    share = F.pmod("h", F.lit(1_000_000)) / 1_000_000.0
+    sample = rows.join(sizes, "lang").where(share < F.lit(float(per_language)) / F.col("count")).dropDuplicates(["lang", "h"]).select("lang", "text")
 
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -129,10 +126,8 @@ def identify(docs: DataFrame, model: Model | None, text: str = "text") -> DataFr
     state = docs.select(F.struct("*").alias("row"), F.when(has_letters(F.col(text)), F.col(text).cast("string")).alias("text"))
     if model is None:
         return state.select("row", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(True).alias("rejected"))
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # languages x CLUSTERS x DIMS floats
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
+        m = model  # languages x CLUSTERS x DIMS floats; it travels with the function
         names = np.array(m.languages, dtype=object)
         for batch in batches:
             langs, scores, far = [], [], []

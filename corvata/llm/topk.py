@@ -136,10 +136,9 @@ def search(rows: DataFrame, k: int, is_query: Column, vector: str = "embedding",
     sample = base.where(F.pmod(F.xxhash64("id", "v"), F.lit(1_000_000)) < int(share * 1_000_000) + 1).select("id", "v").limit(SAMPLE).toArrow()
     sample_v, sample_id = _matrix(sample["v"], dim), sample["id"].to_numpy()
     space = Space(dim, float(top), sample_v)
-    shared = spark.sparkContext.broadcast(space)  # PIVOTS vectors
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        s = shared.value
+        s = space  # PIVOTS vectors; they travel with the function
         for b in batches:
             d = s.distances(s.lift(_matrix(b["v"], s.dim).astype(float)))
             yield pa.RecordBatch.from_arrays([b["id"], b["v"], pa.array([c.tobytes() for c in np.ascontiguousarray(d.T)], pa.binary())], names=["id", "v", "d"])
@@ -156,7 +155,7 @@ def search(rows: DataFrame, k: int, is_query: Column, vector: str = "embedding",
         if len(q) and len(sample_id):
             search_block(first, q, space.distances(np.column_stack([q, np.zeros(len(q))]).astype(float)), sample_v, sample_id, space.distances(space.lift(sample_v.astype(float))), space.top)
         sent = spark.sparkContext.broadcast((got["id"].to_numpy(), q, space.distances(np.column_stack([q, np.zeros(len(q))]).astype(float)), first.floor, block))
-        parts.append(_search_part(index, sent, shared, k))
+        parts.append(_search_part(index, sent, space, k))
         if n_blocks > 1:
             parts[-1], _ = spool(parts[-1], "top-part")
     found = parts[0]
@@ -172,12 +171,11 @@ def search(rows: DataFrame, k: int, is_query: Column, vector: str = "embedding",
     return ranked.select("query_id", "rank", "vec_id", "score")
 
 
-def _search_part(index: DataFrame, sent, shared, k: int) -> DataFrame:
+def _search_part(index: DataFrame, sent, space: Space, k: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, q, q_pivot, floor, block = sent.value
         best = Best(len(q), k + 1)
         best.floor = floor.copy()  # of k + 1 rows that all tasks know of
-        space = shared.value
         for b in batches:
             if len(q) and b.num_rows:
                 d = np.frombuffer(b"".join(b["d"].to_pylist()), np.float32).reshape(b.num_rows, -1).T
