@@ -1 +1,11 @@
-"""Corvata: evidence-grounded ledger analytics, written as Spark plans."""
+"""Corvata: evidence-grounded ledger analytics, written as Spark plans.
+
+Functions that run in Python workers travel with the job, by value, so executors need no copy of this
+package on their path.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
