@@ -64,15 +64,39 @@ def best_rows(rows: DataFrame, keys: list[str], better: list[Column], order: lis
     return rows.withColumn("_rank", F.row_number().over(w)).where("_rank = 1").drop("_rank")
 
 
-def row_flags(quantity: Column, rate: Column, gross: Column, discount: Column, amount: Column, description: Column, in_return_section: Column) -> Column:
-    """Names of what is wrong with a row; amounts in one unit. The first arithmetic proof that can be made decides."""
+# Flags that make a table worth reading again.
+DEFECTS = ("line_arithmetic_mismatch", "positive_amount_in_return_section")
+GAPS = ("missing_labeled_quantity", "missing_labeled_unit_price")
+
+
+def row_flags(role: Column, quantity: Column, rate: Column, gross: Column, discount: Column, amount: Column, description: Column, in_return_section: Column, derived: Column, has_quantity: Column, has_rate: Column, has_tax: Column) -> Column:
+    """Names of what is wrong with a row, in order of report; amounts in cents.
+
+    quantity times rate proves the amount if both are known, else the gross amount does, each less the
+    discount; a refund is proved by its size. Tables with tax columns are not held to arithmetic.
+    """
     off = F.coalesce(discount, F.lit(0))
     proof = F.when(quantity.isNotNull() & rate.isNotNull(), quantity * rate - off).when(gross.isNotNull(), gross - off)
-    flags = F.array(
-        F.when(in_return_section & (amount > 0), "return_section_positive"), F.when(F.trim(F.coalesce(description, F.lit(""))) == "", "missing_description"),
-        F.when(amount.isNull(), "missing_amount"), F.when(F.abs(proof - F.abs(amount)) > 1, "arithmetic_mismatch"),
-    )
-    return F.array_compact(flags)
+    seen = F.when((role == "refund") & (amount < 0) & (proof >= 0), F.abs(amount)).otherwise(amount)
+    return F.array_compact(F.array(
+        F.when(in_return_section & (amount > 0) & (role == "detail"), "positive_amount_in_return_section"), F.when(F.trim(F.coalesce(description, F.lit(""))) == "", "missing_printed_description"),
+        F.when(derived, "quantity_derived_from_rate_amount"), F.when(has_quantity & quantity.isNull(), "missing_labeled_quantity"), F.when(has_rate & rate.isNull(), "missing_labeled_unit_price"),
+        F.when(~has_tax & (F.abs(proof - seen) > 1), "line_arithmetic_mismatch"),
+    ))
+
+
+# What an amount line calls a payment.
+PAYMENTS = ("advance", "ip advance", "deposit")
+PAYMENT_SIGNS = ("advance received", "amount received", "amount refunded", "payment mode", "receipt ref")
+
+
+def charge_role(description: Column, is_metadata: Column, table_type: Column, amount: Column) -> Column:
+    """Role of a read charge: unresolved, payment, rollup in summaries, refund if negative, else detail."""
+    d = plain(description)
+    paid = d.isin(*PAYMENTS) | (table_type == "payment")
+    for s in PAYMENT_SIGNS:
+        paid = paid | d.contains(s)
+    return F.when(is_metadata, "unresolved").when(paid, "payment").when(table_type == "metadata", "unresolved").when(table_type.isin("category_summary", "package_summary"), "category_rollup").when(amount < 0, "refund").otherwise("detail")
 
 
 def derived_quantity(amount: Column, discount: Column, rate: Column, most: int = 100_000) -> Column:

@@ -366,11 +366,13 @@ def row_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger(spark, sf_dir).select("document_id", "row_id", L.row_role(d, d).alias("role"))
 
 
-@query(f"""WITH {LEDGER_SQL} SELECT document_id, row_id, array_to_string(list_filter([CASE WHEN part % 10 = 0 AND cents > 0 THEN 'return_section_positive' END, CASE WHEN part % 9 = 0 THEN 'missing_description' END, CASE WHEN abs(quantity * (abs(cents) // quantity) + CASE WHEN part % 4 = 0 THEN 5 ELSE 0 END - abs(cents)) > 1 THEN 'arithmetic_mismatch' END], lambda x: x IS NOT NULL), ',') AS flags FROM ledger""")
+@query(f"""WITH {LEDGER_SQL}, r AS (SELECT *, CASE WHEN part % 15 <> 0 THEN abs(cents) // quantity END AS rate, CASE WHEN part % 4 = 0 THEN 5 ELSE 0 END AS off FROM ledger),
+p AS (SELECT *, CASE WHEN rate IS NOT NULL THEN quantity * rate - off ELSE abs(cents) + part % 3 - off END AS proof FROM r), q AS (SELECT *, CASE WHEN role = 'refund' AND cents < 0 AND proof >= 0 THEN abs(cents) ELSE cents END AS seen FROM p)
+SELECT document_id, row_id, array_to_string(list_filter([CASE WHEN part % 10 = 0 AND cents > 0 AND role = 'detail' THEN 'positive_amount_in_return_section' END, CASE WHEN part % 9 = 0 THEN 'missing_printed_description' END, CASE WHEN part % 21 = 0 THEN 'quantity_derived_from_rate_amount' END, CASE WHEN rate IS NULL THEN 'missing_labeled_unit_price' END, CASE WHEN part % 8 <> 0 AND abs(proof - seen) > 1 THEN 'line_arithmetic_mismatch' END], lambda x: x IS NOT NULL), ',') AS flags FROM q""")
 def row_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rate = F.expr("abs(cents) div quantity")
-    off = F.when(F.col("part") % 4 == 0, -5).otherwise(0)
-    flags = L.row_flags(F.col("quantity"), rate, F.lit(None).cast("long"), off, F.abs("cents") * F.signum("cents").cast("int"), F.when(F.col("part") % 9 != 0, F.col("description")), F.col("part") % 10 == 0)
+    part, no = F.col("part"), F.lit(False)
+    rate = F.when(part % 15 != 0, F.expr("abs(cents) div quantity"))
+    flags = L.row_flags(F.col("role"), F.col("quantity"), rate, F.abs("cents") + part % 3, F.when(part % 4 == 0, 5), F.col("cents"), F.when(part % 9 != 0, F.col("description")), part % 10 == 0, part % 21 == 0, no, F.lit(True), part % 8 == 0)
     return ledger(spark, sf_dir).select("document_id", "row_id", F.array_join(flags, ",").alias("flags"))
 
 
