@@ -101,8 +101,8 @@ def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = np.add.reduceat(size[rest], begin) if len(begin) else np.zeros(0, np.int64)
             parts = np.diff(np.append(begin, len(rest)))
             rest = rest[begin]
-            zero = np.zeros(len(rest), np.int64)
-            cols = [np.concatenate([a[first], z]) for a, z in ((one, zero), (two, zero), (key, key[rest]), (h, h[rest]), (start, start[rest]), (size, total), (n, -parts))]
+            spread = signed(mix(np.arange(len(rest), dtype=U64) + h[rest].view(U64)))  # settled rows meet nothing
+            cols = [np.concatenate([a[first], z]) for a, z in ((one, spread), (two, spread), (key, key[rest]), (h, h[rest]), (start, start[rest]), (size, total), (n, -parts))]
             yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in cols], names=["one", "two", "key", "hash", "start", "size", "n"])
 
 
@@ -162,12 +162,10 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     hashed = F.xxhash64(F.col(key).cast("long"), t)
     rows = docs.where(F.octet_length(t) > 0).select(k.alias("key"), hashed.alias("hash"), t.alias("text"))
     made = rows.mapInArrow(_emit, "one long, two long, key long, hash long, start long, size long, n long")
-    # start, size and n share a column: fewer bytes to shuffle
-    packed, _ = spool(made.select("one", "two", "key", "hash", F.expr("shiftleft(start, 32) | size").alias("place"), "n"), "chunks")
+    packed = made.select("one", "two", "key", "hash", F.expr("shiftleft(start, 32) | size").alias("place"), "n")
     digest = Window.partitionBy("one", "two").orderBy("key", "hash", "place")
-    whole = Window.partitionBy("one", "two")
-    met = packed.where("n > 0").withColumn("first", F.row_number().over(digest) == 1).withColumn("all", F.sum("n").over(whole)).where("all > 1")
-    found = met.select("key", "hash", "place", F.lit(1).cast("long").alias("n"), "first").unionByName(packed.where("n < 0").select("key", "hash", "place", (-F.col("n")).alias("n"), F.lit(False).alias("first")))
+    met = packed.withColumn("first", (F.row_number().over(digest) == 1) & (F.col("n") > 0)).withColumn("all", F.sum(F.greatest("n", F.lit(0))).over(Window.partitionBy("one", "two")))
+    found, _ = spool(met.where("n < 0 or all > 1").select("key", "hash", "place", F.when(F.col("n") < 0, -F.col("n")).otherwise(1).alias("n"), "first"), "repeated-chunks")
     by_doc = found.groupBy("key", "hash").agg(F.collect_list(F.struct(F.expr("shiftright(place, 32)").alias("start"), F.expr("place & 4294967295").alias("size"), "n", "first")).alias("found"))
     whole_docs = docs.select(F.struct("*").alias("row"), k.alias("key"), hashed.alias("hash"), t.alias("text"))
     state = whole_docs.join(by_doc, ["key", "hash"], "left").select("row", "text", "found")
