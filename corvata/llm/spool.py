@@ -1,37 +1,5 @@
-"""Written tables that cut lineage: Parquet under the cluster's shared checkpoint folder."""
+"""Written tables that cut lineage; see corvata.sources.spool."""
 
-from __future__ import annotations
+from corvata.sources.spool import discard, shared_dir, spool
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-_FALLBACK: list[str] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a temporary one only where that is unset (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not _FALLBACK:
-            _FALLBACK.append("file://" + tempfile.mkdtemp(prefix="corvata-"))
-        base = _FALLBACK[0]
-    return base.rstrip("/")
-
-
-def spool(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """Write df once and read it back: (DataFrame, path). Every executor sees the files."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path), path
-
-
-def discard(spark: SparkSession, *paths: str) -> None:
-    """Delete spooled tables that no later plan reads."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for p in paths:
-        path = jvm.org.apache.hadoop.fs.Path(p)
-        path.getFileSystem(conf).delete(path, True)
+__all__ = ["discard", "shared_dir", "spool"]

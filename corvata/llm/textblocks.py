@@ -1,6 +1,6 @@
 """Numpy views of Arrow text: blocks of whole texts as one byte array, words and fingerprints.
 
-Every helper works on a block, that is a few megabytes of whole UTF-8 texts laid end to end, so
+Every helper works on a block, that is half a megabyte of whole UTF-8 texts laid end to end, so
 memory is bounded by BLOCK_BYTES or by the longest single text, whichever is larger.
 """
 
@@ -12,7 +12,8 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-BLOCK_BYTES = 2 << 20
+#: Text looked at at once: a worker needs up to 150 times as much.
+BLOCK_BYTES = 1 << 19
 U64 = np.uint64
 
 
@@ -36,20 +37,20 @@ def blocks(column: pa.Array, limit: int = BLOCK_BYTES, rows: int = 1 << 16) -> I
     """Cut an Arrow string column into blocks of whole texts; a null is an empty text."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    null = np.asarray(column.is_null())
-    column = column.fill_null("").cast(pa.large_string()).cast(pa.large_binary())
-    bufs = column.buffers()
-    n = len(column)
-    if n == 0:
-        return
-    offs = np.frombuffer(bufs[1], dtype=np.int64)[column.offset : column.offset + n + 1]
-    data = np.frombuffer(bufs[2], dtype=np.uint8) if bufs[2] is not None else np.zeros(0, np.uint8)
-    i = 0
-    while i < n:
-        j = int(np.searchsorted(offs, offs[i] + limit, side="right")) - 1
-        j = min(n, i + rows, max(j, i + 1))
-        yield Block(i, data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], null[i:j])
-        i = j
+    step = min(rows, 256)  # what is converted at once; a block may end earlier
+    for base in range(0, len(column), step):
+        part = column.slice(base, step)
+        null = np.asarray(part.is_null())
+        part = part.fill_null("").cast(pa.large_string()).cast(pa.large_binary())
+        bufs, n = part.buffers(), len(part)
+        offs = np.frombuffer(bufs[1], dtype=np.int64)[part.offset : part.offset + n + 1]
+        data = np.frombuffer(bufs[2], dtype=np.uint8) if bufs[2] is not None else np.zeros(0, np.uint8)
+        i = 0
+        while i < n:
+            j = int(np.searchsorted(offs, offs[i] + limit, side="right")) - 1
+            j = min(n, max(j, i + 1))
+            yield Block(base + i, data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], null[i:j])
+            i = j
 
 
 def pieces(batch: pa.RecordBatch, column: str, limit: int = BLOCK_BYTES, rows: int = 1 << 16) -> Iterator[pa.RecordBatch]:
