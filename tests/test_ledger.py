@@ -197,3 +197,54 @@ def test_sources(spark, tmp_path):
     assert {(r.cache_key, r.value) for r in whole.collect()} == {("k1", "old"), ("k2", "new")} and new.count() == 1
     readers.write_csv(spark.createDataFrame([("=1", -5)], "t string, n int"), str(tmp_path / "csv"), ["t", "n"], {"n"})
     assert "'=1,-5" in "".join(p.read_text() for p in (tmp_path / "csv").glob("part-*"))
+
+
+def test_hospital_names(spark):
+    from corvata.operators import identity
+
+    rows = [
+        (1, 0, "NABH", 0.9, 0.0, 2.0), (1, 1, "CITY CARE", 0.9, 10.0, 15.0), (1, 2, "HOSPITAL AND RESEARCH INSTITUTE", 0.9, 60.0, 65.0), (1, 3, "Address: somewhere hospital road", 0.9, 90.0, 95.0),
+        (2, 0, "Patient Name of the hospital", 0.9, 10.0, 15.0), (3, 0, "Sunrise Clinic Patient Name X", 0.8, 10.0, 15.0), (4, 0, "Low Hospital Center", 0.9, 900.0, 905.0),
+    ]
+    df = spark.createDataFrame([(*r, 2000.0) for r in rows], "document_id long, line int, text string, confidence double, top double, centre double, page_height double")
+    got = {r.document_id: r.name for r in identity.hospitals(df).collect()}
+    assert got == {1: "City Care Hospital and Research Institute", 3: "Sunrise Clinic"}
+
+
+def test_sensitive_values_by_place(spark):
+    from corvata.operators import identity
+
+    rows = [("a", "Patient Name", 0.0, 0.0, 100.0), ("b", "Jo Doe", 150.0, 0.0, 80.0), ("c", "Total", 900.0, 0.0, 50.0), ("d", "under", 10.0, 15.0, 50.0), ("e", "far below", 10.0, 90.0, 50.0), ("f", "x@y.org", 500.0, 300.0, 50.0), ("g", "12345678", 500.0, 400.0, 50.0)]
+    df = spark.createDataFrame([(1, 1, i, t, (l, y, l + w, y + 10.0), 1000.0) for i, t, l, y, w in rows], "document_id long, page int, token_id string, text string, box struct<l:double,t:double,r:double,b:double>, page_width double")
+    assert {r.token_id for r in identity.sensitive_tokens(df).where("masked").collect()} == {"a", "b", "d", "f", "g"}
+
+
+def test_service_dates_in_context(spark):
+    from datetime import date
+
+    from corvata.functions.dates import service_date_from_context
+
+    cases = [
+        ("12/02/2026", "Date", False, "Batch x", date(2026, 2, 12)), ("12/02/2026", "Expiry", False, "Syrup", None), ("12/02/2026", "Expiry", True, "Syrup", date(2026, 2, 12)), ("12/02/2026 IPD/123 CO", "Particulars", False, "Consultation", date(2026, 2, 12)),
+        ("12/02/2026 IPD/123 XY", "Particulars", False, "Consultation", None), ("X-ray 12/02/2026", "Particulars", False, "X-ray", date(2026, 2, 12)), ("12/02/2026 to 13/02/2026", "Stay", False, "Room", None), (None, "Date", False, None, None), ("exp 12/02/2026", "x", False, "y", None),
+    ]
+    df = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], "i int, v string, l string, m boolean, d string, w date")
+    got = df.select("i", "w", service_date_from_context(F.col("v"), F.col("l"), F.col("m"), F.col("d")).alias("g")).collect()
+    assert [(r.i, r.g) for r in got if r.g != r.w] == []
+
+
+def test_header_roles(spark):
+    from corvata.operators import headers
+
+    rows = [
+        (1, "Sr No", 0.0), (1, "Particulars", 100.0), (1, "Batch Exp Date", 300.0), (1, "Qty", 500.0), (1, "MRP Amount", 600.0), (1, "Net Amount", 800.0),
+        (2, "Total for services", 0.0), (2, "Amount", 500.0), (3, "Service Name", 0.0), (3, "HSN Code", 300.0), (3, "Charges", 500.0),
+    ]
+    df = spark.createDataFrame([(1, 1, n, f"{n}-{i}", t, (x, 0.0, x + 90.0, 10.0), "H1") for i, (n, t, x) in enumerate(rows)], "document_id long, page int, line int, token_id string, text string, box struct<l:double,t:double,r:double,b:double>, hospital_id string")
+    got = {(r.line, r.role): r.token_id for r in headers.header_roles(df).collect()}
+    assert got == {(1, "serial"): "1-0", (1, "description"): "1-1", (1, "batch"): "1-2", (1, "expiry"): "1-2", (1, "quantity"): "1-3", (1, "rate"): "1-4", (1, "amount"): "1-5"}
+    alias = spark.createDataFrame([("H1", "charges", "amount")], "hospital_id string, label string, role string")
+    more = {(r.line, r.role) for r in headers.header_roles(df, alias).collect()}
+    assert {(3, "description"), (3, "hsn_code"), (3, "amount")} <= more and (3, "service_code") not in more
+    assert headers.one_cell("sr no service name qty days rate total amount") == {"description": 1, "quantity": 2, "rate": 3, "amount": 4}
+    assert headers.one_cell("date particulars") == {}
