@@ -27,13 +27,15 @@ from corvata.llm.spool import spool
 
 #: A child with this share of its parent's text is the better container.
 MOST = 0.7
+#: A path names this many of the innermost containers; deeper ones differ by chance more than by kind.
+STEPS = 8
 #: Winning paths kept by host, each with at least this share of the host's pages.
 PATHS, LEAST_SHARE = 3, 0.1
 
 #: Raw-text elements are matched whole, with their content.
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|$)|<(script|style|noscript|template|iframe|textarea|title|svg|math|select|button|object|canvas|video|audio)\b[^>]*>.*?(?:</\1\s*>|$)|<[!?][^>]*>"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[a-zA-Z/][^<>]*$",
+    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[a-zA-Z/][^>]*$",
     re.S | re.I,
 )
 _ATTR = re.compile(r"(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))|(?:^|\s)(hidden)(?=[\s=/>]|$)", re.I)
@@ -81,7 +83,7 @@ class Page:
     """Containers in page order, and the text pieces that stand in them."""
 
     def __init__(self, html: str):
-        self.paths, self.tags, self.parent, self.end = ["html"], ["html"], [-1], [0]
+        self.names, self.tags, self.parent, self.end = ["html"], ["html"], [-1], [0]
         self.chars, self.h1 = [0], [0]
         self.pieces: list[tuple[int, str]] = []
         self._walk(html)
@@ -89,6 +91,7 @@ class Page:
     def _walk(self, html: str) -> None:
         pieces, add = self.pieces, self.pieces.append
         stack: list[tuple[str, int]] = []  # open containers, and inner elements as (tag, -1)
+        open_ = Counter()
         node, skip, skip_tag, depth, links, at, article = 0, False, "", 0, 0, 0, 0
         unescape = htmllib.unescape
         for m in _TOKEN.finditer(html):
@@ -110,7 +113,7 @@ class Page:
                     skip = depth > 0
                 elif skip_tag == "p" and tag in _ENDS_P and not m[2]:
                     skip = False
-                elif m[2] and any(t == tag for t, _ in stack):
+                elif m[2] and open_[tag]:
                     skip = False
                 if skip or tag == skip_tag:
                     continue
@@ -122,11 +125,12 @@ class Page:
                 add((node, " "))
                 links = 0
             if m[2]:
-                if (tag in _CONTAINERS or tag in _INNER or tag == "header") and any(t == tag for t, _ in stack):
+                if open_[tag]:
                     while True:
                         t, k = stack.pop()
+                        open_[t] -= 1
                         if k >= 0:
-                            self.end[k] = len(self.paths)
+                            self.end[k] = len(self.tags)
                             article -= self.tags[k] in ("article", "main")
                             node = self.parent[k]
                         if t == tag:
@@ -144,61 +148,73 @@ class Page:
             if tag == "h1":
                 self.h1[node] += 1
             if tag in _CONTAINERS and tag != "html":
-                k = len(self.paths)
-                self.paths.append(f"{self.paths[node]}>{generalise(tag, attrs)}" if tag != "body" else "body")
+                k = len(self.tags)
+                self.names.append(generalise(tag, attrs) if tag != "body" else "body")
                 self.tags.append(tag)
                 self.parent.append(node)
                 self.end.append(0)
                 self.chars.append(0)
                 self.h1.append(0)
                 stack.append((tag, k))
+                open_[tag] += 1
                 article += tag in ("article", "main")
                 node = k
             elif tag in _INNER or tag == "header":
                 stack.append((tag, -1))
+                open_[tag] += 1
         if at < len(html) and not skip:
             text = unescape(html[at:])
             add((node, text))
             self.chars[node] += len(text)
-        n = len(self.paths)
+        n = len(self.tags)
         self.end = [e or n for e in self.end]
         self.end[0] = n
+        self.kids: list[list[int]] = [[] for _ in range(n)]
+        self.articles, self.article = [0] * n, [0] * n  #: inside each container, how many with text, and the last of them
         for k in range(n - 1, 0, -1):
-            self.chars[self.parent[k]] += self.chars[k]
-            self.h1[self.parent[k]] += self.h1[k]
+            up = self.parent[k]
+            self.kids[up].append(k)
+            self.chars[up] += self.chars[k]
+            self.h1[up] += self.h1[k]
+            own = self.tags[k] == "article" and self.chars[k] > 0
+            self.articles[up] += self.articles[k] + own
+            self.article[up] = k if own else self.article[k] or self.article[up]
+
+    def path(self, k: int) -> str:
+        out: list[str] = []
+        while k >= 0 and len(out) < STEPS:
+            out.append(self.names[k])
+            k = self.parent[k]
+        return ">".join(reversed(out))
 
     def best(self) -> int:
         """The deepest container with most of the text; an article is not cut further, nor is its title lost."""
         k = 0
-        while True:
-            if self.tags[k] == "article":
-                return k
-            top, most = -1, -1
-            for i in range(k + 1, self.end[k]):
-                if self.parent[i] == k and self.chars[i] > most:
-                    top, most = i, self.chars[i]
-            arts = [i for i in range(k + 1, self.end[k]) if self.tags[i] == "article" and self.chars[i] > 0]
-            if len(arts) == 1 and self.chars[arts[0]] >= 0.3 * self.chars[k]:
-                return arts[0]
-            if top < 0 or most < MOST * self.chars[k] or not most:
+        while self.tags[k] != "article":
+            if self.articles[k] == 1 and self.chars[self.article[k]] >= 0.3 * self.chars[k]:
+                return self.article[k]
+            top = max(self.kids[k], key=lambda i: (self.chars[i], -i), default=-1)
+            if top < 0 or not self.chars[top] or self.chars[top] < MOST * self.chars[k]:
                 return k
             if self.h1[top] < self.h1[k] and self.tags[k] not in ("html", "body"):
                 return k
             k = top
+        return k
 
     def text(self, chosen: list[int]) -> str:
-        out, last = [], 0
+        """Text of containers in page order; those inside another add nothing."""
+        take = bytearray(len(self.tags))
+        last = 0
         for k in chosen:
-            if k < last:
-                continue  # inside one that was taken
-            last = self.end[k]
-            out.append(" ")
-            out += [t for i, t in self.pieces if k <= i < last]
-        return " ".join("".join(out).split())
+            if k >= last:
+                last = self.end[k]
+                take[k:last] = b"\x01" * (last - k)
+        return " ".join("".join([t for i, t in self.pieces if take[i]]).split())
 
     def main(self, wanted: list[str] | None) -> str:
+        paths = [self.path(k) for k in range(len(self.tags))] if wanted else []
         for path in wanted or ():
-            found = [k for k, p in enumerate(self.paths) if p == path]
+            found = [k for k, p in enumerate(paths) if p == path]
             if found and sum(self.chars[k] for k in found) > 0:
                 return self.text(found)
         return self.text([self.best()])
@@ -221,7 +237,7 @@ def _vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             page = Page(html.as_py())
             k = page.best()
             if page.chars[k]:
-                key = (host.as_py(), page.paths[k])
+                key = (host.as_py(), page.path(k))
                 votes[key] += 1
                 chars[key] += page.chars[k]
         if len(votes) > 10_000:

@@ -33,3 +33,15 @@ def test_hosts_vote(spark):
     assert (got[10].text, got[11].text, got[11].n_chars, got[12].text) == ("alone", "", 0, "x ©")
     assert got[1].row.text == "z" and all(r.n_chars == len(r.text) for r in got.values())
     assert html_main.extract(df.limit(0)).count() == 0
+
+
+def test_deep_and_wide_pages_are_quick():
+    import time
+
+    began = time.time()
+    deep = Page("<div class=a>" * 20_000 + "text" + "</div>" * 20_000)
+    assert deep.main([deep.path(deep.best())]) == "text"
+    wide = Page("<main>" + "<div class=post><p>x</p></div>" * 20_000 + "</main>")
+    assert wide.main(["html>main>div.post"]) == " ".join("x" * 20_000)
+    assert Page("<p " * 5_000).main(None) == "" and Page('<a href="' * 3_000).main(None) is not None
+    assert time.time() - began < 20
