@@ -248,3 +248,12 @@ def test_header_roles(spark):
     assert {(3, "description"), (3, "hsn_code"), (3, "amount")} <= more and (3, "service_code") not in more
     assert headers.one_cell("sr no service name qty days rate total amount") == {"description": 1, "quantity": 2, "rate": 3, "amount": 4}
     assert headers.one_cell("date particulars") == {}
+
+
+def test_bootstrap(spark):
+    perfect = spark.createDataFrame([(i, 10, 10, 10) for i in range(30)], "document_id long, gold long, predicted long, matched long")
+    assert {r.measure: r.bound for r in metrics.bootstrap(perfect, ["matched"], 200).collect()} == {"matched_precision": 1.0, "matched_recall": 1.0}
+    half = perfect.withColumn("matched", F.when(F.col("document_id") % 2 == 0, 10).otherwise(6).cast("long"))
+    bound = {r.measure: r.bound for r in metrics.bootstrap(half, ["matched"], 400).collect()}["matched_recall"]
+    assert 0.68 < bound < 0.78  # 0.8 less two standard errors of 0.036
+    assert {r.bound for r in metrics.bootstrap(perfect.limit(0), ["matched"], 50).collect()} == {0.0}
