@@ -48,7 +48,8 @@ def words(c: Column, least: int = 1) -> Column:
 
 def jaccard(a: Column, b: Column, empty: Column | None = None) -> Column:
     """Shared share of two arrays of distinct values; where one is empty, the value given or null."""
-    return F.when((F.size(a) == 0) | (F.size(b) == 0), empty if empty is not None else F.lit(None).cast("double")).otherwise(F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b)))
+    both = F.size(F.array_intersect(a, b))
+    return F.when((F.size(a) == 0) | (F.size(b) == 0), empty if empty is not None else F.lit(None).cast("double")).otherwise(both / (F.size(a) + F.size(b) - both))
 
 
 def ratio(left: str, right: str) -> float:

@@ -39,8 +39,9 @@ def common_words(observed: DataFrame, key: str, share: float) -> DataFrame:
 
 
 def geometry_score(aspect_a: Column, aspect_b: Column, box_a: Column, box_b: Column) -> Column:
+    """Closeness of page shape and table box; boxes are arrays of four."""
     off = F.abs(aspect_a - aspect_b) / F.greatest(aspect_a, aspect_b)
-    shift = F.aggregate(F.zip_with(box_a, box_b, lambda x, y: F.abs(x - y)), F.lit(0.0), lambda s, x: s + x) / F.size(box_a)
+    shift = sum((F.abs(box_a[i] - box_b[i]) for i in range(1, 4)), F.abs(box_a[0] - box_b[0])) / 4
     return F.greatest(F.lit(0.0), 1 - off * 2 - shift * 2)
 
 
@@ -79,10 +80,12 @@ def select_profiles(profiles: DataFrame, observations: DataFrame, block: list[st
     on = [F.col(f"p_{b}").eqNullSafe(F.col(f"o_{b}")) for b in block]
     scored = o.join(p, on, "left").withColumn("score", F.when(F.col("p_profile_key").isNotNull(), profile_score("p_", "o_")))
     w = Window.partitionBy("o_observation_id").orderBy(F.desc_nulls_last("score"), F.desc_nulls_last("p_version"), F.desc_nulls_last("p_profile_key"))
-    top = scored.withColumn("_r", F.row_number().over(w)).withColumn("second", F.coalesce(F.lead("score").over(w), F.lit(0.0))).where("_r = 1")
-    margin = F.greatest(F.lit(0.0), F.col("score") - F.col("second"))
-    chosen = F.coalesce((F.col("score") >= F.col("p_threshold")) & (margin >= F.col("p_margin")), F.lit(False))
-    return top.select(F.col("o_observation_id").alias("observation_id"), F.col("p_profile_key").alias("profile_key"), F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce(margin, F.lit(0.0)).alias("margin"), chosen.alias("selected"))
+    two = scored.select("o_observation_id", "p_profile_key", "p_version", "p_threshold", "p_margin", "score").withColumn("_r", F.row_number().over(w)).where("_r <= 2")
+    best = F.max(F.when(F.col("_r") == 1, F.struct("p_profile_key", "p_threshold", "p_margin", "score")))
+    top = two.groupBy("o_observation_id").agg(best.alias("b"), F.coalesce(F.max(F.when(F.col("_r") == 2, F.col("score"))), F.lit(0.0)).alias("second"))
+    margin = F.greatest(F.lit(0.0), F.col("b.score") - F.col("second"))
+    chosen = F.coalesce((F.col("b.score") >= F.col("b.p_threshold")) & (margin >= F.col("b.p_margin")), F.lit(False))
+    return top.select(F.col("o_observation_id").alias("observation_id"), F.col("b.p_profile_key").alias("profile_key"), F.coalesce("b.score", F.lit(0.0)).alias("score"), F.coalesce(margin, F.lit(0.0)).alias("margin"), chosen.alias("selected"))
 
 
 def drift(observations: DataFrame, keys: list[str], order: list[str], window: int = 20, rate: float = 0.25) -> DataFrame:
