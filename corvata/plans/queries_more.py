@@ -198,3 +198,22 @@ def token_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = (F.col("i") * 90).cast("double")
     tokens = t.select("document_id", "page", F.concat_ws("-", "row_id", "i").alias("token_id"), "text", F.struct(left.alias("l"), F.col("top").alias("t"), (left + 80).alias("r"), (F.col("top") + 14).alias("b")).alias("box"))
     return layout.table_proposals(layout.line_texts(layout.lines(tokens)))
+
+
+@query(f"""WITH {LEDGER_SQL} SELECT document_id, page, row_order, description, quantity, CAST(abs(cents) // quantity * CASE WHEN cents < 0 THEN -1 ELSE 1 END * quantity AS BIGINT) AS cents, CASE WHEN cents < 0 THEN 'refund' ELSE 'detail' END AS role FROM ledger WHERE abs(cents) >= quantity""")
+def reconstructed_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ledger printed as lines of tokens and read back; a quantity in five is left out and derived."""
+    from corvata.operators.reconstruction import UNIT, reconstruct
+
+    r = ledger(spark, sf_dir).withColumn("unit", F.expr("abs(cents) div quantity")).where("unit > 0")
+    signed = F.when(F.col("cents") < 0, -F.col("unit") * F.col("quantity")).otherwise(F.col("unit") * F.col("quantity"))
+    money = lambda c: F.format_string("%.2f", c / 100.0)
+    cell = lambda x, text: F.struct(F.lit(x).alias("x"), text.alias("text"))
+    cells = F.array(cell(0.05, F.col("row_order").cast("string")), cell(0.3, F.col("description")), cell(0.6, F.when(F.col("part") % 5 != 0, F.col("quantity").cast("string"))), cell(0.75, money(F.col("unit"))), cell(0.95, money(signed)))
+    body = r.select("document_id", "page", "row_order", F.posexplode(cells).alias("i", "c"))
+    head = r.select("document_id", "page").distinct().select("document_id", "page", F.lit(-1).alias("row_order"), F.posexplode(F.array(*[cell(x, F.lit(t)) for x, t in ((0.05, "Sr No"), (0.3, "Particulars"), (0.6, "Qty"), (0.75, "Rate"), (0.95, "Net Amount"))])).alias("i", "c"))
+    printed = head.unionByName(body).where("c.text is not null")
+    tokens = printed.select("document_id", "page", F.lit("t").alias("table_id"), F.col("row_order").alias("line"), F.concat_ws("-", "row_order", "i").alias("token_id"), "c.text", "c.x", (F.col("row_order") * 20 + 20).cast("double").alias("y"), F.lit(10.0).alias("height"), F.lit("item_ledger").alias("table_type"))
+    found = reconstruct(tokens)
+    order = F.split("amount_token", "-")[0].cast("int")
+    return found.select("document_id", "page", order.alias("row_order"), "description", (F.col("quantity") / UNIT).cast("long").alias("quantity"), (F.col("amount") / (UNIT / 100)).cast("long").alias("cents"), "role")

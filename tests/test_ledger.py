@@ -257,3 +257,21 @@ def test_bootstrap(spark):
     bound = {r.measure: r.bound for r in metrics.bootstrap(half, ["matched"], 400).collect()}["matched_recall"]
     assert 0.68 < bound < 0.78  # 0.8 less two standard errors of 0.036
     assert {r.bound for r in metrics.bootstrap(perfect.limit(0), ["matched"], 50).collect()} == {0.0}
+
+
+def test_reconstruction(spark):
+    from corvata.operators.reconstruction import reconstruct
+
+    lines = [
+        ["Sr No@.05", "Particulars@.3", "Date@.5", "Qty@.6", "Rate@.75", "Net Amount@.95"], ["Ward charges@.3"], ["Registration@.3", "1@.6", "100.00@.75", "100.00@.95"], ["second visit@.3"], ["02/03/2026@.5"],
+        ["Consultation@.3", "2@.6", "50.00@.75", "100.00@.95"], ["X-Ray@.3", "250.00@.75", "500.00@.95"], ["Refund of deposit@.3", "1@.6", "20.00@.75", "-20.00@.95"], ["Wrong@.3", "3@.6", "10.00@.75", "31.00@.95"],
+        ["Sub Total@.3", "700.00@.95"], ["Gauze@.3"], ["10.00@.95"], ["7@.05", "5.00@.95"], ["Amount Received@.3", "1.00@.95"], ["After@.3", "9.00@.95"],
+    ]
+    tokens = [(1, 1, "t", n, f"{n}-{i}", *c.split("@"), n * 20.0, 18.0, "item_ledger") for n, line in enumerate(lines) for i, c in enumerate(line)]
+    df = spark.createDataFrame([(a, b, c, d, e, t, float(x), y, h, k) for a, b, c, d, e, t, x, y, h, k in tokens], "document_id long, page int, table_id string, line int, token_id string, text string, x double, y double, height double, table_type string")
+    got = [(r.description, r.section, r.service_date, r.quantity and r.quantity // 10000, r.amount // 100, r.role, r.flags) for r in reconstruct(df).orderBy("n").collect()]
+    gaps = "missing_labeled_quantity,missing_labeled_unit_price"
+    assert got == [
+        ("Registration second visit", "Ward charges", None, 1, 10000, "detail", ""), ("Consultation", "Ward charges", "2026-03-02", 2, 10000, "detail", ""), ("X-Ray", "Ward charges", None, 2, 50000, "detail", "quantity_derived_from_rate_amount"),
+        ("Refund of deposit", "Ward charges", None, 1, -2000, "refund", ""), ("Wrong", "Ward charges", None, 3, 3100, "detail", "line_arithmetic_mismatch"), ("Gauze", "Ward charges", None, None, 1000, "detail", gaps), ("7", "Ward charges", None, None, 500, "detail", f"missing_printed_description,{gaps}"),
+    ]
