@@ -275,3 +275,38 @@ def test_reconstruction(spark):
         ("Registration second visit", "Ward charges", None, 1, 10000, "detail", ""), ("Consultation", "Ward charges", "2026-03-02", 2, 10000, "detail", ""), ("X-Ray", "Ward charges", None, 2, 50000, "detail", "quantity_derived_from_rate_amount"),
         ("Refund of deposit", "Ward charges", None, 1, -2000, "refund", ""), ("Wrong", "Ward charges", None, 3, 3100, "detail", "line_arithmetic_mismatch"), ("Gauze", "Ward charges", None, None, 1000, "detail", gaps), ("7", "Ward charges", None, None, 500, "detail", f"missing_printed_description,{gaps}"),
     ]
+
+
+def codes(issues):
+    return sorted((r.document_id, r.code) for r in issues.collect())
+
+
+def test_inventory_and_token_rules(spark):
+    make = spark.createDataFrame
+    d = make([(1, 2), (2, 1)], "document_id long, page_count int")
+    pages = make([(1, 1), (2, 1)], "document_id long, page int")
+    tables = make([(1, 1, "t"), (1, 1, "t")], "document_id long, page int, table_id string")
+    rows = make([(1, 1, "t", "r"), (1, 1, None, "r"), (1, 1, "t", "s")], "document_id long, page int, table_id string, row_id string")
+    diag = make([(1, 1, None), (1, 1, "gone")], "document_id long, page int, table_id string")
+    assert codes(rules.inventory_rules(d, pages, tables, rows, diag)) == sorted([
+        (1, "page_inventory_incomplete"), (1, "page_count_mismatch"), (1, "duplicate_source_table_id"), (1, "duplicate_source_row_id"), (1, "source_row_anchor_missing"), (2, "source_tables_missing"), (2, "page_diagnostic_inventory_incomplete"),
+        (1, "table_diagnostic_inventory_incomplete"), (1, "table_diagnostic_inventory_incomplete"), (1, "orphan_table_diagnostic"),
+    ])
+    box = "struct<l:double,t:double,r:double,b:double>"
+    tokens = make([(1, 1, "a", "x", (0.0, 0.0, 5.0, 5.0)), (1, 1, "a", "y", (0.0, 0.0, 5.0, 5.0)), (1, 1, "b", " ", (0.0, 0.0, 5.0, 5.0)), (1, 1, "c", "z", (0.0, 0.0, 500.0, 5.0))], f"document_id long, page int, token_id string, text string, box {box}").withColumn("page_width", F.lit(100.0)).withColumn("page_height", F.lit(100.0))
+    assert codes(rules.token_rules(tokens)) == [(1, "duplicate_token_manifest_id"), (1, "token_bounds_invalid"), (1, "token_manifest_entry_invalid")]
+
+
+def test_total_link_usage_and_receipt_rules(spark):
+    make = spark.createDataFrame
+    s = "document_id long, cents long, label string, scope string, context_kind string, context_id string"
+    found = make([(1, 5, "a", "document", "document_final", "c1"), (2, 5, "a", "document", "document_final", "c1"), (2, 6, "a", "document", "document_final", "c2"), (3, 5, "a", "document", "document_final", "c1"), (3, 5, "a", "payment", "document_final", "c1")], s)
+    chosen = make([(3, 7, "a", "payment", "c1")], "document_id long, cents long, label string, scope string, context_id string")
+    assert codes(rules.primary_total_rules(chosen, found)) == sorted([(1, "primary_total_missing_for_unique_context"), (2, "ambiguous_primary_total"), (3, "primary_total_not_in_candidates"), (3, "invalid_primary_total_scope"), (3, "inconsistent_document_total_context")])
+    cells = make([(1, 1, "t", "r", "amount", "5"), (1, 1, "t", "r", "rate", "1")], "document_id long, page int, table_id string, row_id string, field string, value string")
+    values = make([(1, "r", "amount", "6"), (1, "r", "date", "d")], "document_id long, row_id string, field string, value string")
+    assert codes(rules.linked_value_rules(cells, values)) == [(1, "canonical_value_missing_printed"), (1, "mapped_cell_value_mismatch"), (1, "printed_value_missing_canonical")]
+    usage = make([(1, 1, 1, 2, 0.1, 0.2, 0.3, 0), (2, 1, 1, 3, 0.0, 0.0, 0.0, 1)], "document_id long, initial_calls int, recovery_calls int, total_calls int, initial_cost double, recovery_cost double, total_cost double, hosted_recovery_calls int")
+    assert codes(rules.usage_rules(usage)) == [(2, "provider_usage_aggregate_mismatch"), (2, "recovery_hosted_model_invoked")]
+    pairs = make([(1, "a", "b", "a"), (1, "a", "x", "a")], "document_id long, left_id string, right_id string, flagged string")
+    assert codes(rules.receipt_rules(pairs, make([(1, "a"), (1, "b")], "document_id long, row_id string"))) == [(1, "possible_duplicate_supporting_charge"), (1, "receipt_duplicate_pair_invalid")]
