@@ -26,13 +26,13 @@ def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """document_id, page, table_id, row_order, row_id, description, section, quantity, cents, discount_cents, service_date, role, part."""
     items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_returnflag", "l_shipdate")
     parts = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type")
-    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_shipdate")
     rows = items.join(parts, items.l_partkey == parts.p_partkey)
     refund = F.col("l_returnflag") == "R"
     amount = cents(F.col("l_extendedprice"))
     return rows.select(
         F.col("l_orderkey").alias("document_id"), F.expr("cast((l_linenumber - 1) div 3 + 1 as int)").alias("page"), F.col("l_suppkey").cast("string").alias("table_id"), (F.row_number().over(order) - 1).alias("row_order"),
-        F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("row_id"), F.concat_ws(" ", "p_name", "p_brand").alias("description"), F.col("p_type").alias("section"),
+        F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.row_number().over(order) - 1).alias("row_id"), F.concat_ws(" ", "p_name", "p_brand").alias("description"), F.col("p_type").alias("section"),
         F.col("l_quantity").cast("long").alias("quantity"), F.when(refund, -amount).otherwise(amount).alias("cents"), F.round(F.col("l_discount") * 100).cast("long").alias("discount_percent"),
         F.col("l_shipdate").cast("date").alias("service_date"), F.when(refund, "refund").when(F.col("l_quantity") >= 45, "category_rollup").when(F.col("l_quantity") <= 2, "metadata").otherwise("detail").alias("role"), F.col("l_partkey").alias("part"),
     )
@@ -40,13 +40,14 @@ def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: The same view for another SQL engine, as a CTE named ledger.
 LEDGER_SQL = """ledger AS (
+  SELECT document_id, page, table_id, row_order, row_key || '-' || row_order AS row_id, description, section, quantity, cents, discount_percent, service_date, role, part FROM (
   SELECT l_orderkey AS document_id, CAST((l_linenumber - 1) // 3 + 1 AS INTEGER) AS page, CAST(l_suppkey AS VARCHAR) AS table_id,
-    CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) - 1 AS INTEGER) AS row_order,
-    l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS row_id, p_name || ' ' || p_brand AS description, p_type AS section,
+    CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_shipdate) - 1 AS INTEGER) AS row_order,
+    l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS row_key, p_name || ' ' || p_brand AS description, p_type AS section,
     CAST(l_quantity AS BIGINT) AS quantity, CASE WHEN l_returnflag = 'R' THEN -CAST(round(l_extendedprice * 100) AS BIGINT) ELSE CAST(round(l_extendedprice * 100) AS BIGINT) END AS cents,
     CAST(round(l_discount * 100) AS BIGINT) AS discount_percent, CAST(l_shipdate AS DATE) AS service_date,
     CASE WHEN l_returnflag = 'R' THEN 'refund' WHEN l_quantity >= 45 THEN 'category_rollup' WHEN l_quantity <= 2 THEN 'metadata' ELSE 'detail' END AS role, l_partkey AS part
-  FROM lineitem JOIN part ON l_partkey = p_partkey)"""
+  FROM lineitem JOIN part ON l_partkey = p_partkey))"""
 
 
 def predicted(gold: DataFrame) -> DataFrame:
