@@ -34,8 +34,8 @@ def query(sql: str | None = None):
 s AS (SELECT document_id, sum(cents) AS items, bool_or(role <> 'category_rollup') AS fine, list(cents) FILTER (role = 'category_rollup') AS rollups FROM ledger WHERE role IN ('detail', 'refund', 'category_rollup') GROUP BY document_id),
 t AS (SELECT document_id, count(DISTINCT total_cents) AS n, min(total_cents) AS bill FROM printed GROUP BY document_id),
 b AS (SELECT coalesce(s.document_id, t.document_id) AS document_id, CASE WHEN NOT fine AND list_contains(rollups, bill) THEN bill ELSE coalesce(items, 0) END AS items, bill, n FROM s FULL JOIN t ON s.document_id = t.document_id)
-SELECT document_id, CAST(items AS DECIMAL(18,2)) * CAST(0.01 AS DECIMAL(3,2)) AS items_total, CAST(bill AS DECIMAL(18,2)) * CAST(0.01 AS DECIMAL(3,2)) AS bill_total,
-  CASE WHEN bill IS NULL THEN 'bill_total_missing' WHEN n > 1 THEN 'multiple_printed_totals' WHEN abs(items - bill) <= 1 THEN 'match' ELSE 'mismatch' END AS comparison FROM b""".replace("AS DECIMAL(18,2)) * CAST(0.01 AS DECIMAL(3,2))", "AS DOUBLE) / 100"))
+SELECT document_id, CAST(items AS DOUBLE) / 100 AS items_total, CAST(bill AS DOUBLE) / 100 AS bill_total,
+  CASE WHEN bill IS NULL THEN 'bill_total_missing' WHEN n > 1 THEN 'multiple_printed_totals' WHEN abs(items - bill) <= 1 THEN 'match' ELSE 'mismatch' END AS comparison FROM b""")
 def ledger_reconciliation(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = ledger(spark, sf_dir).select("document_id", "role", "cents")
     state = L.reconcile(rows, printed_totals(spark, sf_dir, rows))
