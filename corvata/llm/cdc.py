@@ -25,7 +25,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvata.llm.spool import spool
 from corvata.llm.textblocks import U64, Block, Fingerprint, blocks, mix, pieces, signed
 
 WINDOW, ZERO_BITS, GAP, MAX_CHUNK, MIN_RUN = 16, 4, 16, 512, 80
@@ -165,7 +164,7 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     packed = made.select("one", "two", "key", "hash", F.expr("shiftleft(start, 32) | size").alias("place"), "n")
     digest = Window.partitionBy("one", "two").orderBy("key", "hash", "place")
     met = packed.withColumn("first", (F.row_number().over(digest) == 1) & (F.col("n") > 0)).withColumn("all", F.sum(F.greatest("n", F.lit(0))).over(Window.partitionBy("one", "two")))
-    found, _ = spool(met.where("n < 0 or all > 1").select("key", "hash", "place", F.when(F.col("n") < 0, -F.col("n")).otherwise(1).alias("n"), "first"), "repeated-chunks")
+    found = met.where("n < 0 or all > 1").select("key", "hash", "place", F.when(F.col("n") < 0, -F.col("n")).otherwise(1).alias("n"), "first")
     by_doc = found.groupBy("key", "hash").agg(F.collect_list(F.struct(F.expr("shiftright(place, 32)").alias("start"), F.expr("place & 4294967295").alias("size"), "n", "first")).alias("found"))
     whole_docs = docs.select(F.struct("*").alias("row"), k.alias("key"), hashed.alias("hash"), t.alias("text"))
     state = whole_docs.join(by_doc, ["key", "hash"], "left").select("row", "text", "found")
