@@ -244,5 +244,6 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", percent:
     stay = found.where("kept").select(F.coalesce("key", F.lit(NO_KEY)).alias("_key"), F.coalesce("hash", F.lit(0)).alias("_hash"), (F.col("n_shingles") == 0).alias("_bare")).distinct()
     t = F.col(text).cast("string")
     rows = docs.select(F.struct("*").alias("row"), F.coalesce(F.col(key).cast("long"), F.lit(NO_KEY)).alias("_key"), F.coalesce(F.xxhash64(t), F.lit(0)).alias("_hash"))
-    same = Window.partitionBy("_key", "_hash").orderBy(F.lit(0))
-    return rows.join(stay, ["_key", "_hash"]).withColumn("_i", F.row_number().over(same)).where("_bare or _i = 1").select("row.*")
+    kept = rows.join(stay, ["_key", "_hash"]).withColumn("_own", F.when(F.col("_bare"), F.monotonically_increasing_id()).otherwise(-1))  # bare rows are groups of their own
+    same = Window.partitionBy("_key", "_hash", "_own").orderBy(F.lit(0))
+    return kept.withColumn("_i", F.row_number().over(same)).where("_i = 1").select("row.*")
