@@ -12,7 +12,7 @@ from corvata.operators import classify, graph, layout, matching, review, totals
 from corvata.operators import ledger as L
 from corvata.plans import corpus, metrics, profiles, rules
 from corvata.sources import otsl
-from corvata.sources.testtables import LEDGER_SQL, PREDICTED_SQL, TOTALS_SQL, cents, ledger, predicted, printed_totals, table
+from corvata.sources.testtables import LEDGER_SQL, PREDICTED_SQL, TOTALS_SQL, ledger, predicted, printed_totals, table
 from corvata.sources.testtables import money as decimal
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
