@@ -1,7 +1,8 @@
 """The corpus pipeline: five stages over documents, each of them one operator of corvata.llm.
 
 A stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of
-documents. Columns that documents have besides pass through.
+documents. Columns that documents have besides pass through; one that is named like a column that the
+mixture adds gets ``_of_document`` at its end there.
 """
 
 from __future__ import annotations
@@ -42,8 +43,9 @@ def without_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mixture: a row for every document and epoch taken, its text cut where its leaf's budget ends."""
     chosen = mixing.with_text(mixing.mix(docs, mixing.domain_of_source(F.col("source")), MIX_WEIGHTS), docs)
-    plain = [F.col(f"row.`{c}`").alias(c) for c in docs.columns if c not in ("text", "n_chars")]
-    return chosen.select(*plain, "text", F.length("text").cast("long").alias("n_chars"), "domain", "epoch", "n_tokens", "take_tokens")
+    added = ("domain", "epoch", "n_tokens", "take_tokens")
+    plain = [F.col(f"row.`{c}`").alias(f"{c}_of_document" if c in added else c) for c in docs.columns if c not in ("text", "n_chars")]
+    return chosen.select(*plain, "text", F.length("text").cast("long").alias("n_chars"), *added)
 
 
 STAGES = [

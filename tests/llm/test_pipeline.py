@@ -44,3 +44,16 @@ def test_empty(spark):
     for _, stage in p.STAGES:
         docs = stage(spark, docs, SF)
         assert docs.count() == 0
+
+
+def test_odd_rows_and_clashing_columns(spark):
+    long = "one two three four five six seven eight nine ten eleven twelve. " * 30
+    rows = [(1, long, "en", "src0", 5), (2, long, None, None, None), (None, None, "en", "src1", 0), (3, "", "fr", "src2", 0), (3, "", "fr", "src2", 0), (4, "Ééé ñ " * 200, "es", "x", 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for c in ("row", "key", "hash", "found", "epoch", "n_tokens", "kept", "items", "score", "_key", "_i", "set", "sid"):
+        docs = docs.withColumn(c, F.lit("mine"))
+    for i, (_, stage) in enumerate(p.STAGES):
+        docs = stage(spark, docs, SF)
+        if i < 4:
+            assert {r["row"] for r in docs.collect()} <= {"mine"}
+    assert {r.epoch_of_document for r in docs.collect()} <= {"mine"}
