@@ -310,3 +310,21 @@ def test_total_link_usage_and_receipt_rules(spark):
     assert codes(rules.usage_rules(usage)) == [(2, "provider_usage_aggregate_mismatch"), (2, "recovery_hosted_model_invoked")]
     pairs = make([(1, "a", "b", "a"), (1, "a", "x", "a")], "document_id long, left_id string, right_id string, flagged string")
     assert codes(rules.receipt_rules(pairs, make([(1, "a"), (1, "b")], "document_id long, row_id string"))) == [(1, "possible_duplicate_supporting_charge"), (1, "receipt_duplicate_pair_invalid")]
+
+
+def test_service_dates_of_neighbours(spark):
+    from corvata.operators import servicedates
+
+    s = "document_id long, table_id string, row_order int, kind string, own_date string, lane_value string, description string"
+    rows = [
+        (0, "charge", None, "IP/12", "Room"), (1, "date_only", "2026-01-05", "", ""), (2, "charge", None, "", "Nursing"), (3, "charge", None, "IP/13", "Diet"), (4, "date_only", "2026-01-07", "", "visit fee"),
+        (5, "charge", "2026-01-09", "x", "Visit"), (6, "other", None, "", ""), (7, "date_only", "2026-01-08", "", ""), (8, "charge", None, "", "Gauze"), (9, "charge", None, "", "Gloves"),
+    ]
+    df = spark.createDataFrame([(1, "t", *r) for r in rows], s).withColumn("own_date", F.col("own_date").cast("date"))
+    got = {r.row_order: (str(r.service_date), r.how) for r in servicedates.recovered(df).collect()}
+    assert got == {0: ("2026-01-05", "attached"), 2: ("2026-01-05", "carried"), 3: ("2026-01-07", "attached"), 5: ("2026-01-09", "own"), 8: ("2026-01-08", "following"), 9: ("None", None)}
+    s = "document_id long, table_id string, row_order int, own_date string, explicit boolean, lane string"
+    rows = [(1, "t", 0, "2026-01-05", True, "a"), (1, "t", 1, "2026-02-05", False, "b"), (1, "t", 2, "2026-02-20", False, "b"), (1, "t", 3, "2027-02-20", True, "a"), (1, "t", 4, "2025-01-01", False, "b"), (2, "t", 0, "2026-02-05", False, "b")]
+    df = spark.createDataFrame(rows, s).withColumn("own_date", F.col("own_date").cast("date"))
+    kept = {(r.document_id, r.row_order) for r in servicedates.believed(df).where("own_date is not null").collect()}
+    assert kept == {(1, 0), (1, 1), (1, 2), (1, 3)}
