@@ -45,11 +45,11 @@ def geometry_score(aspect_a: Column, aspect_b: Column, box_a: Column, box_b: Col
     return F.greatest(F.lit(0.0), 1 - off * 2 - shift * 2)
 
 
-def column_score(centres_a: Column, tolerances: Column, centres_b: Column) -> Column:
-    """Mean closeness over the roles that both know; null without any."""
-    common = F.array_intersect(F.map_keys(centres_a), F.map_keys(centres_b))
-    one = lambda r: F.greatest(F.lit(0.0), 1 - F.abs(centres_a[r] - centres_b[r]) / F.greatest(F.lit(0.02), F.coalesce(F.try_element_at(tolerances, r), F.lit(0.06))))
-    return F.when(F.size(common) > 0, F.aggregate(F.transform(common, one), F.lit(0.0), lambda s, x: s + x) / F.size(common))
+def column_score(centres_a: Column, tolerances: Column, centres_b: Column, keys_a: Column, keys_b: Column) -> Column:
+    """Mean closeness over the roles that both know; null without any. keys are the maps' roles."""
+    common = F.array_intersect(keys_a, keys_b)
+    one = lambda s, r: s + F.greatest(F.lit(0.0), 1 - F.abs(centres_a[r] - centres_b[r]) / F.greatest(F.lit(0.02), F.coalesce(F.try_element_at(tolerances, r), F.lit(0.06))))
+    return F.aggregate(common, F.lit(0.0), one) / F.nullif(F.size(common), F.lit(0))
 
 
 def profile_score(p: str, o: str) -> Column:
@@ -62,7 +62,7 @@ def profile_score(p: str, o: str) -> Column:
     types = F.when(c(p, "page_type") == c(o, "page_type"), 0.4).otherwise(0.0) + F.when(c(p, "table_type") == c(o, "table_type"), 0.6).otherwise(0.0)
     geometry = geometry_score(c(p, "aspect"), c(o, "aspect"), c(p, "box"), c(o, "box"))
     header = jaccard(c(p, "words"), c(o, "words"))
-    columns = column_score(c(p, "centres"), c(p, "tolerances"), c(o, "centres"))
+    columns = column_score(c(p, "centres"), c(p, "tolerances"), c(o, "centres"), c(p, "roles"), c(o, "roles"))
     total = identity * 0.2 + types * 0.15 + geometry * 0.1 + F.coalesce(header * 0.3, F.lit(0.0)) + F.coalesce(columns * 0.25, F.lit(0.0))
     weight = F.lit(0.45) + F.when(header.isNotNull(), 0.3).otherwise(0.0) + F.when(columns.isNotNull(), 0.25).otherwise(0.0)
     other = c(p, "hospital_id").isNotNull() & (c(p, "hospital_id") != "") & ~c(p, "hospital_id").eqNullSafe(c(o, "hospital_id"))
@@ -75,8 +75,8 @@ def select_profiles(profiles: DataFrame, observations: DataFrame, block: list[st
     Candidates meet observations on the blocking columns, for exact results those that a nonzero
     margin needs; an observation without candidates comes back unselected.
     """
-    p = profiles.where("lifecycle = 'active'").select(*[F.col(x).alias(f"p_{x}") for x in profiles.columns])
-    o = observations.select(*[F.col(x).alias(f"o_{x}") for x in observations.columns])
+    p = profiles.where("lifecycle = 'active'").select(F.map_keys("centres").alias("p_roles"), *[F.col(x).alias(f"p_{x}") for x in profiles.columns])
+    o = observations.select(F.map_keys("centres").alias("o_roles"), *[F.col(x).alias(f"o_{x}") for x in observations.columns])
     on = [F.col(f"p_{b}").eqNullSafe(F.col(f"o_{b}")) for b in block]
     scored = o.join(p, on, "left").withColumn("score", F.when(F.col("p_profile_key").isNotNull(), profile_score("p_", "o_")))
     w = Window.partitionBy("o_observation_id").orderBy(F.desc_nulls_last("score"), F.desc_nulls_last("p_version"), F.desc_nulls_last("p_profile_key"))
