@@ -216,7 +216,8 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text", percent
     buckets = _meet(units.select(F.explode("bands").alias("bucket"), "sid"))
     sizes, _ = spool(units.select("sid", "n", "key", "hash").join(buckets.select("sid").distinct(), "sid"), "sizes")
     one_each = Window.partitionBy("key", "hash").orderBy("sid")
-    texts = rows.join(sizes.select("sid", "key", "hash").hint("merge"), ["key", "hash"])  # one plan at every size.withColumn("i", F.row_number().over(one_each)).where("i = 1")
+    texts = rows.join(sizes.select("sid", "key", "hash").hint("merge"), ["key", "hash"])  # one plan at every size
+    texts = texts.withColumn("i", F.row_number().over(one_each)).where("i = 1")
     sets, _ = spool(texts.select("sid", "text").mapInArrow(_sets, "sid long, set array<long>"), "sets")
     first, _ = spool(_confirm(_led(buckets, sizes, percent), sets, percent), "confirmed")
     roots = stars(first)

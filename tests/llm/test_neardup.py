@@ -65,6 +65,22 @@ def test_against_brute_force(spark, seed):
     assert Counter((r.key, r.n_shingles, r.component_id, r.kept) for r in got) == brute(rows)
 
 
+def test_prefix_filter_with_repeated_rows(spark, monkeypatch):
+    """Without leaders all units reach the prefix filter; rows that repeat key and text, and null keys that repeat a text, don't shorten its prefixes."""
+    r = random.Random(5)
+    rows = []
+    for i in range(20):
+        base = [f"w{r.randrange(3000)}" for _ in range(60)]
+        other = list(base)
+        other[30] = f"x{i}"
+        rows += [(2 * i, " ".join(base)), (None if i % 4 == 0 else 2 * i + 1, " ".join(other))]
+    rows *= 6
+    led = neardup._led
+    monkeypatch.setattr(neardup, "_led", lambda *a: led(*a).limit(0))
+    got = neardup.components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert Counter((x.key, x.n_shingles, x.component_id, x.kept) for x in got) == brute(rows)
+
+
 def test_keep_one(spark):
     rows = [(1, "a b c d e f g h", "x"), (2, "a b c d e f g h", "y"), (3, None, "z"), (4, "", "z"), (1, "a b c d e f g h", "x")]
     df = spark.createDataFrame(rows, "doc_id long, text string, row string")
