@@ -34,7 +34,7 @@ def proposal_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def derived_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = _proposals(spark, sf_dir).where("k % 5 = 0")
+    p = _proposals(spark, sf_dir)
     return selection.derived_tables(p, selection.proposal_edges(p, "raw"), "raw")
 
 
