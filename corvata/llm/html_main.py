@@ -4,8 +4,10 @@ Each page is walked once as a stream of tags. Elements that can hold an article
 container is named by its generalised path (tags with classes, digits and hashed names folded).
 Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments are
 left out by element, role, or class and id words. A page votes for the deepest container that still
-holds most of its remaining text; Spark adds the votes by host; every page is then read again from
-the best winning path of its host that it has, or from its own vote where it has none.
+holds most of its remaining text, but for none inside one with text of its own, with the title, or
+with several sections; Spark adds the votes by host; every page is then read again from the best
+winning path of its host that it has, or from its own vote where it has none or where the path lies
+in a container that such a rule keeps whole.
 
 Defined results: null, empty or text-free html gives ''. A page without a host votes alone. Tags
 left open end with their parents or the page; a tag cut off by the end of the page is no text. If a
@@ -84,8 +86,9 @@ class Page:
 
     def __init__(self, html: str):
         self.names, self.tags, self.parent, self.end = ["html"], ["html"], [-1], [0]
-        self.chars, self.h1 = [0], [0]
+        self.chars, self.h1, self.own = [0], [0], [False]  #: own: text that stands in no inner container
         self.pieces: list[tuple[int, str]] = []
+        self.kept = -1  #: what best() chose so that nothing beside the largest container is lost
         self._walk(html)
 
     def _walk(self, html: str) -> None:
@@ -102,6 +105,7 @@ class Page:
                 add((node, text))
                 if not links:
                     self.chars[node] += len(text)
+                    self.own[node] = self.own[node] or not text.isspace()
             at = m.end()
             tag = m[3]
             if tag is None:
@@ -155,6 +159,7 @@ class Page:
                 self.end.append(0)
                 self.chars.append(0)
                 self.h1.append(0)
+                self.own.append(False)
                 stack.append((tag, k))
                 open_[tag] += 1
                 article += tag in ("article", "main")
@@ -166,6 +171,7 @@ class Page:
             text = unescape(html[at:])
             add((node, text))
             self.chars[node] += len(text)
+            self.own[node] = self.own[node] or not text.isspace()
         n = len(self.tags)
         self.end = [e or n for e in self.end]
         self.end[0] = n
@@ -187,16 +193,24 @@ class Page:
             k = self.parent[k]
         return ">".join(reversed(out))
 
+    def whole(self, k: int, top: int) -> bool:
+        """Whether going down from k to top would lose text of k itself, its title or another section."""
+        sections = self.tags[top] == "section" and any(i != top and self.tags[i] == "section" and self.chars[i] for i in self.kids[k])
+        return self.own[k] or self.h1[top] < self.h1[k] or sections
+
     def best(self) -> int:
-        """The deepest container with most of the text; an article is not cut further, nor is its title lost."""
+        """The deepest container with most of the text; an article is not cut further, nor are its own text, title and sections lost."""
         k = 0
         while self.tags[k] != "article":
             if self.articles[k] == 1 and self.chars[self.article[k]] >= 0.3 * self.chars[k]:
                 return self.article[k]
             top = max(self.kids[k], key=lambda i: (self.chars[i], -i), default=-1)
-            if top < 0 or not self.chars[top] or self.chars[top] < MOST * self.chars[k]:
+            if top < 0 or not self.chars[top]:
+                return k
+            if self.whole(k, top):
+                self.kept = k
                 return k
-            if self.h1[top] < self.h1[k] and self.tags[k] not in ("html", "body"):
+            if self.chars[top] < MOST * self.chars[k]:
                 return k
             k = top
         return k
@@ -216,7 +230,9 @@ class Page:
         for path in wanted or ():
             found = [k for k, p in enumerate(paths) if p == path]
             if found and sum(self.chars[k] for k in found) > 0:
-                return self.text(found)
+                own = self.best()
+                inside = own == self.kept and all(own <= k < self.end[own] for k in found)
+                return self.text([own] if inside else found)
         return self.text([self.best()])
 
 

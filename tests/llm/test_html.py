@@ -23,6 +23,25 @@ def test_pages(html, text):
     assert Page(html or "").main(None) == text
 
 
+LONG = "long text " * 20
+BESIDE = [
+    (f"<main><p>the lead</p><div class=body><p>{LONG}</p></div></main>", f"the lead {LONG}"),
+    (f"<body><h1>Title</h1><p>the lead</p><div><p>{LONG}</p></div></body>", f"Title the lead {LONG}"),
+    (f"<body><div class=top><h1>Title</h1></div><div><p>{LONG}</p></div></body>", f"Title {LONG}"),
+    ("<main><p>a lead nearly as long</p><div class=body><p>as the inner text is</p></div></main>", "a lead nearly as long as the inner text is"),
+    (f"<main><section class=a><p>first part</p></section><section class=b><p>{LONG}</p></section></main>", f"first part {LONG}"),
+]
+
+
+@pytest.mark.parametrize(("html", "text"), BESIDE)
+def test_text_beside_the_largest_container_stays(html, text):
+    """Also where other pages of the host vote for the inner container."""
+    page = Page(html)
+    assert page.main(None) == text.strip()
+    largest = max(page.kids[page.best()], key=lambda k: page.chars[k])
+    assert Page(html).main([page.path(largest)]) == text.strip()
+
+
 def test_hosts_vote(spark):
     body = "<div class='wrap'><div class='story{}'><p>{}</p></div><div class='box'><p>{}</p></div></div>"
     rows = [(i, f"https://a.example/{i}", body.format("", "real text " * 20, "short"), "z") for i in range(9)]
