@@ -43,7 +43,7 @@ def crc(column: str, mod: int):
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = suffixes.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    done = suffixes.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), carry=["doc_id"])
     return done.select("row.doc_id", "n_bytes", "n_removed", F.size("removed").cast("long").alias("n_spans"), "kept_sha256")
 
 

@@ -1,25 +1,30 @@
 """Suffix-array dedup: which bytes lie in a string of LENGTH bytes that starts elsewhere too.
 
-Distributed prefix doubling names the prefix of a position by a rank, pairs the rank with the rank
-of what follows at a growing offset, and lets Spark bring equal pairs together for a new rank, until
-a position's rank is unique or its prefix has the full length. Done at every byte it would sort the
-corpus many times over, so here positions are sampled by content and ranks stand for ranges:
+Distributed prefix doubling. A position's rank stands for its first UNIT bytes, then for 2, 4, ...
+units: Spark sorts the pairs (rank of the position, rank of the position an offset further on),
+numbers equal pairs alike in sort order, drops positions whose pair is unique, and doubles the
+offset; the last step overlaps. Done at every byte this would sort the corpus many times over, so
+content decides which positions can have a partner at all:
 
 * Every window of LENGTH bytes is anchored at its lowest-hashed SEED-gram (the leftmost of equals), so
-  equal windows have equal anchors at equal distances. The rank of an anchor is its SEED-gram.
-* Neighbouring windows with one anchor form a range. Ranges whose whole strings are equal are settled
-  at once; of these one goes on, for the sake of others.
-* A range goes on only while another one with its rank differs from it. Each round cuts it into
-  cells of fewer windows, and pairs the rank with the bytes by which all windows of the cell extend
-  the ranked string: at its left and right, up to the full length in the last round, where cells are
-  single windows. Cells of unique rank hold no repeated window and drop out.
-
-Equal strings that meet in a block of texts send one row, so hot passages don't grow a task.
-Comparisons of whole strings are by 128-bit digests. Texts are shuffled twice, short rows otherwise.
+  equal windows have equal anchors at equal distances. Neighbouring windows with one anchor form a
+  range. Ranges whose whole strings are equal are one row from there on, with a count; their bytes
+  are known to repeat. Ranges whose SEED-gram no other range has can't repeat and drop out.
+* Of the others, the positions ranked are those a whole number of units from the anchor. Equal
+  windows agree in all of these that they hold, so a window whose ranked positions are unique doesn't
+  repeat. Ranks grow to the whole units that every window of UNIT neighbouring ones (a cell) holds.
+* Cells whose rank is shared are extended to LENGTH at every byte: in narrower cells, by the bytes
+  left and right of the ranked string, until cells are single windows.
+
+Rows of equal strings are counted before they are shuffled where they meet, and joins on ranks are
+salted, so hot passages don't grow a task. Comparisons are by 64-bit ranks of 64-bit fingerprints while
+filtering and by 128-bit digests of whole strings where bytes are found to repeat. Texts are shuffled
+twice, short rows otherwise; a text of any length is looked at half a megabyte at a time.
 
 Defined results: a null text counts as empty; texts shorter than LENGTH keep everything unless a
 longer string covers them (it can't: matches never cross texts). Rows that repeat key and text are
-copies of each other, so both lose what is long enough. All columns ride along in ``row``.
+copies of each other, so both lose what is long enough. All columns ride along in ``row``, or those
+that ``carry`` names.
 """
 
 from __future__ import annotations
@@ -32,8 +37,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvata.llm.spool import spool
-from corvata.llm.textblocks import U64, Block, Fingerprint, blocks, firsts, mix, pieces, signed
+from corvata.llm.hot import hot_join
+from corvata.llm.spool import discard, spool
+from corvata.llm.textblocks import BLOCK_BYTES, U64, Block, Fingerprint, Seen, blocks, carried, firsts, mix, pieces, signed
 
 LENGTH, SEED = 400, 64
 #: A range's place holds its first window, its number of windows less one, and its anchor in it.
@@ -93,19 +99,34 @@ def _join_spans(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np
     return doc[at], start[at], np.maximum.reduceat(end, at)
 
 
+def _bounded(b: Block, length: int) -> Iterator[tuple[Block, int]]:
+    """The block, or where it is one long text, parts of it with the place where each starts; parts overlap by length - 1 bytes."""
+    n = len(b.data)
+    if b.n > 1 or n <= BLOCK_BYTES + length:
+        yield b, 0
+        return
+    for at in range(0, n - length + 1, BLOCK_BYTES):
+        data = b.data[at : at + BLOCK_BYTES + length - 1]
+        yield Block(b.first, data, np.array([0, len(data)], np.int64), b.null), at
+
+
 def _find_ranges(length: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """n > 0: a range, and how many equal ones the block has (2 for more); else -n bytes from place on are settled."""
+        """n > 0: a range, and how many equal ones the task has met (2 for more); else -n bytes from place on are settled."""
+        seen = Seen()
         for batch in batches:
             keys, hashes = batch["key"].to_numpy(), batch["hash"].to_numpy()
-            for b in blocks(batch["text"]):
+            for b, at_byte in (p for b in blocks(batch["text"]) for p in _bounded(b, length)):
                 doc, lo, hi, a, rank, one, two = ranges(b, length, seed)
                 if not len(doc):
                     continue
+                lo, hi, a = lo + at_byte, hi + at_byte, a + at_byte
                 order, at = firsts(one, two)
-                count = np.diff(np.append(at, len(order)))
+                size = np.diff(np.append(at, len(order)))
                 first = order[at]
-                settled = np.sort(order[np.repeat(count > 1, count)])
+                known, told = seen.meet(one[first], two[first], size > 1)
+                settled = np.sort(order[np.repeat(known | (size > 1), size)])
+                first, count = first[~told], (size + known)[~told]
                 sd, ss, se = _join_spans(doc[settled], lo[settled], hi[settled] + length)
                 place = (lo << (2 * _BITS)) | ((hi - lo) << _BITS) | (a - lo)
                 spread = np.arange(len(sd))
@@ -139,11 +160,58 @@ def _cut_snippets(length: int):
 _CELL = "rank long, one long, two long, sid long, cell long, key long, hash long, start long, end long, n long"
 
 
-def _make_cells(length: int, seed: int, wide: int, parent: int | None):
-    """Cells of wide window starts, by distance to the anchor, from those of parent (None: the anchor itself)."""
+def _unit_ranks(length: int, unit: int):
+    """Each ranked position's first unit bytes, named with the rank of its anchor and its place k to it, in units."""
+    held = (length - unit + 1) // unit
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in (batch.slice(i, 512) for i in range(0, batch.num_rows, 512)):
+                snip = part["bytes"].to_pylist()
+                data = np.frombuffer(b"".join(snip), np.uint8)
+                base = np.cumsum([0, *map(len, snip)])[:-1].astype(np.int64)
+                first = -(part["high"].to_numpy() // unit)
+                count = held - part["low"].to_numpy() // unit - first
+                src = np.repeat(np.arange(len(snip)), count)
+                k = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + first[src]
+                at = (base + part["before"].to_numpy())[src] + k * unit
+                c = _ONE.prefix(data)
+                name = mix(_ONE.of(c, at, at + unit) * _K[0] + mix(part["rank"].to_numpy().view(U64)[src] + k.astype(U64) * _K[1]))
+                yield pa.RecordBatch.from_arrays([part["sid"].take(pa.array(src)), pa.array(k), part["n"].take(pa.array(src)), pa.array(signed(name)), pa.array(np.zeros(len(k), np.int64))], names=["sid", "k", "n", "r1", "r2"])
+
+    return run
+
+
+def _rerank(pairs: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """Of rows (sid, k, n, r1, r2), (sid, k, n, rank): equal pairs numbered alike in their sort order; unique ones, and those of settled ranges alone, drop out."""
+    pairs, at = spool(pairs.withColumn("pair", F.xxhash64("r1", "r2")), f"{name}-pairs")
+    met = pairs.groupBy("r1", "r2").agg(F.count(F.lit(1)).alias("rows"), F.max((F.col("n") == 1).cast("int")).alias("open")).where("rows > 1 and open = 1")
+    ranks, ranks_at = spool(met.sort("r1", "r2").select(F.xxhash64("r1", "r2").alias("pair"), "rows", F.monotonically_increasing_id().alias("rank")), f"{name}-ranks")
+    out, out_at = spool(hot_join(pairs.select("sid", "k", "n", "pair"), ranks, "pair", "rows").select("sid", "k", "n", "rank"), name)
+    discard(pairs.sparkSession, at, ranks_at)
+    return out, out_at
+
+
+def _doubled(snippets: DataFrame, length: int, unit: int) -> tuple[DataFrame, str]:
+    """(sid, cells): of each range the cells, (rank, cell, n), whose ranked string of whole units others have too."""
+    first = snippets.select("sid", "bytes", "before", "low", "high", "rank", "n").mapInArrow(_unit_ranks(length, unit), "sid long, k long, n long, r1 long, r2 long")
+    state, at = _rerank(first, "rank")
+    have, held = 1, (length - unit + 1) // unit
+    while have < held:
+        offset = min(have, held - have)
+        ahead = state.select("sid", (F.col("k") - offset).alias("k"), F.col("rank").alias("r2"))
+        new, new_at = _rerank(state.withColumnRenamed("rank", "r1").join(ahead, ["sid", "k"]), f"rank{have + offset}")
+        discard(snippets.sparkSession, at)
+        state, at, have = new, new_at, have + offset
+    return state.where("k <= 0").groupBy("sid").agg(F.collect_list(F.struct("rank", (-F.col("k")).alias("cell"), "n")).alias("cells")), at
+
+
+def _make_cells(length: int, seed: int, wide: int, parent: int, held: int):
+    """Cells of wide window starts, by distance to the anchor, from those of parent; held: bytes ranked there, 0 for all that its windows share."""
     top = length - seed  # the largest distance
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = Seen()
         for batch in (p for x in batches for p in (x.slice(i, 512) for i in range(0, x.num_rows, 512))):
             snip = batch["bytes"].to_pylist()
             data = np.frombuffer(b"".join(snip), np.uint8)
@@ -153,10 +221,7 @@ def _make_cells(length: int, seed: int, wide: int, parent: int | None):
             for i, cells in enumerate(batch["cells"].to_pylist()):
                 low, high = int(get["low"][i]), int(get["high"][i])
                 for c in cells:
-                    if parent is None:
-                        d0, d1 = 0, top
-                    else:
-                        d0, d1 = c["cell"] * parent, min(c["cell"] * parent + parent - 1, top)
+                    d0, d1 = c["cell"] * parent, min(c["cell"] * parent + parent - 1, top)
                     for k in range(max(low, d0) // wide, min(high, d1) // wide + 1):
                         src.append(i)
                         cell.append(k)
@@ -170,7 +235,8 @@ def _make_cells(length: int, seed: int, wide: int, parent: int | None):
             c0, c1 = cell * wide, np.minimum(cell * wide + wide - 1, top)
             a = base[src] + get["before"][src]
             p1, p2 = _ONE.prefix(data), _TWO.prefix(data)
-            ranked_from, ranked_to = (a, a + seed) if parent is None else (a - d0, a - d1 + length)
+            ranked_from = a - d0
+            ranked_to = ranked_from + held if held else a - d1 + length
             left, right = _ONE.of(p1, a - c0, ranked_from), _ONE.of(p1, ranked_to, a - c1 + length)
             new = signed(mix(old * _K[0] + mix(left * _K[1] + cell.astype(U64) * _K[3]) + right * _K[2]))
             e0, e1 = np.maximum(c0, get["low"][src]), np.minimum(c1, get["high"][src])
@@ -179,13 +245,15 @@ def _make_cells(length: int, seed: int, wide: int, parent: int | None):
             two = signed(mix(_TWO.of(p2, a - e1, a - e0 + length) + shape))
             start, end = get["anchor"][src] - e1, get["anchor"][src] - e0 + length
             order, at = firsts(new, one, two)
-            total = np.add.reduceat(n[order], at)
+            total = np.add.reduceat(n[order], at) if len(at) else n
             first = order[at]
             size = np.diff(np.append(at, len(order)))
-            settled = order[np.repeat(size > 1, size)]
+            known, told = seen.meet(one[first] ^ new[first], two[first], total > 1)
+            settled = order[np.repeat(known | (size > 1), size)]
             settled = settled[n[settled] == 1]
             so = np.lexsort((start[settled], src[settled]))
             sd, ss, se = _join_spans(src[settled][so], start[settled][so], end[settled][so])
+            first, total = first[~told], (total + known)[~told]
             pad = np.zeros(len(sd), np.int64)
             spread = signed(mix(np.arange(len(sd), dtype=U64)))
             yield _batch([np.append(new[first], spread), np.append(one[first], spread), np.append(two[first], pad), np.append(get["sid"][src[first]], pad), np.append(cell[first], pad), np.append(get["key"][src[first]], get["key"][sd]), np.append(get["hash"][src[first]], get["hash"][sd]), np.append(start[first], ss), np.append(end[first], se), np.append(np.minimum(total, 2), pad - 1)], _CELL)
@@ -195,8 +263,8 @@ def _make_cells(length: int, seed: int, wide: int, parent: int | None):
 
 def _classes(met: DataFrame) -> DataFrame:
     """Of rows (rank, n, ...), one by distinct string: those whose rank has others and an unsettled one."""
-    ranks = met.groupBy("rank").agg(F.count(F.lit(1)).alias("_all"), F.sum((F.col("n") == 1).cast("long")).alias("_one")).where("_all > 1 and _one > 0").select("rank")
-    return met.join(ranks, "rank")
+    ranks = met.groupBy("rank").agg(F.count(F.lit(1)).alias("_all"), F.max((F.col("n") == 1).cast("int")).alias("_one")).where("_all > 1 and _one = 1").select("rank", "_all")
+    return hot_join(met, spool(ranks, "shared-ranks")[0], "rank", "_all")
 
 
 def _finisher(as_text: bool):
@@ -247,30 +315,34 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: in
     by_doc = open_ranges.groupBy("key", "hash").agg(F.collect_list(F.struct("place", "rank", "n")).alias("found"))
     one_row = rows.join(by_doc, ["key", "hash"]).select("key", "hash", "text", "found")
     cut = one_row.mapInArrow(_cut_snippets(length), _SNIPPET)
-    snippets, _ = spool(cut.select(F.monotonically_increasing_id().alias("sid"), "*"), "snippets")
-    state = snippets.withColumn("cells", F.array(F.struct("rank", F.lit(0).cast("long").alias("cell"), "n")))
-    level, parent = max(0, (length - seed).bit_length() - 2), None
+    snippets, snippets_at = spool(cut.select(F.monotonically_increasing_id().alias("sid"), "*"), "snippets")
+    unit = 1 << (seed.bit_length() - 1)
+    left, left_at = _doubled(snippets, length, unit)
+    wide, parent, held = unit, unit, (length - unit + 1) // unit * unit
     while True:
-        cells = state.select("sid", "key", "hash", "anchor", "before", "low", "high", "bytes", "cells").mapInArrow(_make_cells(length, seed, 1 << level, parent), _CELL)
+        state = snippets.join(left, "sid")
+        cells = state.select("sid", "key", "hash", "anchor", "before", "low", "high", "bytes", "cells").mapInArrow(_make_cells(length, seed, wide, parent, held), _CELL)
         string = Window.partitionBy("rank", "one", "two")
         cells = cells.withColumn("all", F.sum(F.greatest("n", F.lit(0))).over(string)).withColumn("i", F.row_number().over(string.orderBy("key", "hash", "start")))
-        done, _ = spool(cells.where("n < 0 or all > 1 or i = 1").drop("one", "two"), f"cells{level}")
+        done, _ = spool(cells.where("n < 0 or all > 1 or i = 1").drop("one", "two"), f"cells{wide}")
+        discard(spark, *([left_at] if held else []))
         found.append(done.where("n < 0 or (n = 1 and all > 1)").select("key", "hash", "start", "end"))
-        if level == 0:
+        if wide == 1:
             break
         left = _classes(done.where("n > 0 and i = 1").select("rank", "sid", "cell", F.least("all", F.lit(2)).cast("long").alias("n")))
-        state = snippets.join(left.groupBy("sid").agg(F.collect_list(F.struct("rank", "cell", "n")).alias("cells")), "sid")
-        parent, level = 1 << level, max(0, level - 3)
+        left = left.groupBy("sid").agg(F.collect_list(F.struct("rank", "cell", "n")).alias("cells"))
+        parent, wide, held = wide, max(1, wide // 8), 0
+    discard(spark, snippets_at)
     out = found[0]
     for f in found[1:]:
         out = out.unionByName(f)
     return out
 
 
-def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, seed: int | None = None, as_text: bool = False) -> DataFrame:
-    """Columns: row (struct of all columns), kept (bytes, or as text without characters cut in two), n_bytes, n_removed, removed (byte spans), kept_sha256."""
+def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, seed: int | None = None, as_text: bool = False, carry: list[str] | None = None) -> DataFrame:
+    """Columns: row (struct of all columns, or of those in carry), kept (bytes, or as text without characters cut in two), n_bytes, n_removed, removed (byte spans), kept_sha256."""
     by_doc = repeats(docs, key, text, length, seed).groupBy("key", "hash").agg(F.collect_list(F.struct("start", "end")).alias("found"))
     k, t = F.coalesce(F.col(key).cast("long"), F.lit(NULL_KEY)), F.col(text).cast("string")
-    state = docs.select(F.struct("*").alias("row"), k.alias("key"), F.xxhash64(F.col(key).cast("long"), t).alias("hash"), t.alias("text")).join(by_doc, ["key", "hash"], "left").select("row", "text", "found")
+    state = docs.select(carried(docs, carry), k.alias("key"), F.xxhash64(F.col(key).cast("long"), t).alias("hash"), t.alias("text")).join(by_doc, ["key", "hash"], "left").select("row", "text", "found")
     schema = state.select("row", F.lit("" if as_text else b"").alias("kept"), F.lit(0).cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("removed"), F.lit("").alias("kept_sha256")).schema
     return state.mapInArrow(_finisher(as_text), schema)

@@ -11,6 +11,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 #: Text looked at at once: a worker needs up to 150 times as much.
 BLOCK_BYTES = 1 << 19
@@ -148,3 +150,39 @@ def firsts(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         x = c[order]
         new[1:] |= x[1:] != x[:-1]
     return order, np.flatnonzero(new)
+
+
+class Seen:
+    """Strings (two digests each) that a task has met in earlier blocks, up to CAP of them, and which were told to be repeated.
+
+    So a string that is in every block costs a task two rows, not one a block. What is forgotten costs rows, never results.
+    """
+
+    CAP = 1 << 18
+
+    def __init__(self) -> None:
+        self.one, self.two, self.told = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
+
+    def meet(self, one: np.ndarray, two: np.ndarray, again: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of distinct strings of a block (again: the block itself repeats them): which are known, and which need not be told any more."""
+        at = np.searchsorted(self.one, one)
+        at[at == len(self.one)] = 0
+        known = np.zeros(len(one), bool)
+        if len(self.one):
+            known = (self.one[at] == one) & (self.two[at] == two)
+        told = np.zeros(len(one), bool)
+        told[known] = self.told[at[known]]
+        if known.any():
+            self.told[at[known]] = True
+        if len(self.one) + len(one) > self.CAP:
+            self.one, self.two, self.told = self.one[:0], self.two[:0], self.told[:0]
+        new = np.flatnonzero(~known)
+        new = new[np.argsort(one[new], kind="stable")]
+        to = np.searchsorted(self.one, one[new])
+        self.one, self.two, self.told = (np.insert(a, to, b) for a, b in ((self.one, one[new]), (self.two, two[new]), (self.told, again[new])))
+        return known, told
+
+
+def carried(rows: DataFrame, carry: list[str] | None) -> Column:
+    """The struct ``row`` that rides along: all columns, or those named."""
+    return F.struct(*[F.col(f"`{c}`") for c in (rows.columns if carry is None else carry)]).alias("row")
