@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 SHARE, PARTS = 128, 64
 
 
-def hot_join(rows: DataFrame, table: DataFrame, key: str, count: str) -> DataFrame:
-    """rows join table on key, where a (written) table has one row for each key and says in count how many of rows have it.
+def hot_join(rows: DataFrame, table: DataFrame, key: str, count: str, also: tuple[str, ...] = ()) -> DataFrame:
+    """rows join table on key (and the columns also), where a (written) table has one row for each key and says in count how many of rows have it.
 
     The rows of hot keys are salted by their content and met by PARTS copies of the key's one row; the
     driver sees at most SHARE keys. The column count is dropped; null keys meet nothing.
@@ -19,8 +19,8 @@ def hot_join(rows: DataFrame, table: DataFrame, key: str, count: str) -> DataFra
     hot = [r[0] for r in table.where(F.col(count) * SHARE >= total).select(key).collect()] if total > SHARE * PARTS else []
     table = table.drop(count)
     if not hot:
-        return rows.join(table, key)
+        return rows.join(table, [key, *also])
     is_hot = F.col(key).isin(hot)
     salt = F.when(is_hot, F.pmod(F.xxhash64(*[F.col(c) for c in rows.columns]), F.lit(PARTS))).otherwise(F.lit(0)).cast("int")
     salts = F.when(is_hot, F.sequence(F.lit(0), F.lit(PARTS - 1))).otherwise(F.array(F.lit(0)))
-    return rows.withColumn("_salt", salt).join(table.withColumn("_salt", F.explode(salts)), [key, "_salt"]).drop("_salt")
+    return rows.withColumn("_salt", salt).join(table.withColumn("_salt", F.explode(salts)), [key, *also, "_salt"]).drop("_salt")

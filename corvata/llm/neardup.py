@@ -30,8 +30,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from corvata.llm.hot import hot_join
 from corvata.llm.spool import discard, spool
-from corvata.llm.textblocks import U64, Block, blocks, firsts, mix, signed, words
+from corvata.llm.textblocks import BLOCK_BYTES, SPACE, U64, Block, blocks, firsts, mix, signed, words
 
 SHINGLE, PERMUTATIONS, ROWS = 5, 48, 3
 #: The sharper buckets.
@@ -43,10 +44,26 @@ _MUL = _rng.integers(0, 2**63, 4096, dtype=U64) * U64(2) + U64(1)
 _ADD = _rng.integers(0, 2**64, 4096, dtype=U64)
 
 
-def shingles(b: Block, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+def _words(b: Block, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """(text, digest) of every word in order; one long text is read about limit bytes at a time."""
+    n = len(b.data)
+    if b.n > 1 or n <= limit:
+        s, _, h = words(b)
+        return np.searchsorted(b.offs, s, side="right") - 1, h
+    parts, at = [], 0
+    while at < n:
+        end = min(n, at + limit)
+        while end < n and not SPACE[b.data[end]]:  # words stay whole
+            end += 1
+        parts.append(words(Block(b.first, b.data[at:end], np.array([0, end - at], np.int64), b.null))[2])
+        at = end
+    h = np.concatenate(parts)
+    return np.zeros(len(h), np.int64), h
+
+
+def shingles(b: Block, k: int = SHINGLE, limit: int = BLOCK_BYTES) -> tuple[np.ndarray, np.ndarray]:
     """(text, digest) of the distinct shingles of each text, sorted by text and digest."""
-    s, _, h = words(b)
-    doc = np.searchsorted(b.offs, s, side="right") - 1
+    doc, h = _words(b, limit)
     n = np.bincount(doc, minlength=b.n)
     out_doc, out = [], []
     if len(h) >= k:
@@ -136,22 +153,23 @@ def _deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def stars(links: DataFrame) -> DataFrame:
-    """(sid, root): the smallest unit reachable from each unit that has links, but for roots themselves. Links are (a, b) with a > b."""
+    """(sid, root): the smallest unit reachable from each unit that has links, but for roots themselves. Links are (a, b) with a > b.
+
+    A unit with very many links is met by the rows of its links in several tasks."""
     spark = links.sparkSession
     edges, at = spool(links.distinct(), "links")
     before = None
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"))
-        large = both.join(least, F.col("a") == F.col("u")).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        large = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        mid, mid_at = spool(large, "large-star")
-        root = mid.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), "m")
-        small = mid.join(root, F.col("a") == F.col("u")).select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").where("a <> b").distinct()
+        least, least_at = spool(both.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("rows")).withColumn("m", F.least("a", "m")), "least")
+        large = hot_join(both, least, "a", "rows").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
+        mid, mid_at = spool(large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "large-star")
+        root, root_at = spool(mid.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("rows")), "roots")
+        small = hot_join(mid, root, "a", "rows").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").where("a <> b").distinct()
         new, new_at = spool(small, "small-star")
-        discard(spark, at, mid_at)
+        discard(spark, at, mid_at, least_at, root_at)
         edges, at = new, new_at
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.hash("a", "b").cast("long"))).first()
+        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if tuple(now) == before:
             return edges.select(F.col("a").alias("sid"), F.col("b").alias("root"))
         before = tuple(now)
@@ -165,17 +183,17 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _meet(dealt: DataFrame) -> DataFrame:
-    """The rows (bucket, sid) of buckets with several units."""
-    shared = dealt.groupBy("bucket").count().where("count > 1")
-    return spool(dealt.join(shared, "bucket").select("bucket", "sid", F.col("count").alias("size")), "buckets")[0]
+    """The rows (bucket, sid, size) of buckets with several units."""
+    shared = dealt.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    return spool(dealt.join(shared, "bucket").select("bucket", "sid", "size"), "buckets")[0]
 
 
 def _led(buckets: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of each unit with the leaders of its buckets, where the sizes of their sets allow a link."""
     fame = buckets.groupBy("sid").agg(F.sum("size").alias("fame"))
-    lead = buckets.select("bucket", "sid").join(fame, "sid").groupBy("bucket").agg(F.max(F.struct("fame", (-F.col("sid")).alias("sid"))).alias("top"))
-    lead = lead.select("bucket", (-F.col("top.sid")).alias("lead"))
-    pairs = buckets.join(lead, "bucket").where("sid <> lead").select(F.greatest("sid", "lead").alias("a"), F.least("sid", "lead").alias("b")).distinct()
+    lead = buckets.select("bucket", "sid").join(fame, "sid").groupBy("bucket").agg(F.max(F.struct("fame", (-F.col("sid")).alias("sid"))).alias("top"), F.count(F.lit(1)).alias("rows"))
+    lead, _ = spool(lead.select("bucket", (-F.col("top.sid")).alias("lead"), "rows"), "leaders")
+    pairs = hot_join(buckets.select("bucket", "sid"), lead, "bucket", "rows").where("sid <> lead").select(F.greatest("sid", "lead").alias("a"), F.least("sid", "lead").alias("b")).distinct()
     return _sized(pairs, sizes, percent)
 
 
@@ -215,9 +233,8 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text", percent
     units, _ = spool(units.select(F.monotonically_increasing_id().alias("sid"), "*"), "units")
     buckets = _meet(units.select(F.explode("bands").alias("bucket"), "sid"))
     sizes, _ = spool(units.select("sid", "n", "key", "hash").join(buckets.select("sid").distinct(), "sid"), "sizes")
-    one_each = Window.partitionBy("key", "hash").orderBy("sid")
-    texts = rows.join(sizes.select("sid", "key", "hash").hint("merge"), ["key", "hash"])  # one plan at every size
-    texts = texts.withColumn("i", F.row_number().over(one_each)).where("i = 1")
+    one_each = rows.groupBy("key", "hash").agg(F.first("text").alias("text"))  # repeated rows meet before the shuffle
+    texts = one_each.join(sizes.select("sid", "key", "hash").hint("merge"), ["key", "hash"])  # one plan at every size
     sets, _ = spool(texts.select("sid", "text").mapInArrow(_sets, "sid long, set array<long>"), "sets")
     first, _ = spool(_confirm(_led(buckets, sizes, percent), sets, percent), "confirmed")
     roots = stars(first)
@@ -230,21 +247,25 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text", percent
     third, _ = spool(_confirm(pairs, sets, percent), "confirmed")
     if third.limit(1).count():
         roots = stars(first.unionByName(second).unionByName(third))
-    named = units.join(roots, "sid", "left").select("one", "two", "key", F.coalesce("root", "sid").alias("root"))
-    least = named.groupBy("root").agg(F.min("key").alias("least"))
-    by_set, _ = spool(named.join(least, "root").select("one", "two", "least"), "classes")
-    out = signed_rows.select("key", "hash", "n", "one", "two").join(by_set, ["one", "two"], "left")
-    component = F.nullif(F.coalesce("least", "key"), F.lit(NO_KEY))
-    own = F.nullif("key", F.lit(NO_KEY))
+    named, _ = spool(units.join(roots, "sid", "left").select("one", "two", "key", F.coalesce("root", "sid").alias("root")), "named")
+    least, _ = spool(named.groupBy("root").agg(F.min("key").alias("least"), F.count(F.lit(1)).alias("rows")), "least")
+    worded, bare = signed_rows.where("one is not null"), signed_rows.where("one is null")
+    copies = worded.groupBy("one", "two").agg(F.count(F.lit(1)).alias("copies"))
+    by_set, _ = spool(hot_join(named, least, "root", "rows").select("one", "two", "least").join(copies, ["one", "two"]), "classes")
+    out = hot_join(worded.select("key", "hash", "n", "one", "two"), by_set, "one", "copies", ("two",)).select("key", "hash", "n", "least")
+    out = out.unionByName(bare.select("key", "hash", "n", F.col("key").alias("least")))
+    component, own = F.nullif("least", F.lit(NO_KEY)), F.nullif("key", F.lit(NO_KEY))
     return out.select(own.alias("key"), "hash", F.col("n").alias("n_shingles"), component.alias("component_id"), component.eqNullSafe(own).alias("kept"))
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 75) -> DataFrame:
-    """The rows of docs with one document of each group left; repeated rows stay once, texts without words all stay."""
+    """The rows of docs with one document of each group left; texts without words all stay.
+
+    Of rows that repeat key and text one stays, that whose columns together have the least hash."""
     found = components(docs, key, text, percent)
-    stay = found.where("kept").select(F.coalesce("key", F.lit(NO_KEY)).alias("_key"), F.coalesce("hash", F.lit(0)).alias("_hash"), (F.col("n_shingles") == 0).alias("_bare")).distinct()
+    stay = found.where("kept and n_shingles > 0").select(F.coalesce("key", F.lit(NO_KEY)).alias("_key"), F.col("hash").alias("_hash")).distinct()
     t = F.col(text).cast("string")
-    rows = docs.select(F.struct("*").alias("row"), F.coalesce(F.col(key).cast("long"), F.lit(NO_KEY)).alias("_key"), F.coalesce(F.xxhash64(t), F.lit(0)).alias("_hash"))
-    kept = rows.join(stay, ["_key", "_hash"]).withColumn("_own", F.when(F.col("_bare"), F.monotonically_increasing_id()).otherwise(-1))  # bare rows are groups of their own
-    same = Window.partitionBy("_key", "_hash", "_own").orderBy(F.lit(0))
-    return kept.withColumn("_i", F.row_number().over(same)).where("_i = 1").select("row.*")
+    worded = F.coalesce(t.rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    rows = docs.where(worded).select(F.struct("*").alias("row"), F.coalesce(F.col(key).cast("long"), F.lit(NO_KEY)).alias("_key"), F.xxhash64(t).alias("_hash"))
+    kept = rows.join(stay, ["_key", "_hash"]).groupBy("_key", "_hash").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+    return kept.select("row.*").unionByName(docs.where(~worded))

@@ -86,3 +86,33 @@ def test_keep_one(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, row string")
     assert sorted(r.doc_id for r in neardup.keep_one(df).collect()) == [1, 3, 4]
     assert neardup.keep_one(df.limit(0)).count() == 0
+
+
+def test_long_text_in_parts():
+    import numpy as np
+    import pyarrow as pa
+
+    from corvata.llm.textblocks import blocks
+
+    r = random.Random(3)
+    text = " ".join(f"w{r.randrange(90)}" + "x" * r.choice([0, 0, 300]) for _ in range(900))
+    (b,) = blocks(pa.array([text]))
+    whole, parts = neardup.shingles(b), neardup.shingles(b, limit=64)
+    assert np.array_equal(whole[1], parts[1]) and len(parts[1]) == len(shingle_set(text))
+
+
+def test_hot_join(spark, monkeypatch):
+    from corvata.llm import hot
+
+    monkeypatch.setattr(hot, "PARTS", 4)
+    rows = spark.range(3000).selectExpr("if(id % 3 = 0, 7, id) k", "id v")
+    table = rows.groupBy("k").count().selectExpr("k", "count n", "k * 2 w")
+    got = hot.hot_join(rows, table, "k", "n").collect()
+    assert len(got) == 3000 and all(x.w == 2 * x.k for x in got)
+
+
+def test_rows_that_differ_elsewhere(spark):
+    """Which of several rows with one key and text stays doesn't hang on the order of rows."""
+    rows = [(1, "a b c d e f g h", f"x{i}") for i in range(40)] + [(None, "  ", "y")] * 3
+    picks = {tuple(sorted((r.doc_id or 0, r.other) for r in neardup.keep_one(spark.createDataFrame(random.Random(k).sample(rows, 43), "doc_id long, text string, other string").repartition(3)).collect())) for k in range(2)}
+    assert len(picks) == 1 and len(next(iter(picks))) == 4
