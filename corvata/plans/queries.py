@@ -184,7 +184,7 @@ def drift_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profiles.drift(_observations(spark, sf_dir), ["profile_key"], ["ts", "event_id"])
 
 
-@query("""WITH o AS (SELECT l_suppkey AS profile_key, l_orderkey AS document_id, CASE WHEN l_linenumber % 3 = 0 THEN 'amount' WHEN l_linenumber % 3 = 1 THEN 'description' ELSE 'quantity' END AS role, l_discount + l_linenumber * 0.1 AS centre FROM lineitem WHERE l_suppkey % 5 = 0),
+@query("""WITH o AS (SELECT l_suppkey AS profile_key, l_orderkey AS document_id, CASE WHEN l_linenumber % 3 = 0 THEN 'amount' WHEN l_linenumber % 3 = 1 THEN 'description' ELSE 'quantity' END AS role, l_discount + l_linenumber * 0.1 AS centre FROM lineitem),
 a AS (SELECT profile_key, count(DISTINCT document_id % 4) AS n FROM o GROUP BY profile_key), m AS (SELECT profile_key, role, count(DISTINCT document_id % 4) AS k, median(centre) AS centre FROM o GROUP BY profile_key, role),
 l AS (SELECT m.profile_key, m.role, m.centre FROM m JOIN a ON m.profile_key = a.profile_key AND m.k = a.n)
 SELECT l.profile_key, l.role, round(l.centre, 9) AS centre, round(least(0.2, greatest(0.02, CASE WHEN l.role = 'amount' THEN 0.04 ELSE 0.06 END, max(abs(o.centre - l.centre)) * 2 + 0.01)), 9) AS tolerance FROM l JOIN o ON o.profile_key = l.profile_key AND o.role = l.role GROUP BY l.profile_key, l.role, l.centre""")
