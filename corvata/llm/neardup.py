@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvata.llm.hot import hot_join
-from corvata.llm.spool import discard, spool
+from corvata.llm.spool import discard, scratch, spool
 from corvata.llm.textblocks import BLOCK_BYTES, SPACE, U64, Block, blocks, firsts, mix, signed, words
 
 SHINGLE, PERMUTATIONS, ROWS = 5, 48, 3
@@ -225,9 +225,14 @@ def _divided(buckets: DataFrame, roots: DataFrame) -> DataFrame:
 
 def components(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 75) -> DataFrame:
     """Columns: key, hash (of the text), n_shingles, component_id, kept; one row by row."""
+    with scratch(docs.sparkSession) as keep:
+        return _components(docs, key, text, percent, keep)
+
+
+def _components(docs: DataFrame, key: str, text: str, percent: int, keep: list[str]) -> DataFrame:
     t = F.col(text).cast("string")
     rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NO_KEY)).alias("key"), F.xxhash64(t).alias("hash"), t.alias("text"))
-    signed_rows, _ = spool(rows.mapInArrow(_sign, "key long, hash long, n long, one long, two long, bands array<long>"), "signatures")
+    signed_rows, signed_at = spool(rows.mapInArrow(_sign, "key long, hash long, n long, one long, two long, bands array<long>"), "signatures")
     same = Window.partitionBy("one", "two").orderBy("key", "hash")
     units = signed_rows.where("bands is not null").withColumn("i", F.row_number().over(same)).where("i = 1").drop("i")
     units, _ = spool(units.select(F.monotonically_increasing_id().alias("sid"), "*"), "units")
@@ -251,7 +256,8 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text", percent
     least, _ = spool(named.groupBy("root").agg(F.min("key").alias("least"), F.count(F.lit(1)).alias("rows")), "least")
     worded, bare = signed_rows.where("one is not null"), signed_rows.where("one is null")
     copies = worded.groupBy("one", "two").agg(F.count(F.lit(1)).alias("copies"))
-    by_set, _ = spool(hot_join(named, least, "root", "rows").select("one", "two", "least").join(copies, ["one", "two"]), "classes")
+    by_set, set_at = spool(hot_join(named, least, "root", "rows").select("one", "two", "least").join(copies, ["one", "two"]), "classes")
+    keep += [signed_at, set_at]
     out = hot_join(worded.select("key", "hash", "n", "one", "two"), by_set, "one", "copies", ("two",)).select("key", "hash", "n", "least")
     out = out.unionByName(bare.select("key", "hash", "n", F.col("key").alias("least")))
     component, own = F.nullif("least", F.lit(NO_KEY)), F.nullif("key", F.lit(NO_KEY))

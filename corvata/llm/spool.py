@@ -1,5 +1,5 @@
 """Written tables that cut lineage; see corvata.sources.spool."""
 
-from corvata.sources.spool import discard, shared_dir, spool
+from corvata.sources.spool import discard, scratch, shared_dir, spool
 
-__all__ = ["discard", "shared_dir", "spool"]
+__all__ = ["discard", "scratch", "shared_dir", "spool"]

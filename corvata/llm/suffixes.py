@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvata.llm.hot import hot_join
-from corvata.llm.spool import discard, spool
+from corvata.llm.spool import discard, scratch, spool
 from corvata.llm.textblocks import BLOCK_BYTES, U64, Block, Fingerprint, Seen, blocks, carried, firsts, mix, pieces, signed
 
 LENGTH, SEED = 400, 64
@@ -299,6 +299,11 @@ def _finish(batches: Iterator[pa.RecordBatch], as_text: bool) -> Iterator[pa.Rec
 
 def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, seed: int | None = None) -> DataFrame:
     """key, hash (of the row's key and text), start, end: spans whose union is what repeats. length up to 4000."""
+    with scratch(docs.sparkSession) as keep:
+        return _repeats(docs, key, text, length, seed, keep)
+
+
+def _repeats(docs: DataFrame, key: str, text: str, length: int, seed: int | None, keep: list[str]) -> DataFrame:
     spark = docs.sparkSession
     seed = seed or min(SEED, max(1, length // 4))
     k, t = F.coalesce(F.col(key).cast("long"), F.lit(NULL_KEY)), F.col(text).cast("string")
@@ -307,6 +312,7 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: in
     made = rows.mapInArrow(_find_ranges(length, seed), _ROW)
     made = made.withColumn("all", F.sum(F.greatest("n", F.lit(0))).over(string)).withColumn("i", F.row_number().over(string.orderBy("key", "hash", "place")))
     met, met_at = spool(made.select("rank", "key", "hash", "place", "n", "all", "i"), "ranges")
+    keep.append(met_at)
     found = [
         met.where("n < 0").select("key", "hash", F.col("place").alias("start"), (F.col("place") - F.col("n")).alias("end")),
         met.where("n = 1 and all > 1").select("key", "hash", F.expr(f"shiftright(place, {2 * _BITS})").alias("start"), F.expr(f"shiftright(place, {2 * _BITS}) + (shiftright(place, {_BITS}) & {(1 << _BITS) - 1}) + {length}").alias("end")),
@@ -315,7 +321,7 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: in
     by_doc = open_ranges.groupBy("key", "hash").agg(F.collect_list(F.struct("place", "rank", "n")).alias("found"))
     one_row = rows.join(by_doc, ["key", "hash"]).select("key", "hash", "text", "found")
     cut = one_row.mapInArrow(_cut_snippets(length), _SNIPPET)
-    snippets, snippets_at = spool(cut.select(F.monotonically_increasing_id().alias("sid"), "*"), "snippets")
+    snippets, _ = spool(cut.select(F.monotonically_increasing_id().alias("sid"), "*"), "snippets")
     unit = 1 << (seed.bit_length() - 1)
     left, left_at = _doubled(snippets, length, unit)
     wide, parent, held = unit, unit, (length - unit + 1) // unit * unit
@@ -324,7 +330,8 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: in
         cells = state.select("sid", "key", "hash", "anchor", "before", "low", "high", "bytes", "cells").mapInArrow(_make_cells(length, seed, wide, parent, held), _CELL)
         string = Window.partitionBy("rank", "one", "two")
         cells = cells.withColumn("all", F.sum(F.greatest("n", F.lit(0))).over(string)).withColumn("i", F.row_number().over(string.orderBy("key", "hash", "start")))
-        done, _ = spool(cells.where("n < 0 or all > 1 or i = 1").drop("one", "two"), f"cells{wide}")
+        done, done_at = spool(cells.where("n < 0 or all > 1 or i = 1").drop("one", "two"), f"cells{wide}")
+        keep.append(done_at)
         discard(spark, *([left_at] if held else []))
         found.append(done.where("n < 0 or (n = 1 and all > 1)").select("key", "hash", "start", "end"))
         if wide == 1:
@@ -332,7 +339,6 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: in
         left = _classes(done.where("n > 0 and i = 1").select("rank", "sid", "cell", F.least("all", F.lit(2)).cast("long").alias("n")))
         left = left.groupBy("sid").agg(F.collect_list(F.struct("rank", "cell", "n")).alias("cells"))
         parent, wide, held = wide, max(1, wide // 8), 0
-    discard(spark, snippets_at)
     out = found[0]
     for f in found[1:]:
         out = out.unionByName(f)
