@@ -2,16 +2,24 @@
 
 Each page is walked once as a stream of tags. Elements that can hold an article are containers; a
 container is named by its generalised path (tags with classes, digits and hashed names folded).
-Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments are
-left out by element, role, or class and id words. A page votes for the deepest container that still
-holds most of its remaining text, but for none inside one with text of its own, with the title, or
-with several sections; Spark adds the votes by host; every page is then read again from the best
-winning path of its host that it has, or from its own vote where it has none or where the path lies
-in a container that such a rule keeps whole.
+Elements and roles that say what they are (nav, footer, aside, dialog, scripts, styles, ...) are left
+out. Class and id words (ad, menu, comments, ...) and forms only make an element suspect: it is scored
+by how much of its name such words are, by its share of the page's text and by its share of links. A
+name that is mostly such words loses unless the element holds MOST of the text; a name that has one
+among others loses only if most of it is links.
+
+A page votes for the deepest container that still holds most of its remaining text, but for none
+inside one with text of its own, with the title, or with several sections; and, for each path of
+suspects, whether it stays. Spark adds the votes by host; every page is then read again with its
+host's verdict on suspects, from the best winning path of its host that it has, or from its own vote
+where it has none or where the path lies in a container that such a rule keeps whole.
 
 Defined results: null, empty or text-free html gives ''. A page without a host votes alone. Tags
 left open end with their parents or the page; a tag cut off by the end of the page is no text. If a
-page has only elements of the left-out kinds, its text is ''. All columns ride along in ``row``.
+page has only elements of the left-out kinds, its text is ''. Votes that tie go to the path with more
+text, then to the first in sort order; suspects that tie stay. Repeated rows vote each and give the
+same text each. A page is held whole, with some 30 times its size; nothing else grows with its length.
+All columns ride along in ``row``, or those that ``carry`` names.
 """
 
 from __future__ import annotations
@@ -26,6 +34,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvata.llm.spool import spool
+from corvata.llm.textblocks import carried
 
 #: A child with this share of its parent's text is the better container.
 MOST = 0.7
@@ -33,18 +42,24 @@ MOST = 0.7
 STEPS = 8
 #: Winning paths kept by host, each with at least this share of the host's pages.
 PATHS, LEAST_SHARE = 3, 0.1
+#: From this share of a name on, left-out words outweigh the rest of it; of a suspect's text, links outweigh the rest.
+MOSTLY = 0.5
+#: Paths of suspects that a host passes a verdict on, those with most votes; on others each page decides for itself.
+SUSPECTS = 64
 
 #: Raw-text elements are matched whole, with their content.
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|$)|<(script|style|noscript|template|iframe|textarea|title|svg|math|select|button|object|canvas|video|audio)\b[^>]*>.*?(?:</\1\s*>|$)|<[!?][^>]*>"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[a-zA-Z/][^>]*$",
+    # a value is quoted only where the quote follows the equals sign; a quote that nothing closes is an ordinary character
+    r"|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]|=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>]*+))*+)>|<[a-zA-Z/][^>]*$",
     re.S | re.I,
 )
-_ATTR = re.compile(r"(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))|(?:^|\s)(hidden)(?=[\s=/>]|$)", re.I)
+_ATTR = re.compile(r"([^\s/>=]+)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]*+)))?", re.I)
+_NAMED = frozenset(("class", "id", "role", "hidden"))
 _CONTAINERS = frozenset("html body div article main section td center figure".split())
 _INNER = frozenset("table tbody thead tr ul ol dl blockquote details fieldset th dd".split())
-_LEFT_OUT = frozenset("nav footer aside form dialog menu head".split())
-_BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd pre br hr figcaption address caption summary option th td tr legend".split()) | _CONTAINERS | _INNER | _LEFT_OUT | {"header"}
+_LEFT_OUT = frozenset("nav footer aside dialog menu head".split())
+_BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd pre br hr figcaption address caption summary option th td tr legend".split()) | _CONTAINERS | _INNER | _LEFT_OUT | {"header", "form"}
 _ENDS_P = _BLOCKS - {"br", "td", "th", "tr", "caption", "option", "legend", "summary"}
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _WORDS = frozenset(
@@ -59,20 +74,30 @@ _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _SPLIT = re.compile(r"[^a-z0-9]+")
 
 
+_OWN = frozenset("main content article post entry story body text".split())
+
+
 def left_out(tag: str, attrs: dict[str, str], in_article: bool) -> bool:
+    """Whether element or role alone say that this is not the article."""
     if tag in _LEFT_OUT or (tag == "header" and not in_article):
         return True
-    if "hidden" in attrs or attrs.get("role", "").lower() in _ROLES:
-        return True
-    if tag in ("html", "body", "article", "main") and "article" != tag:
-        return False
+    return "hidden" in attrs or attrs.get("role", "").lower() in _ROLES
+
+
+def suspicion(tag: str, attrs: dict[str, str], in_article: bool) -> float:
+    """The largest share of left-out words in a class or id; 1 for a form."""
+    if tag == "form":
+        return 1.0
+    if tag in ("html", "body", "article", "main"):
+        return 0.0
+    worst, own = 0.0, False
     for name in f"{attrs.get('class', '')} {attrs.get('id', '')}".split():
-        before = ""
-        for w in _SPLIT.split(_CAMEL.sub("-", name).lower()):
-            if (w in _WORDS or (w in _HEADS and not in_article)) and before not in _NEGATES:
-                return True
-            before = w
-    return False
+        words = [w for w in _SPLIT.split(_CAMEL.sub("-", name).lower()) if w and not w.isdigit()]
+        bad = sum((w in _WORDS or (w in _HEADS and not in_article)) and before not in _NEGATES for before, w in zip(["", *words], words, strict=False))
+        own = own or (bool(words) and all(w in _OWN for w in words))
+        if bad:
+            worst = max(worst, bad / len(words))
+    return min(worst, MOSTLY / 2) if own else worst
 
 
 def generalise(tag: str, attrs: dict[str, str]) -> str:
@@ -84,12 +109,16 @@ def generalise(tag: str, attrs: dict[str, str]) -> str:
 class Page:
     """Containers in page order, and the text pieces that stand in them."""
 
-    def __init__(self, html: str):
+    def __init__(self, html: str, verdicts: dict[str, bool] | None = None):
+        """verdicts: by path of a suspect, whether it stays."""
         self.names, self.tags, self.parent, self.end = ["html"], ["html"], [-1], [0]
         self.chars, self.h1, self.own = [0], [0], [False]  #: own: text that stands in no inner container
+        self.linked, self.odd = [0], [0.0]  #: text in links, and how suspect the name is
         self.pieces: list[tuple[int, str]] = []
         self.kept = -1  #: what best() chose so that nothing beside the largest container is lost
         self._walk(html)
+        self._judge(verdicts or {})
+        self._add_up()
 
     def _walk(self, html: str) -> None:
         pieces, add = self.pieces, self.pieces.append
@@ -103,7 +132,9 @@ class Page:
                 if "&" in text:
                     text = unescape(text)
                 add((node, text))
-                if not links:
+                if links:
+                    self.linked[node] += len(text)
+                else:
                     self.chars[node] += len(text)
                     self.own[node] = self.own[node] or not text.isspace()
             at = m.end()
@@ -128,30 +159,36 @@ class Page:
             if tag in _BLOCKS:
                 add((node, " "))
                 links = 0
+            # an end tag ends all that stands open inside; a block ends an open p, an li an open li
+            implied = stack[-1][0] if not m[2] and stack and ((stack[-1][0] == "p" and tag in _ENDS_P) or (stack[-1][0] == tag == "li")) else ""
+            ends = tag if m[2] else implied
+            if ends and open_[ends]:
+                while True:
+                    t, k = stack.pop()
+                    open_[t] -= 1
+                    if k >= 0:
+                        self.end[k] = len(self.tags)
+                        article -= self.tags[k] in ("article", "main")
+                        node = self.parent[k]
+                    if t == ends:
+                        break
+                if implied:
+                    add((node, " "))
             if m[2]:
-                if open_[tag]:
-                    while True:
-                        t, k = stack.pop()
-                        open_[t] -= 1
-                        if k >= 0:
-                            self.end[k] = len(self.tags)
-                            article -= self.tags[k] in ("article", "main")
-                            node = self.parent[k]
-                        if t == tag:
-                            break
                 continue
             if tag in _VOID:
                 continue
             attrs = {}
             if m[4]:
-                attrs = {(a[1] or a[5]).lower(): a[2] or a[3] or a[4] or "" for a in _ATTR.finditer(m[4])}
-            if (attrs or tag in _LEFT_OUT or tag == "header") and left_out(tag, attrs, article > 0):
+                attrs = {a[1].lower(): a[2] or a[3] or a[4] or "" for a in reversed(list(_ATTR.finditer(m[4]))) if a[1].lower() in _NAMED}
+            odd = suspicion(tag, attrs, article > 0) if attrs or tag == "form" else 0.0
+            if left_out(tag, attrs, article > 0) or (tag == "a" and odd >= MOSTLY):
                 if not m[4].endswith("/"):
                     skip, skip_tag, depth = True, tag, 1
                 continue
             if tag == "h1":
                 self.h1[node] += 1
-            if tag in _CONTAINERS and tag != "html":
+            if (tag in _CONTAINERS and tag != "html") or (odd and tag != "a"):
                 k = len(self.tags)
                 self.names.append(generalise(tag, attrs) if tag != "body" else "body")
                 self.tags.append(tag)
@@ -160,6 +197,8 @@ class Page:
                 self.chars.append(0)
                 self.h1.append(0)
                 self.own.append(False)
+                self.linked.append(0)
+                self.odd.append(odd)
                 stack.append((tag, k))
                 open_[tag] += 1
                 article += tag in ("article", "main")
@@ -175,6 +214,30 @@ class Page:
         n = len(self.tags)
         self.end = [e or n for e in self.end]
         self.end[0] = n
+
+    def _judge(self, verdicts: dict[str, bool]) -> None:
+        """Take suspects that lose off the page; all of them, with their paths and how they were judged, stand in suspects."""
+        self.suspects: list[tuple[str, bool]] = []
+        self.out = [False] * len(self.tags)
+        if not any(self.odd):
+            return
+        chars, linked = list(self.chars), list(self.linked)
+        for k in range(len(self.tags) - 1, 0, -1):
+            chars[self.parent[k]] += chars[k]
+            linked[self.parent[k]] += linked[k]
+        for k in range(1, len(self.tags)):
+            self.out[k] = self.out[self.parent[k]]
+            if self.odd[k] and not self.out[k]:
+                path = self.path(k)
+                stays = chars[k] >= MOST * chars[0] if self.odd[k] >= MOSTLY else linked[k] <= MOSTLY * (chars[k] + linked[k])
+                self.suspects.append((path, stays))
+                self.out[k] = not verdicts.get(path, stays)
+            if self.out[k]:
+                self.chars[k] = self.h1[k] = 0
+                self.own[k] = False
+
+    def _add_up(self) -> None:
+        n = len(self.tags)
         self.kids: list[list[int]] = [[] for _ in range(n)]
         self.articles, self.article = [0] * n, [0] * n  #: inside each container, how many with text, and the last of them
         for k in range(n - 1, 0, -1):
@@ -223,7 +286,7 @@ class Page:
             if k >= last:
                 last = self.end[k]
                 take[k:last] = b"\x01" * (last - k)
-        return " ".join("".join([t for i, t in self.pieces if take[i]]).split())
+        return " ".join("".join([t for i, t in self.pieces if take[i] and not self.out[i]]).split())
 
     def main(self, wanted: list[str] | None) -> str:
         paths = [self.path(k) for k in range(len(self.tags))] if wanted else []
@@ -240,22 +303,29 @@ def host_of(url: Column) -> Column:
     return F.lower(F.coalesce(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
 
 
+_VOTES = "host string, path string, kind string, votes long, chars long"
+
+
 def _vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Votes for containers (kind main), and for suspects that stay or go."""
     votes: Counter = Counter()
     chars: Counter = Counter()
 
     def out():
         keys = list(votes)
-        return pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array([votes[k] for k in keys], pa.int64()), pa.array([chars[k] for k in keys], pa.int64())], names=["host", "path", "votes", "chars"])
+        cols = [pa.array([k[i] for k in keys], pa.string()) for i in range(3)]
+        return pa.RecordBatch.from_arrays([*cols, pa.array([votes[k] for k in keys], pa.int64()), pa.array([chars[k] for k in keys], pa.int64())], names=["host", "path", "kind", "votes", "chars"])
 
     for batch in batches:
         for host, html in zip(batch["host"], batch["html"], strict=True):
-            page = Page(html.as_py())
+            page, host = Page(html.as_py()), host.as_py()
             k = page.best()
             if page.chars[k]:
-                key = (host.as_py(), page.path(k))
+                key = (host, page.path(k), "main")
                 votes[key] += 1
                 chars[key] += page.chars[k]
+            for path, stays in set(page.suspects):
+                votes[host, path, "stays" if stays else "goes"] += 1
         if len(votes) > 10_000:
             yield out()
             votes.clear()
@@ -264,24 +334,30 @@ def _vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def winning_paths(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """host, paths: by host, up to PATHS paths with the most votes, best first."""
+    """host, paths (up to PATHS with the most votes, best first), stay and go (paths of suspects)."""
     rows = pages.select(host_of(F.col(url)).alias("host"), F.col(html).cast("string").alias("html")).where("host <> '' and html is not null")
-    votes = rows.mapInArrow(_vote, "host string, path string, votes long, chars long").groupBy("host", "path").agg(F.sum("votes").alias("votes"), F.sum("chars").alias("chars"))
-    host = Window.partitionBy("host")
+    is_main = F.col("kind") == "main"
+    votes = rows.mapInArrow(_vote, _VOTES).groupBy("host", "path", is_main.alias("main")).agg(F.sum("votes").alias("votes"), F.sum("chars").alias("chars"), F.sum(F.when(F.col("kind") == "goes", F.col("votes")).otherwise(0)).alias("goes"))
+    host = Window.partitionBy("host", "main")
     ranked = votes.withColumn("k", F.row_number().over(host.orderBy(F.desc("votes"), F.desc("chars"), "path"))).withColumn("all", F.sum("votes").over(host))
-    kept = ranked.where((F.col("k") <= PATHS) & (F.col("votes") >= LEAST_SHARE * F.col("all")))
-    return kept.groupBy("host").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "path"))), lambda x: x["path"]).alias("paths"))
+    kept = ranked.where((F.col("main") & (F.col("k") <= PATHS) & (F.col("votes") >= LEAST_SHARE * F.col("all"))) | (~F.col("main") & (F.col("k") <= SUSPECTS)))
+    goes = 2 * F.col("goes") > F.col("votes")
+    listed = lambda which: F.transform(F.array_sort(F.collect_list(F.when(which, F.struct("k", "path")))), lambda x: x["path"])
+    return kept.groupBy("host").agg(listed(F.col("main")).alias("paths"), listed(~F.col("main") & ~goes).alias("stay"), listed(~F.col("main") & goes).alias("go"))
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        out = [Page(h.as_py() or "").main(p.as_py()) for h, p in zip(batch["html"], batch["paths"], strict=True)]
+        out = []
+        for h, p, stay, go in zip(batch["html"], batch["paths"], batch["stay"], batch["go"], strict=True):
+            verdicts = dict.fromkeys(stay.as_py() or (), True) | dict.fromkeys(go.as_py() or (), False)
+            out.append(Page(h.as_py() or "", verdicts).main(p.as_py()))
         yield pa.RecordBatch.from_arrays([batch["row"], pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], names=["row", "text", "n_chars"])
 
 
-def extract(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """Columns: row (struct of all columns), text, n_chars."""
+def extract(pages: DataFrame, url: str = "url", html: str = "html", carry: list[str] | None = None) -> DataFrame:
+    """Columns: row (struct of all columns, or of those in carry), text, n_chars."""
     winners, _ = spool(winning_paths(pages, url, html), "paths")  # its size is then known, so Catalyst may broadcast it or not
-    state = pages.select(F.struct("*").alias("row"), host_of(F.col(url)).alias("host"), F.col(html).cast("string").alias("html")).join(winners, "host", "left")
-    state = state.select("row", "html", "paths")
+    state = pages.select(carried(pages, carry), host_of(F.col(url)).alias("host"), F.col(html).cast("string").alias("html")).join(winners, "host", "left")
+    state = state.select("row", "html", "paths", "stay", "go")
     return state.mapInArrow(_extract, state.select("row", F.lit("").alias("text"), F.lit(0).cast("long").alias("n_chars")).schema)

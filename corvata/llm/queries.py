@@ -139,7 +139,7 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html_main.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html")).select("row.page_id", "row.url", "text", "n_chars")
+    return html_main.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"), carry=["page_id", "url"]).select("row.page_id", "row.url", "text", "n_chars")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -1,3 +1,5 @@
+from html.parser import HTMLParser
+
 import pytest
 
 from corvata.llm import html_main
@@ -15,6 +17,15 @@ CASES = [
     ("<article><p>cut off <a href='x", "cut off"),
     ("<div class=cookie-notice>we use</div><div><p>" + "words " * 30 + "</p></div>", " ".join(["words"] * 30)),
     ("<nav>only menu</nav>", ""),
+    ('<div class="main-search-results"><p>Body of the page</p></div>', "Body of the page"),
+    ('<article><p>One.</p><div class="notice-of-change"><p>Two.</p></div><div class="review-comment-policy">Three.</div></article>', "One. Two. Three."),
+    ("<article><a title=don't>link</a> It isn't over.</article>", "link It isn't over."),
+    ('<article><p title="a > b">x</p><img alt=\'>\' src=y>z</article>', "x z"),
+    ("<div class=comment><p>" + "the only text of the page " * 9 + "</p></div><div class=ad>buy</div>", " ".join(["the only text of the page"] * 9)),
+    ("<form id=aspnetForm><div><p>" + "a page inside a form " * 9 + "</p></div></form>", " ".join(["a page inside a form"] * 9)),
+    ("<article><p>text</p><p class=ad>buy<p>more</article>", "text more"),
+    ("<article><ul><li>one<li class=ad>buy<li>two</ul></article>", "one two"),
+    ("<article><p>text</p><div class='post-extra-related-box'><a href=x>some link</a> <a href=y>other link</a></div></article>", "text"),
 ]
 
 
@@ -54,6 +65,55 @@ def test_hosts_vote(spark):
     assert html_main.extract(df.limit(0)).count() == 0
 
 
+def test_host_decides_on_suspects(spark):
+    """Comments that outweigh one article go, since they go on other pages of the host; a suspect that holds most text on most pages stays."""
+    a, b = "<article><p>{}</p></article><div class=comments><p>{}</p></div>", "<div class=menu><p>{}</p></div><div class=x><p>{}</p></div>"
+    rows = [(i, "https://a.example/", a.format("long article " * 20, "nice")) for i in range(5)] + [(5, "https://a.example/", a.format("brief", "very long comment " * 20))]
+    rows += [(10 + i, "https://b.example/", b.format("today's dishes " * 20, "x")) for i in range(5)] + [(15, "https://b.example/", b.format("one dish", "closed on a day"))]
+    got = {r.row.page_id: r.text for r in html_main.extract(spark.createDataFrame(rows, "page_id long, url string, html string"), carry=["page_id"]).collect()}
+    assert got[5] == "brief" and got[0] == ("long article " * 20).strip()
+    assert "one dish" in got[15] and got[10].startswith("today's dishes")
+
+
+class Tree(HTMLParser):
+    """A second reading of a page, as a tree: text of the one article, blocks apart, without what is left out."""
+
+    INLINE = {"b", "i", "a", "em", "span"}
+    OUT = {"script", "style", "nav", "footer", "aside", "head", "title"}
+
+    def __init__(self, html):
+        super().__init__(convert_charrefs=True)
+        self.open, self.text = [], []
+        self.feed(html)
+        self.close()
+
+    def handle_starttag(self, tag, attrs):
+        if tag not in self.INLINE:
+            self.text.append(" ")
+        if tag not in ("br", "meta", "img", "input", "hr", "link", "p", "b", "li"):
+            self.open.append((tag, dict(attrs).get("class") in ("ad", "ads", "comments")))
+
+    def handle_endtag(self, tag):
+        if tag not in self.INLINE:
+            self.text.append(" ")
+        if any(t == tag for t, _ in self.open):
+            while self.open.pop()[0] != tag:
+                pass
+
+    def handle_data(self, data):
+        if any(t == "article" for t, _ in self.open) and not any(t in self.OUT or bad for t, bad in self.open):
+            self.text.append(data)
+
+
+def test_against_a_second_reading(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    got = html_main.extract(pages).select("row.html", "text", "n_chars").collect()
+    assert len(got) > 200
+    for r in got:
+        want = " ".join("".join(Tree(r.html or "").text).split())
+        assert (r.text, r.n_chars) == (want, len(want))
+
+
 def test_deep_and_wide_pages_are_quick():
     import time
 
