@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvata.llm.textblocks import U64, Block, Fingerprint, blocks, mix, pieces, signed
+from corvata.llm.textblocks import U64, Block, Fingerprint, Seen, blocks, carried, mix, pieces, signed
 
 WINDOW, ZERO_BITS, GAP, MAX_CHUNK, MIN_RUN = 16, 4, 16, 512, 80
 
@@ -77,7 +77,8 @@ def chunks(b: Block) -> tuple[np.ndarray, ...]:
 
 
 def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of (one, two, key, hash, start, size, n): n = 0 for copies settled in the block, else copies of the chunk in the block (2 for more)."""
+    """Rows of (one, two, key, hash, start, size, n): n = 0 for copies settled in the block, else copies of the chunk that the task has met (2 for more)."""
+    seen = Seen(3)
     for batch in batches:
         keys, hashes = batch["key"].to_numpy(), batch["hash"].to_numpy()
         for b in blocks(batch["text"]):
@@ -90,8 +91,10 @@ def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             o1, o2 = one[order], two[order]
             new[1:] = (o1[1:] != o1[:-1]) | (o2[1:] != o2[:-1])
             count = np.diff(np.append(np.flatnonzero(new), len(order)))
+            lead = order[new]
+            known, told = seen.meet(one[lead], two[lead], count > 1, key[lead], h[lead], start[lead])
             n = np.zeros(len(order), np.int64)
-            n[order[new]] = np.minimum(count, 2)
+            n[lead[~told]] = np.minimum(count + known, 2)[~told]
             first = n > 0
             rest = np.flatnonzero(~first)  # settled: join neighbours
             edge = np.ones(len(rest), bool)
@@ -155,8 +158,8 @@ def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(cols, names=["row", "kept", "n_bytes", "n_removed", "removed", "n_repeated_chunks", "kept_sha256"])
 
 
-def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Columns: row (struct of all columns), kept, n_bytes, n_removed, removed (byte spans), n_repeated_chunks, kept_sha256."""
+def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", carry: list[str] | None = None) -> DataFrame:
+    """Columns: row (struct of all columns, or of those in carry), kept, n_bytes, n_removed, removed (byte spans), n_repeated_chunks, kept_sha256."""
     k, t = F.coalesce(F.col(key).cast("long"), F.lit(NULL_KEY)), F.col(text).cast("string")
     hashed = F.xxhash64(F.col(key).cast("long"), t)
     rows = docs.where(F.octet_length(t) > 0).select(k.alias("key"), hashed.alias("hash"), t.alias("text"))
@@ -166,7 +169,7 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     met = packed.withColumn("first", (F.row_number().over(digest) == 1) & (F.col("n") > 0)).withColumn("all", F.sum(F.greatest("n", F.lit(0))).over(Window.partitionBy("one", "two")))
     found = met.where("n < 0 or all > 1").select("key", "hash", "place", F.when(F.col("n") < 0, -F.col("n")).otherwise(1).alias("n"), "first")
     by_doc = found.groupBy("key", "hash").agg(F.collect_list(F.struct(F.expr("shiftright(place, 32)").alias("start"), F.expr("place & 4294967295").alias("size"), "n", "first")).alias("found"))
-    whole_docs = docs.select(F.struct("*").alias("row"), k.alias("key"), hashed.alias("hash"), t.alias("text"))
+    whole_docs = docs.select(carried(docs, carry), k.alias("key"), hashed.alias("hash"), t.alias("text"))
     state = whole_docs.join(by_doc, ["key", "hash"], "left").select("row", "text", "found")
     schema = state.select("row", F.lit("").alias("kept"), F.lit(0).cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("removed"), F.lit(0).cast("long").alias("n_repeated_chunks"), F.lit("").alias("kept_sha256")).schema
     return state.mapInArrow(_finish, schema)

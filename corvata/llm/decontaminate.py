@@ -8,7 +8,9 @@ patterns that end in it, and comparing all words confirms an occurrence.
 
 Defined results: a null or empty text has no words and no hits; an item without words matches
 nothing; an item whose id is null marks words but is not counted or listed; rows that repeat an id
-are one item; no benchmark rows means nothing is hit. Any other columns ride along in ``row``.
+are one item; no benchmark rows means nothing is hit. A text of any
+length is split into words as a whole, which takes some 20 times its size. Any other columns ride
+along in ``row``, or those that ``carry`` names.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvata.llm.spool import spool
+from corvata.llm.textblocks import carried
 
 WINDOW = 10
 #: Benchmark text in one broadcast table; a larger benchmark is searched for in several passes.
@@ -105,13 +108,13 @@ def _searcher(table):
     return run
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, table_bytes: int = TABLE_BYTES) -> DataFrame:
-    """Columns: row (struct of all columns of docs), n_words, n_hit, items (sorted ids as strings), contaminated."""
+def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, table_bytes: int = TABLE_BYTES, carry: list[str] | None = None) -> DataFrame:
+    """Columns: row (struct of all columns of docs, or of those in carry), n_words, n_hit, items (sorted ids as strings), contaminated."""
     spark = docs.sparkSession
-    items = benchmark.select(F.col(item_id).cast("string").alias("id"), F.col(item_text).cast("string").alias("t")).where("t is not null")
+    items = benchmark.select(F.col(item_id).cast("string").alias("id"), F.col(item_text).cast("string").alias("t")).where("t is not null").distinct()  # repeated items count once
     size = items.agg(F.sum(F.octet_length("t")), F.count(F.lit(1))).first()
     passes = max(1, -(-int(size[0] or 0) // table_bytes))
-    state = docs.select(F.struct("*").alias("row"), F.col(text).cast("string").alias("text"), F.lit(None).cast("binary").alias("marks"), F.lit(None).cast("array<string>").alias("items"))
+    state = docs.select(carried(docs, carry), F.col(text).cast("string").alias("text"), F.lit(None).cast("binary").alias("marks"), F.lit(None).cast("array<string>").alias("items"))
     schema = state.select("row", "text", "marks", "items", F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_hit")).schema
     for k in range(passes):
         part = items if passes == 1 else items.where(F.pmod(F.xxhash64("id", "t"), F.lit(passes)) == k)

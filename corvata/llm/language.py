@@ -7,6 +7,7 @@ whose cosine distance is over the radius learned for that language is marked rej
 
 Defined results: a null text or one without letters is ``und`` with score 0 and rejected; with
 nothing learned every text is ``und``; ties between languages go to the first in sort order.
+Texts of any length are read half a megabyte at a time.
 Training rows with a null text or language are skipped, and repeated ones count once. All columns of the input ride along in ``row``.
 """
 
@@ -21,9 +22,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvata.llm.spool import spool
-from corvata.llm.textblocks import LOWER, Block, blocks
+from corvata.llm.textblocks import BLOCK_BYTES, LOWER, Block, blocks, carried
 
 DIMS = 4096
+#: Languages learned, those of most documents; a column of garbage can't make the model grow.
+LANGUAGES = 256
 #: Documents learned from, by language, in expectation; each sends at most 24 KB to the driver.
 SAMPLE_PER_LANGUAGE = 400
 CLUSTERS = 4
@@ -35,8 +38,19 @@ _FOLD = LOWER.copy()
 _FOLD[[b for b in range(128) if not (97 <= b <= 122 or 65 <= b <= 90)]] = 32
 
 
-def trigram_counts(block: Block) -> np.ndarray:
-    """texts x DIMS counts of hashed trigrams; those with a space in the middle, or two, are left out."""
+def trigram_counts(block: Block, limit: int = BLOCK_BYTES) -> np.ndarray:
+    """texts x DIMS counts of hashed trigrams; those with a space in the middle, or two, are left out. One long text is read in parts."""
+    n = len(block.data)
+    if block.n > 1 or n <= limit + 2:
+        return _trigram_counts(block)
+    out = np.zeros((1, DIMS), np.float32)
+    for at in range(0, n - 2, limit):
+        part = block.data[at : at + limit + 2]
+        out += _trigram_counts(Block(block.first, part, np.array([0, len(part)], np.int64), block.null))
+    return out
+
+
+def _trigram_counts(block: Block) -> np.ndarray:
     d = _FOLD[block.data].astype(np.uint32)
     if len(d) < 3:
         return np.zeros((block.n, DIMS), np.float32)
@@ -94,10 +108,10 @@ def train(langs: list[str], counts: np.ndarray, clusters: int = CLUSTERS, seed:
     return Model(names, idf, np.concatenate(parts).astype(np.float32), owner, np.array(radius))
 
 
-def fit(rows: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", per_language: int = SAMPLE_PER_LANGUAGE, clusters: int = CLUSTERS, seed: int = 7) -> Model | None:
-    """Learn from a hashed sample of about per_language rows of each language; None without rows."""
+def fit(rows: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", per_language: int = SAMPLE_PER_LANGUAGE, clusters: int = CLUSTERS, seed: int = 7, languages: int = LANGUAGES) -> Model | None:
+    """Learn from a hashed sample of about per_language rows of each of the most frequent languages; None without rows."""
     rows = rows.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text"), F.xxhash64(F.lit(seed), F.col(key), F.col(text)).alias("h"))
-    sizes, _ = spool(rows.groupBy("lang").count(), "language-sizes")  # a row by language, of known size: joining it shuffles no texts
+    sizes, _ = spool(rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages), "language-sizes")  # a row by language, of known size: joining it shuffles no texts
     share = F.pmod("h", F.lit(1_000_000)) / 1_000_000.0
     sample = rows.join(sizes, "lang").where(share < F.lit(float(per_language)) / F.col("count")).dropDuplicates(["lang", "h"]).select("lang", "text")
 
@@ -121,11 +135,12 @@ def has_letters(text: Column) -> Column:
     return F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
 
 
-def identify(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
-    """Columns: row (struct of all columns), lang_pred, score, rejected."""
-    state = docs.select(F.struct("*").alias("row"), F.when(has_letters(F.col(text)), F.col(text).cast("string")).alias("text"))
+def identify(docs: DataFrame, model: Model | None, text: str = "text", carry: list[str] | None = None) -> DataFrame:
+    """Columns: row (struct of all columns, or of those in carry), lang_pred, score, rejected."""
+    state = docs.select(carried(docs, carry), F.when(has_letters(F.col(text)), F.col(text).cast("string")).alias("text"))
     if model is None:
         return state.select("row", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(True).alias("rejected"))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model  # languages x CLUSTERS x DIMS floats; it travels with the function
         names = np.array(m.languages, dtype=object)

@@ -17,7 +17,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = decontaminate(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    found = decontaminate(docs, table(spark, sf_dir, "benchmark"), carry=["doc_id"])
     return found.select("row.doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "contaminated")
 
 
@@ -114,15 +114,15 @@ FROM e GROUP BY conv_id, segment, page, participant
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = cdc.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    done = cdc.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), carry=["doc_id"])
     return done.select("row.doc_id", "n_bytes", "n_removed", F.size("removed").cast("long").alias("n_spans"), "n_repeated_chunks", "kept_sha256", F.col("kept").alias("text"))
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = language.fit(docs.where(crc("doc_id", 4) != 2))
-    found = language.identify(docs.select("doc_id", "text", (crc("doc_id", 4) == 2).alias("held_out")), model)
-    return found.select("row.doc_id", "row.held_out", "lang_pred", "score")
+    found = language.identify(docs.select("doc_id", "text", (crc("doc_id", 4) == 2).alias("held_out")), model, carry=["doc_id", "held_out"])
+    return found.select("row.doc_id", "row.held_out", "lang_pred", "score", "rejected")
 
 
 def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -134,7 +134,7 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
     model = quality.fit(docs, labels.where(crc("doc_id", 3) != 1))
-    found = quality.score(docs.withColumn("held_out", crc("doc_id", 3) == 1), model)
+    found = quality.score(docs.withColumn("held_out", crc("doc_id", 3) == 1), model, carry=["doc_id", "held_out"])
     return found.select("row.doc_id", "row.held_out", "score", "predicted")
 
 

@@ -160,10 +160,12 @@ class Seen:
 
     CAP = 1 << 18
 
-    def __init__(self) -> None:
+    def __init__(self, places: int = 0) -> None:
+        """places: columns of a place that orders rows of a string; a row before all that were met is told again."""
         self.one, self.two, self.told = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
+        self.place = [np.zeros(0, np.int64)] * places
 
-    def meet(self, one: np.ndarray, two: np.ndarray, again: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def meet(self, one: np.ndarray, two: np.ndarray, again: np.ndarray, *place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Of distinct strings of a block (again: the block itself repeats them): which are known, and which need not be told any more."""
         at = np.searchsorted(self.one, one)
         at[at == len(self.one)] = 0
@@ -172,14 +174,24 @@ class Seen:
             known = (self.one[at] == one) & (self.two[at] == two)
         told = np.zeros(len(one), bool)
         told[known] = self.told[at[known]]
+        if place and known.any():
+            before, level = np.zeros(len(one), bool), known.copy()
+            for mine, theirs in zip(place, self.place, strict=True):
+                before |= level & (mine < theirs[at])
+                level &= mine == theirs[at]
+            told &= ~before
+            for mine, theirs in zip(place, self.place, strict=True):
+                theirs[at[before]] = mine[before]
         if known.any():
             self.told[at[known]] = True
         if len(self.one) + len(one) > self.CAP:
             self.one, self.two, self.told = self.one[:0], self.two[:0], self.told[:0]
+            self.place = [p[:0] for p in self.place]
         new = np.flatnonzero(~known)
         new = new[np.argsort(one[new], kind="stable")]
         to = np.searchsorted(self.one, one[new])
         self.one, self.two, self.told = (np.insert(a, to, b) for a, b in ((self.one, one[new]), (self.two, two[new]), (self.told, again[new])))
+        self.place = [np.insert(a, to, b[new]) for a, b in zip(self.place, place, strict=True)]
         return known, told
 
 

@@ -13,7 +13,8 @@ best k of what it reads, and these meet by query.
 Defined results: vectors that are null, or hold null or non-finite components, and rows without an id
 take no part; shorter vectors count as padded with zeros. A query meets every row but its own: of
 the rows with its id and vector one is left out. Rows that repeat a query id are queries of their
-own. Scores are exact below 2**53, and whole 64-bit numbers beyond that.
+own. Scores are exact 64-bit numbers; vectors so
+long that a score could need more (a squared norm of 2**63) raise OverflowError.
 """
 
 from __future__ import annotations
@@ -131,6 +132,8 @@ def search(rows: DataFrame, k: int, is_query: Column, vector: str = "embedding",
     schema = "query_id long, rank int, vec_id long, score long"
     if not n:
         return spark.createDataFrame([], schema)
+    if top >= 2.0**63:
+        raise OverflowError("scores of these vectors don't fit a 64-bit column")
     dim = max(1, dim)
     share = min(1.0, 2.0 * SAMPLE / n)
     sample = base.where(F.pmod(F.xxhash64("id", "v"), F.lit(1_000_000)) < int(share * 1_000_000) + 1).select("id", "v").limit(SAMPLE).toArrow()
