@@ -4,9 +4,11 @@ For every participant of a conversation the whole dialogue is rendered with that
 ``assistant``, every other speaker as ``user`` with a name, and system turns as ``system``. The mask
 is the list of spans, in code points, of what the assistant says with its end mark.
 
-A conversation of any length is rendered in segments, of turns n*SEGMENT to n*SEGMENT+SEGMENT-1 and,
-where turns repeat, of at most SEGMENT rows (pages); segments in order of (segment, page) laid end to
-end are the whole rendering, so no task ever holds more than one segment.
+A dialogue is one row by participant: its rows and the rendering stand in one task, which takes some
+ten times the dialogue's text. Where single conversations are larger than that allows, ``segment``
+renders them in pieces: of turns n*segment to n*segment+segment-1 and, where turns repeat, of at most
+segment rows (pages). Pieces in order of (segment, page), laid end to end, are the whole rendering;
+``at`` says where a piece starts in it, and spans count from the start of the whole.
 
 Defined results: turns are ordered by (turn, role, text), a null turn last; a null role speaks as
 ``unknown``; a null text is empty; white space in a name becomes ``_``; ``<|`` in a text gets a
@@ -20,7 +22,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SEGMENT = 512
 START, END = "<|im_start|>", "<|im_end|>\n"
 
 
@@ -36,21 +37,24 @@ def _spans(pieces: Column) -> Column:
     return F.aggregate(pieces, zero, step, lambda acc: acc["spans"])
 
 
-def rotate(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", system: tuple[str, ...] = ("system",), segment: int = SEGMENT) -> DataFrame:
-    """Columns: conv_id, segment, page, participant, n_turns, n_targets, text, spans."""
+def rotate(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", system: tuple[str, ...] = ("system",), segment: int | None = None) -> DataFrame:
+    """Columns: conv_id, participant, n_turns, n_targets, text, spans; with segment also segment, page and at."""
     name = F.regexp_replace(F.coalesce(F.col(role).cast("string"), F.lit("unknown")), r"\s", "_")
     rows = turns.select(
-        F.col(conv).alias("conv_id"), F.coalesce(F.floor(F.col(turn) / segment), F.lit(2**62)).cast("long").alias("segment"),
-        F.col(turn).alias("turn"), name.alias("role"), F.replace(F.coalesce(F.col(text).cast("string"), F.lit("")), F.lit("<|"), F.lit("<​|")).alias("text"),
+        F.col(conv).alias("conv_id"), F.col(turn).isNull().alias("last"), F.col(turn).alias("turn"), name.alias("role"),
+        F.replace(F.coalesce(F.col(text).cast("string"), F.lit("")), F.lit("<|"), F.lit("<\u200b|")).alias("text"),
+        *([F.coalesce(F.floor(F.col(turn) / segment), F.lit(2**62)).cast("long").alias("segment")] if segment else []),
     )
+    keys, said = ["conv_id"], F.struct("last", "turn", "role", "text")
     spoken = ~F.col("role").isin(*system)
-    keys = ["conv_id", "segment"]
-    order = Window.partitionBy(*keys).orderBy(F.col("turn").asc_nulls_last(), "role", "text")
-    paged = rows.where("conv_id is not null").withColumn("n", F.row_number().over(order)).withColumn("page", F.expr(f"cast((n - 1) div {segment} as bigint)"))
-    grouped = paged.groupBy(*keys, "page").agg(F.array_sort(F.collect_list(F.struct("n", "role", "text"))).alias("turns"))
-    who = rows.where("conv_id is not null").where(spoken).select("conv_id", F.col("role").alias("participant")).distinct()
-    alone = rows.where("conv_id is null").where(spoken).select("conv_id", "segment", F.lit(0).cast("long").alias("page"), F.array(F.struct(F.lit(1).alias("n"), "role", "text")).alias("turns"), F.col("role").alias("participant"))
-    both = grouped.join(who, "conv_id").unionByName(alone)
+    known, alone = rows.where("conv_id is not null"), rows.where("conv_id is null").where(spoken).withColumn("turns", F.array(said)).withColumn("participant", F.col("role"))
+    if segment:
+        known = known.withColumn("page", F.expr(f"cast((row_number() over (partition by conv_id, segment order by last, turn, role, text) - 1) div {segment} as bigint)"))
+        alone = alone.withColumn("page", F.lit(0).cast("long"))
+        keys = ["conv_id", "segment", "page"]
+    grouped = known.groupBy(*keys).agg(F.array_sort(F.collect_list(said)).alias("turns"))
+    who = known.where(spoken).select("conv_id", F.col("role").alias("participant")).distinct()
+    both = grouped.join(who, "conv_id").unionByName(alone.select(*keys, "turns", "participant"))
 
     def piece(t: Column) -> Column:
         own = t["role"] == F.col("participant")
@@ -58,7 +62,14 @@ def rotate(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: st
         return F.struct(F.concat(head, t["text"], F.lit(END)).alias("piece"), F.when(own, F.length(head)).otherwise(-1).alias("head"))
 
     both = both.withColumn("pieces", F.transform("turns", piece))
-    return both.select(
-        "conv_id", "segment", "page", "participant", F.size("turns").cast("long").alias("n_turns"), F.size(F.filter("pieces", lambda p: p["head"] >= 0)).cast("long").alias("n_targets"),
+    shown = both.select(
+        *keys, "participant", F.size("turns").cast("long").alias("n_turns"), F.size(F.filter("pieces", lambda p: p["head"] >= 0)).cast("long").alias("n_targets"),
         F.array_join(F.transform("pieces", lambda p: p["piece"]), "").alias("text"), _spans(F.col("pieces")).alias("spans"),
     )
+    if not segment:
+        return shown
+    whole = Window.partitionBy("conv_id", "participant").orderBy("segment", "page").rowsBetween(Window.unboundedPreceding, -1)
+    starts = shown.select(*keys, "participant", F.length("text").cast("long").alias("length")).where("conv_id is not null")
+    starts = starts.withColumn("at", F.coalesce(F.sum("length").over(whole), F.lit(0))).drop("length")
+    placed = shown.where("conv_id is not null").join(starts, [*keys, "participant"]).unionByName(shown.where("conv_id is null").withColumn("at", F.lit(0).cast("long")))
+    return placed.withColumn("spans", F.transform("spans", lambda s: F.struct((s["start"] + F.col("at")).alias("start"), (s["end"] + F.col("at")).alias("end"))))

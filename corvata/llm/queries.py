@@ -100,16 +100,15 @@ def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP4_SQL = r"""
-WITH t AS (SELECT conv_id, CAST(coalesce(floor(turn / 512.0), 4611686018427387904) AS BIGINT) AS segment, turn, regexp_replace(coalesce(role, 'unknown'), '\s', '_', 'g') AS role, replace(coalesce(text, ''), '<|', '<' || chr(8203) || '|') AS text FROM conversations),
-n AS (SELECT *, row_number() OVER (PARTITION BY conv_id, segment ORDER BY turn NULLS LAST, role, text) AS n FROM t),
-p AS (SELECT *, (n - 1) // 512 AS page FROM n),
+WITH t AS (SELECT conv_id, turn, regexp_replace(coalesce(role, 'unknown'), '\s', '_', 'g') AS role, replace(coalesce(text, ''), '<|', '<' || chr(8203) || '|') AS text FROM conversations),
+n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS LAST, role, text) AS n FROM t),
 who AS (SELECT DISTINCT conv_id, role AS participant FROM t WHERE role <> 'system'),
-h AS (SELECT p.*, w.participant, p.role = w.participant AS own, '<|im_start|>' || CASE WHEN p.role = w.participant THEN 'assistant' WHEN p.role = 'system' THEN 'system' ELSE 'user name=' || p.role END || chr(10) AS head FROM p JOIN who w USING (conv_id)),
+h AS (SELECT n.*, w.participant, n.role = w.participant AS own, '<|im_start|>' || CASE WHEN n.role = w.participant THEN 'assistant' WHEN n.role = 'system' THEN 'system' ELSE 'user name=' || n.role END || chr(10) AS head FROM n JOIN who w USING (conv_id)),
 c AS (SELECT *, head || text || '<|im_end|>' || chr(10) AS piece FROM h),
-e AS (SELECT *, sum(length(piece)) OVER (PARTITION BY conv_id, segment, page, participant ORDER BY n ROWS UNBOUNDED PRECEDING) AS stop FROM c)
-SELECT conv_id, segment, page, participant, count(*) AS n_turns, count(*) FILTER (own) AS n_targets, string_agg(piece, '' ORDER BY n) AS text,
+e AS (SELECT *, sum(length(piece)) OVER (PARTITION BY conv_id, participant ORDER BY n ROWS UNBOUNDED PRECEDING) AS stop FROM c)
+SELECT conv_id, participant, count(*) AS n_turns, count(*) FILTER (own) AS n_targets, string_agg(piece, '' ORDER BY n) AS text,
        coalesce(string_agg(CAST(CAST(stop - length(piece) + length(head) AS BIGINT) AS VARCHAR) || '-' || CAST(CAST(stop - 1 AS BIGINT) AS VARCHAR), ',' ORDER BY n) FILTER (own), '') AS mask
-FROM e GROUP BY conv_id, segment, page, participant
+FROM e GROUP BY conv_id, participant
 """
 
 
