@@ -53,3 +53,123 @@ def test_pairs_rank_good_over_bad():
     m = quality.train(x, y, pairs=5000)
     assert ((m.score(x) >= 0.5) == (y == 1)).mean() > 0.95
     assert abs((m.score(x) >= 0.5).mean() - y.mean()) < 0.01  # the quantile is that of the labels
+
+
+def plain_trigrams(text):
+    """Hashed trigrams of letters, one at a time."""
+    data = [b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in (text or "").encode()]
+    out = {}
+    for a, b, c in zip(data, data[1:], data[2:], strict=False):
+        if b != 32:
+            h = ((a << 16 | b << 8 | c) * 0x9E3779B1 % 2**32) >> 20
+            out[h] = out.get(h, 0) + 1
+    return out
+
+
+def test_language_against_plain_nearest_centroid(spark):
+    import math
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    m = language.fit(docs)
+    for r in language.identify(docs, m).collect():
+        text = r.row.text
+        if not any(c.isalpha() for c in text or ""):
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+            continue
+        v = {h: math.log1p(n) * float(m.idf[h]) for h, n in plain_trigrams(text).items()}
+        norm = math.sqrt(sum(x * x for x in v.values())) or 1.0
+        cos = [sum(x * float(c[h]) for h, x in v.items()) / norm for c in m.centroids]
+        best = max(range(len(cos)), key=lambda i: cos[i])
+        near = sorted(cos)[-2:]
+        if near[1] - near[0] > 1e-5:
+            assert r.lang_pred == m.languages[m.owner[best]] and abs(r.score - max(0.0, cos[best])) < 1e-4
+            assert r.rejected == (1 - cos[best] > m.radius[m.owner[best]]) or abs(1 - cos[best] - m.radius[m.owner[best]]) < 1e-4
+
+
+def test_long_text_counts_in_parts():
+    import numpy as np
+    import pyarrow as pa
+
+    from corvata.llm.textblocks import blocks
+
+    (b,) = blocks(pa.array(["Ünïcode and plain wörds, " * 200]))
+    assert np.array_equal(language.trigram_counts(b), language.trigram_counts(b, limit=101))
+    counts = {h: n for h, n in enumerate(language.trigram_counts(b)[0].tolist()) if n}
+    assert counts == plain_trigrams("Ünïcode and plain wörds, " * 200)
+
+
+def plain_scores(texts, labels, keys):
+    """Scores of texts by plain gradient descent on the same pairs of all labelled ones."""
+    import numpy as np
+    import pyarrow as pa
+
+    from corvata.llm.textblocks import blocks
+
+    x = np.concatenate([quality.features(b) for t in texts for b in blocks(pa.array([t or ""]))])
+    own = sorted((y, v.tobytes()) for v, y in zip(x, labels, strict=True) if y in (0, 1))
+    y, lx = np.array([a for a, _ in own]), np.array([np.frombuffer(v) for _, v in own])
+    mean, scale = lx.mean(axis=0), lx.std(axis=0)
+    scale = np.where(scale > 1e-9, scale, 1.0)
+    z = ((lx - mean) / scale).clip(-8, 8)
+    rng = np.random.default_rng(11)
+    good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
+    d = z[rng.choice(good, quality.PAIRS)] - z[rng.choice(bad, quality.PAIRS)]
+    d, often = np.unique(d, axis=0, return_counts=True)
+    often = often / often.sum()
+    w, v, step = np.zeros(d.shape[1]), np.zeros(d.shape[1]), 4 / np.linalg.eigvalsh((d * often[:, None]).T @ d).max()
+    for i in range(3000):  # gradient descent with momentum
+        ahead = w + (i / (i + 3)) * v
+        p = 1 / (1 + np.exp((d @ ahead).clip(-500, 500)))
+        new = ahead + step * ((d * often[:, None]).T @ p - quality.RIDGE * ahead)
+        v, w = new - w, new
+    rank = sorted((z * w).sum(axis=1))
+    cut = np.quantile(rank, len(bad) / len(y))
+    raw = (((x - mean) / scale).clip(-8, 8) * w).sum(axis=1)
+    return 1 / (1 + np.exp(-(raw - cut).clip(-500, 500)))
+
+
+def test_quality_against_plain_gradient_descent(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    labels = {r.doc_id: r.quality for r in spark.read.parquet("/root/testdata/sf0.001/labels.parquet").collect()}
+    model = quality.fit(docs, spark.read.parquet("/root/testdata/sf0.001/labels.parquet"))
+    got = {r.row.doc_id: r.score for r in quality.score(docs, model).collect()}
+    rows = docs.collect()
+    want = plain_scores([r.text for r in rows], [labels.get(r.doc_id) for r in rows], [r.doc_id for r in rows])
+    assert max(abs(got[r.doc_id] - s) for r, s in zip(rows, want, strict=True)) < 0.02
+
+
+def test_plain_features():
+    import math
+
+    import numpy as np
+    import pyarrow as pa
+
+    from corvata.llm.textblocks import blocks
+
+    text = "The cat sat sat. The DOG!!\nThe cat sat sat. The DOG!!\n3 x"
+    (b,) = blocks(pa.array([text]))
+    x = quality.features(b)[0]
+    words = text.split()
+    k = len(quality._CLASSES) + 1
+    want = [math.log1p(len(text)), math.log1p(len(words)), sum(map(len, words)) / len(words), float(np.std([len(w) for w in words]))]
+    low = [w.lower() for w in words]
+    again = (len(low) - len(set(low))) / len(low)
+    adjacent = sum(a == b for a, b in zip(low, low[1:], strict=False)) / len(low)
+    want += [again, again**2, adjacent, math.sqrt(adjacent), sum(w[0].isupper() for w in words) / len(words), sum(len(w) == 1 for w in words) / len(words)]
+    assert np.allclose(x[k : k + len(want)], want)
+    assert len(x) == k + 14 + 2 * quality.HASHED and abs((x[-quality.HASHED :] ** 2).sum() - 1) < 1e-9
+
+
+def test_scores_that_do_not_fit_raise(spark):
+    import pytest
+
+    from corvata.llm import topk
+
+    df = spark.createDataFrame([(0, [1e300]), (1, [1e18])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="64-bit"):
+        topk.search(df, 20, F.col("vec_id") % 20 == 0).collect()
+
+
+def test_languages_are_bounded(spark):
+    df = spark.createDataFrame([(i, f"word number {i} the", f"l{i % 7}" if i < 70 else f"junk{i}") for i in range(100)], "doc_id long, text string, lang string")
+    assert language.fit(df, languages=7).languages == [f"l{i}" for i in range(7)]
