@@ -8,6 +8,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corvata.functions.money import let
+
 
 def bounds(polygon: Column) -> Column:
     """The box around ARRAY<STRUCT<x,y>>; null if it has no points."""
@@ -68,3 +70,59 @@ def invert(h: pd.Series) -> pd.Series:
         return None if abs(np.linalg.det(m)) < 1e-12 else np.linalg.inv(m).reshape(-1)
 
     return h.map(one)
+
+
+def inverse(h: Column) -> Column:
+    """The inverse of a 3x3 transform as column arithmetic; null if it has none."""
+
+    def of(m: Column) -> Column:
+        minor = lambda a, b, c, d: m[a] * m[d] - m[b] * m[c]
+        places = [(4, 5, 7, 8), (2, 1, 8, 7), (1, 2, 4, 5), (5, 3, 8, 6), (0, 2, 6, 8), (2, 0, 5, 3), (3, 4, 6, 7), (1, 0, 7, 6), (0, 1, 3, 4)]
+        cofactors = F.array(*[minor(*p) for p in places])
+        whole = lambda c: let(m[0] * c[0] + m[1] * c[3] + m[2] * c[6], lambda det: F.when(F.abs(det) >= 1e-12, F.transform(c, lambda x: x / det)))
+        return let(cofactors, whole)
+
+    return let(h, of)
+
+
+def round_trip_error(h: Column, points: Column) -> Column:
+    """The greatest distance between points and what there and back makes of them; 0 without points, null where one has no image."""
+
+    def of(m: Column) -> Column:
+        def error(p: Column) -> Column:
+            there = project(m["h"], p["x"], p["y"])
+            return let(let(there, lambda t: project(m["back"], t["x"], t["y"])), lambda home: F.hypot(home["x"] - p["x"], home["y"] - p["y"]))
+
+        return let(F.transform(points, error), lambda e: F.when(F.size(e) == 0, 0.0).when(~F.exists(e, lambda x: x.isNull()), F.array_max(e)))
+
+    return let(F.struct(h.alias("h"), inverse(h).alias("back")), of)
+
+
+def subdivided(h: Column, polygon: Column, tolerance: float = 1.0, most: int = 12) -> Column:
+    """A polygon's image under a transform, with so many points to an edge that no chord is off by more than the tolerance at its middle.
+
+    An edge is halved all along until it fits, up to 2**most parts; null where one doesn't converge.
+    """
+    n = F.size(polygon)
+
+    def edge(i: Column) -> Column:
+        ends = F.struct(polygon[i].alias("a"), polygon[(i + 1) % n].alias("b"), h.alias("h"))
+
+        def image(e: Column) -> Column:
+            def at(t: Column) -> Column:
+                return project(e["h"], e["a"]["x"] + (e["b"]["x"] - e["a"]["x"]) * t, e["a"]["y"] + (e["b"]["y"] - e["a"]["y"]) * t)
+
+            def off(parts: Column) -> Column:
+                """How far the middles of so many parts are from their chords; infinite where a point has no image."""
+                spots = F.transform(F.sequence(F.lit(0), parts * 2), lambda k: at(k / (parts * 2)))
+                middle = lambda s: F.transform(F.sequence(F.lit(1), parts * 2 - 1, F.lit(2)), lambda k: F.hypot(s[k]["x"] - (s[k - 1]["x"] + s[k + 1]["x"]) / 2, s[k]["y"] - (s[k - 1]["y"] + s[k + 1]["y"]) / 2))
+                return let(spots, lambda s: F.when(F.exists(s, lambda p: p.isNull()), float("inf")).otherwise(F.array_max(middle(s))))
+
+            sizes = F.array(*[F.lit(1 << d) for d in range(most + 1)])
+            fits = F.aggregate(sizes, F.lit(0), lambda done, parts: F.when(done > 0, done).when(off(parts) <= tolerance, parts).otherwise(0))
+            return let(fits, lambda parts: F.when(parts > 0, F.transform(F.sequence(F.lit(1), F.greatest(parts, F.lit(1))), lambda k: at(k / parts))))
+
+        return let(ends, image)
+
+    edges = F.transform(F.sequence(F.lit(0), n - 1), edge)
+    return let(edges, lambda e: F.when((n >= 3) & ~F.exists(e, lambda x: x.isNull()), F.flatten(e)))

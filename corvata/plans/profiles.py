@@ -112,12 +112,12 @@ def drift(observations: DataFrame, keys: list[str], order: list[str], window: in
 # The gates of activation, in order of report.
 def activation_failures(m: Column, flags: Column, construction: Column, holdout: Column, calibration: Column, supported: Column) -> Column:
     """Names of failed gates of a profile with metrics m (a struct; null fails alone)."""
-    low = lambda *names: F.least(*[m[n] for n in names])
+    low = lambda *names: F.least(*[F.coalesce(m[n], F.lit(float("-inf"))) for n in names])  # noqa: E731  a metric that is not known fails
     gates = F.array_compact(F.array(
-        F.when(m["holdout_bills"] < 10, "holdout_bills_below_10"), F.when(m["holdout_rows"] < 200, "holdout_rows_below_200"), F.when(low("precision", "recall", "f1") < 0.95, "row_metrics_below_95_percent"),
-        F.when(low("precision_low", "recall_low", "f1_low") <= 0.85, "confidence_lower_bound_not_above_85_percent"), F.when(m["amount_accuracy"] < 0.95, "amount_accuracy_below_95_percent"), F.when(m["negative_recall"] < 1, "negative_recall_below_100_percent"),
-        F.when(m["ungrounded"] > 0, "accepted_ungrounded_rows"), F.when(m["incomplete_pages"] > 0, "incomplete_pages"), F.when(m["identity_ambiguities"] > 0, "identity_ambiguities"), F.when(m["unsafe_numeric"] > 0, "unsafe_numeric_failures"),
-        F.when(m["field_failures"] > 0, "supported_field_gate_failures"), F.when(F.array_contains(flags, "mixed_capture") & (m["capture_conditions"] < 2), "mixed_capture_conditions_below_2"),
+        F.when(F.coalesce(m["holdout_bills"] < 10, F.lit(True)), "holdout_bills_below_10"), F.when(F.coalesce(m["holdout_rows"] < 200, F.lit(True)), "holdout_rows_below_200"), F.when(F.coalesce(low("precision", "recall", "f1") < 0.95, F.lit(True)), "row_metrics_below_95_percent"),
+        F.when(F.coalesce(low("precision_low", "recall_low", "f1_low") <= 0.85, F.lit(True)), "confidence_lower_bound_not_above_85_percent"), F.when(F.coalesce(m["amount_accuracy"] < 0.95, F.lit(True)), "amount_accuracy_below_95_percent"), F.when(F.coalesce(m["negative_recall"] < 1, F.lit(True)), "negative_recall_below_100_percent"),
+        F.when(F.coalesce(m["ungrounded"] > 0, F.lit(True)), "accepted_ungrounded_rows"), F.when(F.coalesce(m["incomplete_pages"] > 0, F.lit(True)), "incomplete_pages"), F.when(F.coalesce(m["identity_ambiguities"] > 0, F.lit(True)), "identity_ambiguities"), F.when(F.coalesce(m["unsafe_numeric"] > 0, F.lit(True)), "unsafe_numeric_failures"),
+        F.when(F.coalesce(m["field_failures"] > 0, F.lit(True)), "supported_field_gate_failures"), F.when(F.array_contains(flags, "mixed_capture") & (m["capture_conditions"] < 2), "mixed_capture_conditions_below_2"),
         F.when((F.size(construction) <= 0) | (F.size(holdout) <= 0), "missing_dataset_provenance"), F.when(F.arrays_overlap(construction, holdout), "construction_holdout_leakage"),
         F.when(F.coalesce(calibration, F.lit("")) == "", "missing_calibration_artifact"), F.when(F.size(F.array_except(F.array(F.lit("description"), F.lit("amount")), supported)) > 0, "missing_core_supported_fields"),
     ))

@@ -411,7 +411,8 @@ def identity_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(r"""SELECT doc_id, regexp_matches(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}') AS has_email, regexp_matches(text, '(^|[^0-9])[0-9]{8,16}([^0-9]|$)') AS has_id,
-CAST(length(regexp_replace(regexp_replace(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}', '[email]', 'g'), '(^|[^0-9])[0-9]{8,16}([^0-9]|$)', '\1[id]\2', 'g')) AS BIGINT) AS n FROM documents""")
+CAST(length(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '(?i)\b(patient name|patient|uhid|mrn|ipid|ip no|mobile|phone|address|email|dob|date of birth|aadhaar|aadhar|pan no|policy no|claim no)\b(\s*[:=]\s*)[^,;\n]+', '\1\2[value]', 'g'),
+  '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}', '[email]', 'g'), '(^|[^0-9])(?:\+?91[- ]?)?[6-9][0-9]{9}([^0-9]|$)', '\1[phone]\2', 'g'), '(^|[^0-9])[0-9]{8,16}([^0-9]|$)', '\1[id]\2', 'g')) AS BIGINT) AS n FROM documents""")
 def redaction_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
     return d.select("doc_id", F.col("text").rlike(fields.EMAIL).alias("has_email"), F.col("text").rlike(fields.LONG_ID).alias("has_id"), F.length(fields.redact(F.col("text"))).cast("long").alias("n"))

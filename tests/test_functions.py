@@ -86,3 +86,31 @@ def test_round_trip(spark, x, y):
     df = spark.sql("select array(0d, -2d, 40d, 2d, 0d, -7d, 0d, 0d, 1d) h").withColumn("p", geometry.project(F.col("h"), F.lit(x), F.lit(y)))
     back = df.select(geometry.project(geometry.invert("h"), F.col("p.x"), F.col("p.y")).alias("b")).first().b
     assert abs(back.x - x) < 1e-8 and abs(back.y - y) < 1e-8
+
+
+def test_polygons_under_perspective_have_no_chord_far_off(spark):
+    import math
+
+    from corvata.functions.geometry import inverse, round_trip_error, subdivided
+
+    h = [1.0, 0.1, 5.0, 0.05, 1.0, 2.0, 4e-4, 0.0, 1.0]
+    ring = [(0.0, 0.0), (900.0, 0.0), (900.0, 600.0), (0.0, 600.0)]
+
+    def image(x, y):
+        w = h[6] * x + h[7] * y + h[8]
+        return ((h[0] * x + h[1] * y + h[2]) / w, (h[3] * x + h[4] * y + h[5]) / w)
+
+    want = []
+    for i, (ax, ay) in enumerate(ring):
+        bx, by = ring[(i + 1) % 4]
+        for d in range(13):
+            n = 1 << d
+            at = lambda t, a=(ax, ay), b=(bx, by): image(a[0] + (b[0] - a[0]) * t, a[1] + (b[1] - a[1]) * t)
+            off = max(math.dist(at((k + 0.5) / n), tuple((p + q) / 2 for p, q in zip(at(k / n), at((k + 1) / n), strict=True))) for k in range(n))
+            if off <= 0.5:
+                want += [at((k + 1) / n) for k in range(n)]
+                break
+    df = spark.createDataFrame([(h, [dict(x=x, y=y) for x, y in ring])], "h array<double>, p array<struct<x:double,y:double>>")
+    got = df.select(subdivided(F.col("h"), F.col("p"), 0.5).alias("s"), round_trip_error(F.col("h"), F.col("p")).alias("e"), inverse(F.array(*[F.lit(1.0)] * 9)).alias("none")).first()
+    assert len(got.s) == len(want) > 8 and all(math.dist((a.x, a.y), b) < 1e-6 for a, b in zip(got.s, want, strict=True))
+    assert got.e < 1e-6 and got.none is None
