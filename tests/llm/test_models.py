@@ -105,9 +105,10 @@ def plain_scores(texts, labels, keys):
 
     from corvata.llm.textblocks import blocks
 
-    x = np.concatenate([quality.features(b) for t in texts for b in blocks(pa.array([t or ""]))])
+    x = np.concatenate([quality.features(b) for t in texts for b in blocks(pa.array([t or ""]))]).astype(np.float32)
     own = sorted((y, v.tobytes()) for v, y in zip(x, labels, strict=True) if y in (0, 1))
-    y, lx = np.array([a for a, _ in own]), np.array([np.frombuffer(v) for _, v in own])
+    y, lx = np.array([a for a, _ in own]), np.array([np.frombuffer(v, np.float32) for _, v in own])
+    lx = lx.astype(float)
     mean, scale = lx.mean(axis=0), lx.std(axis=0)
     scale = np.where(scale > 1e-9, scale, 1.0)
     z = ((lx - mean) / scale).clip(-8, 8)
