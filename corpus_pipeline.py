@@ -12,7 +12,11 @@ from pyspark.sql import functions as F
 
 from corvata.llm import decontaminate, mixing, neardup, quality, suffixes
 from corvata.llm.queries import MIX_WEIGHTS
-from corvata.llm.spool import spool
+from corvata.llm.spool import discard, scratch, spool
+
+#: The shortest repeated string that goes, in bytes: about 50 subword tokens, the usual threshold of substring deduplication;
+#: any passage of over 50 words reaches it where words average three letters and a space or more.
+REPEAT_BYTES = 200
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,8 +31,8 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the bytes of long strings that occur more than once."""
-    done = suffixes.dedup(docs, as_text=True)
+    """All documents, without the bytes of strings of REPEAT_BYTES that occur more than once."""
+    done = suffixes.dedup(docs, length=REPEAT_BYTES, as_text=True)
     changed = F.col("n_removed") > 0
     new = {"text": F.when(changed, F.col("kept")).otherwise(F.col("row.text")), "n_chars": F.when(changed, F.length("kept").cast("long")).otherwise(F.col("row.n_chars"))}
     return done.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
@@ -63,8 +67,12 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of sf_dir, each written and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i + 1 < len(STAGES):
-            docs, _ = spool(docs, f"stage{i}")
-    return docs
+    before = None
+    for i, (_, stage) in enumerate(STAGES[:-1]):
+        with scratch(spark) as keep:
+            docs, path = spool(stage(spark, docs, sf_dir), f"stage{i}")
+            keep.append(path)
+        if before:
+            discard(spark, before)
+        before = path
+    return STAGES[-1][1](spark, docs, sf_dir)
