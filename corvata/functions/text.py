@@ -59,6 +59,22 @@ def ratio(left: str, right: str) -> float:
     return 1.0 if left == right else SequenceMatcher(None, left, right).ratio()
 
 
+def ratios(lefts: list[str], rights: list[str], least: float) -> list[list[float]]:
+    """Ratios of all pairs, lefts by rights; what their lengths show to be under least is 0."""
+    out = [[0.0] * len(rights) for _ in lefts]
+    for j, right in enumerate(rights):
+        matcher = SequenceMatcher()
+        matcher.set_seq2(right)
+        for i, left in enumerate(lefts):
+            if left and right:
+                matcher.set_seq1(left)
+                if left == right:
+                    out[i][j] = 1.0
+                elif matcher.real_quick_ratio() >= least:
+                    out[i][j] = matcher.ratio()
+    return out
+
+
 @F.pandas_udf(T.DoubleType())
 def similarity(left: pd.Series, right: pd.Series) -> pd.Series:
     """Ratio of pairs of texts that are normalised already."""

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from corvata.functions import geometry
 from corvata.functions.text import jaccard
 from corvata.operators import graph
-from corvata.operators.matching import competing_best, maximum_weight
 
 # Limits of matching.
 ACCEPT, MARGIN, AGREE = 0.60, 0.10, 0.65
@@ -29,21 +28,22 @@ def match_score(a: str, b: str) -> Column:
 def proposal_edges(proposals: DataFrame, anchor_variant: str) -> DataFrame:
     """Every pair of an anchor and a proposal of another variant on its page, with score and reason.
 
-    Pairs from .60 are eligible unless another eligible pair at either end comes within .10; of these
-    the assignment of greatest total weight by page and variant is accepted. Columns: document_id, page,
-    variant, anchor_id, candidate_id, score, reason.
+    Pairs from .60 are eligible; one is ambiguous if another eligible pair at either end comes within .10
+    of it or above. Of two eligible pairs with a common end at most one can be .10 above the other, so
+    the pairs that are not ambiguous have no end in common, and the one-to-one assignment of greatest
+    total weight takes them all: no search is needed. Proposals move once, to their page; the windows
+    at both ends work there. Columns: document_id, page, variant, anchor_id, candidate_id, score, reason.
     """
     a, b = proposals.where(F.col("variant") == anchor_variant).alias("a"), proposals.where(F.col("variant") != anchor_variant).alias("b")
     pairs = a.join(b, (F.col("a.document_id") == F.col("b.document_id")) & (F.col("a.page") == F.col("b.page")))
     edges = pairs.select("b.document_id", "b.page", "b.variant", F.col("a.proposal_id").alias("anchor_id"), F.col("b.proposal_id").alias("candidate_id"), match_score("a", "b").alias("score"))
-    keys = [*PAGE, "variant"]
-    above = competing_best(edges.where(F.col("score") >= ACCEPT), keys, "anchor_id", "candidate_id")
-    above = above.withColumn("ambiguous", F.col("score") - F.col("competing") < MARGIN).drop("competing")
-    taken = maximum_weight(above.where("not ambiguous").drop("ambiguous"), keys, "anchor_id", "candidate_id")
-    ids = [*keys, "anchor_id", "candidate_id"]
-    state = edges.join(above.select(*ids, "ambiguous"), ids, "left").join(taken.select(*ids, F.lit(True).alias("taken")), ids, "left")
-    reason = F.when(F.col("taken"), "accepted_maximum_weight").when(F.col("ambiguous"), "abstained_ambiguous").when(F.col("score") < ACCEPT, "rejected_below_threshold").otherwise("rejected_competing_assignment")
-    return state.select(*ids, "score", reason.alias("reason"))
+    for end in ("anchor_id", "candidate_id"):
+        w = Window.partitionBy(*PAGE, "variant", end).orderBy(F.desc("score"))
+        rival = F.when(F.row_number().over(w) == 1, F.lead("score").over(w)).otherwise(F.first("score").over(w))
+        edges = edges.withColumn(f"_{end}", F.when(rival >= ACCEPT, rival).otherwise(0.0))
+    ambiguous = F.col("score") - F.greatest(F.coalesce("_anchor_id", F.lit(0.0)), F.coalesce("_candidate_id", F.lit(0.0))) < MARGIN
+    reason = F.when(F.col("score") < ACCEPT, "rejected_below_threshold").when(ambiguous, "abstained_ambiguous").otherwise("accepted_maximum_weight")
+    return edges.select(*PAGE, "variant", "anchor_id", "candidate_id", "score", reason.alias("reason"))
 
 
 def derived_tables(proposals: DataFrame, edges: DataFrame, anchor_variant: str) -> DataFrame:

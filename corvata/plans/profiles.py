@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from corvata.functions.text import jaccard
 
 # Transitions that a profile may make.
+#: Observations that are sent to every task, and tasks that share a block where there are more.
+FEW, PARTS = 20_000, 32
 TRANSITIONS = (
     ("candidate", "shadow"), ("candidate", "archived"), ("shadow", "active"), ("shadow", "archived"),
     ("active", "drifted"), ("active", "archived"), ("drifted", "shadow"), ("drifted", "archived"),
@@ -61,7 +63,7 @@ def profile_score(p: str, o: str) -> Column:
     identity = F.when(c(p, "hospital_id").isNotNull() & (c(p, "hospital_id") != "") & c(p, "hospital_id").eqNullSafe(c(o, "hospital_id")), 1.0).otherwise(0.5)
     types = F.when(c(p, "page_type") == c(o, "page_type"), 0.4).otherwise(0.0) + F.when(c(p, "table_type") == c(o, "table_type"), 0.6).otherwise(0.0)
     geometry = geometry_score(c(p, "aspect"), c(o, "aspect"), c(p, "box"), c(o, "box"))
-    header = jaccard(c(p, "words"), c(o, "words"))
+    header = jaccard(c(p, "word_ids"), c(o, "word_ids"))
     columns = column_score(c(p, "centres"), c(p, "tolerances"), c(o, "centres"), c(p, "roles"), c(o, "roles"))
     total = identity * 0.2 + types * 0.15 + geometry * 0.1 + F.coalesce(header * 0.3, F.lit(0.0)) + F.coalesce(columns * 0.25, F.lit(0.0))
     weight = F.lit(0.45) + F.when(header.isNotNull(), 0.3).otherwise(0.0) + F.when(columns.isNotNull(), 0.25).otherwise(0.0)
@@ -75,16 +77,23 @@ def select_profiles(profiles: DataFrame, observations: DataFrame, block: list[st
     Candidates meet observations on the blocking columns, for exact results those that a nonzero
     margin needs; an observation without candidates comes back unselected.
     """
-    p = profiles.where("lifecycle = 'active'").select(F.map_keys("centres").alias("p_roles"), *[F.col(x).alias(f"p_{x}") for x in profiles.columns])
-    o = observations.select(F.map_keys("centres").alias("o_roles"), *[F.col(x).alias(f"o_{x}") for x in observations.columns])
+    ids = F.array_distinct(F.transform("words", lambda w: F.xxhash64(w)))  # whole numbers meet faster than words
+    p = profiles.where("lifecycle = 'active'").select(F.map_keys("centres").alias("p_roles"), ids.alias("p_word_ids"), *[F.col(x).alias(f"p_{x}") for x in profiles.columns])
+    o = observations.select(F.map_keys("centres").alias("o_roles"), ids.alias("o_word_ids"), *[F.col(x).alias(f"o_{x}") for x in observations.columns])
     on = [F.col(f"p_{b}").eqNullSafe(F.col(f"o_{b}")) for b in block]
-    scored = o.join(p, on, "left").withColumn("score", F.when(F.col("p_profile_key").isNotNull(), profile_score("p_", "o_")))
+    if observations.limit(FEW + 1).count() <= FEW:  # a checked size: each task scores its profiles against all observations
+        met = p.join(F.broadcast(o), on)
+    else:  # a block's observations are dealt to PARTS tasks, each of which meets all of the block's profiles
+        salted = o.withColumn("_salt", F.pmod(F.xxhash64("o_observation_id"), F.lit(PARTS)).cast("int"))
+        met = salted.join(p.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1)))), [*on, F.col("_salt") == F.col("_part")])
+    scored = met.withColumn("score", profile_score("p_", "o_"))
     w = Window.partitionBy("o_observation_id").orderBy(F.desc_nulls_last("score"), F.desc_nulls_last("p_version"), F.desc_nulls_last("p_profile_key"))
     two = scored.select("o_observation_id", "p_profile_key", "p_version", "p_threshold", "p_margin", "score").withColumn("_r", F.row_number().over(w)).where("_r <= 2")
     best = F.max(F.when(F.col("_r") == 1, F.struct("p_profile_key", "p_threshold", "p_margin", "score")))
     top = two.groupBy("o_observation_id").agg(best.alias("b"), F.coalesce(F.max(F.when(F.col("_r") == 2, F.col("score"))), F.lit(0.0)).alias("second"))
     margin = F.greatest(F.lit(0.0), F.col("b.score") - F.col("second"))
     chosen = F.coalesce((F.col("b.score") >= F.col("b.p_threshold")) & (margin >= F.col("b.p_margin")), F.lit(False))
+    top = observations.select(F.col("observation_id").alias("o_observation_id")).join(top, "o_observation_id", "left")
     return top.select(F.col("o_observation_id").alias("observation_id"), F.col("b.p_profile_key").alias("profile_key"), F.coalesce("b.score", F.lit(0.0)).alias("score"), F.coalesce(margin, F.lit(0.0)).alias("margin"), chosen.alias("selected"))
 
 
