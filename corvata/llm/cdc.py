@@ -7,8 +7,8 @@ Chunks are compared by 128-bit digest over the whole corpus. Where a run of neig
 all occur more than once reaches MIN_RUN bytes, each of them is removed unless it is the first
 occurrence, in order of (key, digest of the text, position).
 
-Copies within a block of texts meet before the shuffle, so a chunk that a third of all texts hold
-sends one row a block.
+Copies that a task has met are counted before the shuffle, so a chunk that a third of all texts hold
+sends two rows a task, or a few more where keys fall. Texts of any length are cut half a megabyte at a time.
 
 Defined results: a null text counts as empty; empty texts have no chunks and keep nothing; a null key
 sorts first; rows that repeat key and text own and lose the same chunks, as one document. All columns
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvata.llm.textblocks import U64, Block, Fingerprint, Seen, blocks, carried, mix, pieces, signed
+from corvata.llm.textblocks import BLOCK_BYTES, U64, Block, Fingerprint, Seen, blocks, carried, mix, pieces, signed
 
 WINDOW, ZERO_BITS, GAP, MAX_CHUNK, MIN_RUN = 16, 4, 16, 512, 80
 
@@ -36,6 +36,11 @@ NULL_KEY = -(2**63)
 
 def cuts(b: Block) -> np.ndarray:
     """Ends of all chunks of a block, in order; every text ends a chunk."""
+    return _cuts(b)[0]
+
+
+def _cuts(b: Block) -> tuple[np.ndarray, np.ndarray]:
+    """Ends of all chunks, and those of them that content alone decides."""
     d, n = b.data, len(b.data)
     h = _GEAR[d]
     for k in (1, 2, 4, 8):  # h[i] of the 2k bytes up to i
@@ -48,7 +53,8 @@ def cuts(b: Block) -> np.ndarray:
     at, doc = at[at_char], doc[at_char]
     apart = np.ones(len(at), bool)
     apart[1:] = (np.diff(at) > GAP) | (doc[1:] != doc[:-1])
-    ends = np.unique(np.concatenate([at[apart], b.offs[1:]]))
+    chosen = at[apart]
+    ends = np.unique(np.concatenate([chosen, b.offs[1:]]))
     ends = ends[ends > 0]
     starts = np.concatenate([[0], ends[:-1]])
     long = np.flatnonzero(ends - starts > MAX_CHUNK)
@@ -59,7 +65,35 @@ def cuts(b: Block) -> np.ndarray:
             cont = (more < n) & ((d[np.minimum(more, n - 1)] & 0xC0) == 0x80)
             more = more + cont
         ends = np.unique(np.concatenate([ends, more]))
-    return ends
+    return ends, chosen
+
+
+def chunk_parts(b: Block, limit: int = BLOCK_BYTES) -> Iterator[tuple[np.ndarray, ...]]:
+    """chunks of a block; of one long text about limit bytes at a time, each part from a cut that content decides on, with the bytes before it that later cuts hang on."""
+    n = len(b.data)
+    if b.n > 1 or n <= limit:
+        yield chunks(b)
+        return
+    at, take = 0, limit
+    while at < n:
+        lead = min(at, 4 * (WINDOW + GAP))
+        data = b.data[at - lead : at + take]
+        part = Block(b.first, data, np.array([0, len(data)], np.int64), b.null)
+        ends, chosen = _cuts(part)
+        last = len(data) if at + take >= n else int(chosen[-1]) if len(chosen) and chosen[-1] > lead else 0
+        if not last:
+            take *= 2  # no cut in all of it: a run without any change
+            continue
+        ends = ends[(ends > lead) & (ends <= last)]
+        starts = np.concatenate([[lead], ends[:-1]])
+        one, two = _digests(part, starts, ends)
+        yield np.zeros(len(ends), np.int64), starts + at - lead, ends - starts, one, two
+        at, take = at - lead + last, limit
+
+
+def _digests(b: Block, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    n = (e - s).astype(U64)
+    return signed(mix(_ONE.of(_ONE.prefix(b.data), s, e) + n)), signed(mix(_TWO.of(_TWO.prefix(b.data), s, e) + n))
 
 
 def chunks(b: Block) -> tuple[np.ndarray, ...]:
@@ -70,10 +104,8 @@ def chunks(b: Block) -> tuple[np.ndarray, ...]:
     e = cuts(b)
     s = np.concatenate([[0], e[:-1]])
     doc = np.searchsorted(b.offs, s, side="right") - 1
-    n = (e - s).astype(U64)
-    one = mix(_ONE.of(_ONE.prefix(b.data), s, e) + n)
-    two = mix(_TWO.of(_TWO.prefix(b.data), s, e) + n)
-    return doc, s - b.offs[doc], e - s, signed(one), signed(two)
+    one, two = _digests(b, s, e)
+    return doc, s - b.offs[doc], e - s, one, two
 
 
 def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,8 +113,7 @@ def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seen = Seen(3)
     for batch in batches:
         keys, hashes = batch["key"].to_numpy(), batch["hash"].to_numpy()
-        for b in blocks(batch["text"]):
-            doc, start, size, one, two = chunks(b)
+        for b, (doc, start, size, one, two) in ((b, c) for b in blocks(batch["text"]) for c in chunk_parts(b)):
             if not len(doc):
                 continue
             key, h = keys[b.first + doc], hashes[b.first + doc]

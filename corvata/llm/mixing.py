@@ -27,7 +27,7 @@ from corvata.llm.spool import spool
 TOKEN = r"[^\x20\x09-\x0D]+"
 LEVELS = ("domain", "lang", "source")
 #: Documents in a bucket of a leaf, in the mean.
-BUCKET = 256
+BUCKET, BUCKETS = 256, 4096
 
 
 def weight_of(weights: dict[str, int], path: list[Column], default: int) -> Column:
@@ -93,13 +93,24 @@ def mix(docs: DataFrame, domain: Column, weights: dict[str, int], key: str = "do
     part = rows.where("rest > 0").withColumn("digest", digest).withColumn("bucket", F.expr("cast(conv(substr(digest, 1, 8), 16, 10) as bigint) * buckets div 4294967296"))
     leaf_bucket = [*LEVELS, "bucket"]
     sums = part.groupBy(*leaf_bucket).agg(F.sum("n_tokens").alias("in_bucket"))
-    before = sums.withColumn("before", F.coalesce(F.sum("in_bucket").over(Window.partitionBy(*LEVELS).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("in_bucket")
+    before = _before(sums)
     inside = Window.partitionBy(*leaf_bucket).orderBy("digest", "n_tokens", "hash", F.xxhash64("row")).rowsBetween(Window.unboundedPreceding, -1)
     part = part.join(before, leaf_bucket).where("before < rest").withColumn("start", F.col("before") + F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))).where("start < rest")
     part = part.withColumn("epoch", F.col("whole")).withColumn("take_tokens", F.least("n_tokens", F.col("rest") - F.col("start"))).select(*cols)
     return full.unionByName(part)
 
 
+def _before(sums: DataFrame) -> DataFrame:
+    """By leaf and bucket, the tokens of all buckets before it: added up within runs of BUCKETS buckets, and over runs, so no task sorts a whole leaf."""
+    run = F.expr(f"bucket div {BUCKETS}")
+    runs = sums.groupBy(*LEVELS, run.alias("run")).agg(F.sum("in_bucket").alias("in_run"))
+    over_runs = Window.partitionBy(*LEVELS).orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.select(*LEVELS, "run", F.coalesce(F.sum("in_run").over(over_runs), F.lit(0)).alias("before_run"))
+    within = Window.partitionBy(*LEVELS, "run").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    both = sums.withColumn("run", run).withColumn("in_before", F.coalesce(F.sum("in_bucket").over(within), F.lit(0))).join(runs, [*LEVELS, "run"])
+    return both.select(*LEVELS, "bucket", (F.col("before_run") + F.col("in_before")).alias("before"))
+
+
 def with_text(mixed: DataFrame, docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Add text, the tokens taken of it. Texts are shuffled once, to where their rows are."""
     identity = [F.coalesce(F.col(key).cast("string"), F.lit("")).alias("key"), F.xxhash64(text).alias("hash")]

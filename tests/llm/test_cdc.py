@@ -77,3 +77,15 @@ def test_repeated_rows_and_null_key(spark):
     t = prose(random.Random(1), 80)
     got = cdc.dedup(spark.createDataFrame([(1, t), (1, t), (2, t), (None, t)], "doc_id long, text string")).collect()
     assert sorted((g.row.doc_id or -1, g.kept == t) for g in got) == [(-1, True), (1, False), (1, False), (2, False)]
+
+
+def test_long_text_in_parts():
+    import numpy as np
+
+    r = random.Random(8)
+    text = prose(r, 3000) + "a" * 5000 + prose(r, 500) + "é" * 900
+    (b,) = blocks(pa.array([text]))
+    whole = cdc.chunks(b)
+    for limit in (700, 4096):
+        got = [np.concatenate(c) for c in zip(*cdc.chunk_parts(b, limit), strict=True)]
+        assert all(np.array_equal(x, y) for x, y in zip(whole, got, strict=True))

@@ -174,3 +174,14 @@ def test_scores_that_do_not_fit_raise(spark):
 def test_languages_are_bounded(spark):
     df = spark.createDataFrame([(i, f"word number {i} the", f"l{i % 7}" if i < 70 else f"junk{i}") for i in range(100)], "doc_id long, text string, lang string")
     assert language.fit(df, languages=7).languages == [f"l{i}" for i in range(7)]
+
+
+def test_features_of_a_long_text_in_parts():
+    import numpy as np
+    import pyarrow as pa
+
+    from corvata.llm.textblocks import blocks
+
+    for text in ("One two  two\nthree é, four!\n\n" * 300 + "One two  two", "x" * 9000, " \n \n" * 500):
+        (b,) = blocks(pa.array([text]))
+        assert np.allclose(quality.features(b), quality.features(b, limit=100))
