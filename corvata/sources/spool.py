@@ -10,6 +10,8 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 
 _FALLBACK: list[str] = []
+# On the local file system each file would get a second one of checksums, and either one a process that sets its mode.
+_PLAIN = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
 _OPEN: list[list[str]] = []  #: paths written inside the scratch blocks that are open now
 
 
@@ -33,7 +35,7 @@ def spool(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     if _OPEN:
         _OPEN[-1].append(path)
-    df.write.parquet(path)
+    df.write.options(**_PLAIN).parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
