@@ -161,13 +161,13 @@ def stars(links: DataFrame) -> DataFrame:
     before = None
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least, least_at = spool(both.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("rows")).withColumn("m", F.least("a", "m")), "least")
-        large = hot_join(both, least, "a", "rows").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
+        least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
+        large = hot_join(both, least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
         mid, mid_at = spool(large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "large-star")
-        root, root_at = spool(mid.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("rows")), "roots")
-        small = hot_join(mid, root, "a", "rows").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").where("a <> b").distinct()
+        root = mid.groupBy("a").agg(F.min("b").alias("m"))
+        small = hot_join(mid, root, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").where("a <> b").distinct()
         new, new_at = spool(small, "small-star")
-        discard(spark, at, mid_at, least_at, root_at)
+        discard(spark, at, mid_at)
         edges, at = new, new_at
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if tuple(now) == before:
@@ -191,9 +191,9 @@ def _meet(dealt: DataFrame) -> DataFrame:
 def _led(buckets: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of each unit with the leaders of its buckets, where the sizes of their sets allow a link."""
     fame = buckets.groupBy("sid").agg(F.sum("size").alias("fame"))
-    lead = buckets.select("bucket", "sid").join(fame, "sid").groupBy("bucket").agg(F.max(F.struct("fame", (-F.col("sid")).alias("sid"))).alias("top"), F.count(F.lit(1)).alias("rows"))
-    lead, _ = spool(lead.select("bucket", (-F.col("top.sid")).alias("lead"), "rows"), "leaders")
-    pairs = hot_join(buckets.select("bucket", "sid"), lead, "bucket", "rows").where("sid <> lead").select(F.greatest("sid", "lead").alias("a"), F.least("sid", "lead").alias("b")).distinct()
+    lead = buckets.select("bucket", "sid").join(fame, "sid").groupBy("bucket").agg(F.max(F.struct("fame", (-F.col("sid")).alias("sid"))).alias("top"))
+    lead = lead.select("bucket", (-F.col("top.sid")).alias("lead"))
+    pairs = hot_join(buckets.select("bucket", "sid"), lead, "bucket").where("sid <> lead").select(F.greatest("sid", "lead").alias("a"), F.least("sid", "lead").alias("b")).distinct()
     return _sized(pairs, sizes, percent)
 
 
@@ -253,12 +253,11 @@ def _components(docs: DataFrame, key: str, text: str, percent: int, keep: list[s
     if third.limit(1).count():
         roots = stars(first.unionByName(second).unionByName(third))
     named, _ = spool(units.join(roots, "sid", "left").select("one", "two", "key", F.coalesce("root", "sid").alias("root")), "named")
-    least, _ = spool(named.groupBy("root").agg(F.min("key").alias("least"), F.count(F.lit(1)).alias("rows")), "least")
+    least = named.groupBy("root").agg(F.min("key").alias("least"))
     worded, bare = signed_rows.where("one is not null"), signed_rows.where("one is null")
-    copies = worded.groupBy("one", "two").agg(F.count(F.lit(1)).alias("copies"))
-    by_set, set_at = spool(hot_join(named, least, "root", "rows").select("one", "two", "least").join(copies, ["one", "two"]), "classes")
+    by_set, set_at = spool(hot_join(named, least, "root").select("one", "two", "least"), "classes")
     keep += [signed_at, set_at]
-    out = hot_join(worded.select("key", "hash", "n", "one", "two"), by_set, "one", "copies", ("two",)).select("key", "hash", "n", "least")
+    out = hot_join(worded.select("key", "hash", "n", "one", "two"), by_set, "one", ("two",)).select("key", "hash", "n", "least")
     out = out.unionByName(bare.select("key", "hash", "n", F.col("key").alias("least")))
     component, own = F.nullif("least", F.lit(NO_KEY)), F.nullif("key", F.lit(NO_KEY))
     return out.select(own.alias("key"), "hash", F.col("n").alias("n_shingles"), component.alias("component_id"), component.eqNullSafe(own).alias("kept"))

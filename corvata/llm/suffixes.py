@@ -1,9 +1,9 @@
 """Suffix-array dedup: which bytes lie in a string of LENGTH bytes that starts elsewhere too.
 
-Distributed prefix doubling. A position's rank stands for its first UNIT bytes, then for 2, 4, ...
-units: Spark sorts the pairs (rank of the position, rank of the position an offset further on),
-numbers equal pairs alike in sort order, drops positions whose pair is unique, and doubles the
-offset; the last step overlaps. Done at every byte this would sort the corpus many times over, so
+Distributed prefix doubling. A position's rank stands for its first 2, then 4, ... units of UNIT bytes:
+Spark sorts the pairs (rank of the position, rank of the position an offset further on; at first,
+names of their first unit), numbers equal pairs alike in sort order, drops positions whose pair is
+unique, and doubles the offset; the last step overlaps. Done at every byte this would sort the corpus many times over, so
 content decides which positions can have a partner at all:
 
 * Every window of LENGTH bytes is anchored at its lowest-hashed SEED-gram (the leftmost of equals), so
@@ -160,8 +160,8 @@ def _cut_snippets(length: int):
 _CELL = "rank long, one long, two long, sid long, cell long, key long, hash long, start long, end long, n long"
 
 
-def _unit_ranks(length: int, unit: int):
-    """Each ranked position's first unit bytes, named with the rank of its anchor and its place k to it, in units."""
+def _unit_pairs(length: int, unit: int):
+    """Pairs of names of each ranked position's first and second unit bytes; a name holds the rank of the anchor and the place k to it, in units."""
     held = (length - unit + 1) // unit
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,27 +176,28 @@ def _unit_ranks(length: int, unit: int):
                 k = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + first[src]
                 at = (base + part["before"].to_numpy())[src] + k * unit
                 c = _ONE.prefix(data)
-                name = mix(_ONE.of(c, at, at + unit) * _K[0] + mix(part["rank"].to_numpy().view(U64)[src] + k.astype(U64) * _K[1]))
-                yield pa.RecordBatch.from_arrays([part["sid"].take(pa.array(src)), pa.array(k), part["n"].take(pa.array(src)), pa.array(signed(name)), pa.array(np.zeros(len(k), np.int64))], names=["sid", "k", "n", "r1", "r2"])
+                name = signed(mix(_ONE.of(c, at, at + unit) * _K[0] + mix(part["rank"].to_numpy().view(U64)[src] + k.astype(U64) * _K[1])))
+                one = np.flatnonzero(src[1:] == src[:-1]) if held > 1 else np.arange(len(src))  # positions with another one behind them
+                two = one + 1 if held > 1 else one
+                yield pa.RecordBatch.from_arrays([part["sid"].take(pa.array(src[one])), pa.array(k[one]), part["n"].take(pa.array(src[one])), pa.array(name[one]), pa.array(name[two])], names=["sid", "k", "n", "r1", "r2"])
 
     return run
 
 
 def _rerank(pairs: DataFrame, name: str) -> tuple[DataFrame, str]:
     """Of rows (sid, k, n, r1, r2), (sid, k, n, rank): equal pairs numbered alike in their sort order; unique ones, and those of settled ranges alone, drop out."""
-    pairs, at = spool(pairs.withColumn("pair", F.xxhash64("r1", "r2")), f"{name}-pairs")
+    pairs = pairs.withColumn("pair", F.xxhash64("r1", "r2"))
     met = pairs.groupBy("r1", "r2").agg(F.count(F.lit(1)).alias("rows"), F.max((F.col("n") == 1).cast("int")).alias("open")).where("rows > 1 and open = 1")
-    ranks, ranks_at = spool(met.sort("r1", "r2").select(F.xxhash64("r1", "r2").alias("pair"), "rows", F.monotonically_increasing_id().alias("rank")), f"{name}-ranks")
-    out, out_at = spool(hot_join(pairs.select("sid", "k", "n", "pair"), ranks, "pair", "rows").select("sid", "k", "n", "rank"), name)
-    discard(pairs.sparkSession, at, ranks_at)
-    return out, out_at
+    ranks = met.sort("r1", "r2").select(F.xxhash64("r1", "r2").alias("pair"), F.monotonically_increasing_id().alias("rank"))
+    return spool(hot_join(pairs.select("sid", "k", "n", "pair"), ranks, "pair").select("sid", "k", "n", "rank"), name)
 
 
 def _doubled(snippets: DataFrame, length: int, unit: int) -> tuple[DataFrame, str]:
     """(sid, cells): of each range the cells, (rank, cell, n), whose ranked string of whole units others have too."""
-    first = snippets.select("sid", "bytes", "before", "low", "high", "rank", "n").mapInArrow(_unit_ranks(length, unit), "sid long, k long, n long, r1 long, r2 long")
-    state, at = _rerank(first, "rank")
-    have, held = 1, (length - unit + 1) // unit
+    held = (length - unit + 1) // unit
+    first = snippets.select("sid", "bytes", "before", "low", "high", "rank", "n").mapInArrow(_unit_pairs(length, unit), "sid long, k long, n long, r1 long, r2 long")
+    have = min(2, held)
+    state, at = _rerank(first, f"rank{have}")
     while have < held:
         offset = min(have, held - have)
         ahead = state.select("sid", (F.col("k") - offset).alias("k"), F.col("rank").alias("r2"))
@@ -263,8 +264,8 @@ def _make_cells(length: int, seed: int, wide: int, parent: int, held: int):
 
 def _classes(met: DataFrame) -> DataFrame:
     """Of rows (rank, n, ...), one by distinct string: those whose rank has others and an unsettled one."""
-    ranks = met.groupBy("rank").agg(F.count(F.lit(1)).alias("_all"), F.max((F.col("n") == 1).cast("int")).alias("_one")).where("_all > 1 and _one = 1").select("rank", "_all")
-    return hot_join(met, spool(ranks, "shared-ranks")[0], "rank", "_all")
+    ranks = met.groupBy("rank").agg(F.count(F.lit(1)).alias("_all"), F.max((F.col("n") == 1).cast("int")).alias("_one")).where("_all > 1 and _one = 1").select("rank")
+    return hot_join(met, ranks, "rank")
 
 
 def _finisher(as_text: bool):

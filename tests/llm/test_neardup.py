@@ -104,10 +104,10 @@ def test_long_text_in_parts():
 def test_hot_join(spark, monkeypatch):
     from corvata.llm import hot
 
-    monkeypatch.setattr(hot, "PARTS", 4)
+    monkeypatch.setattr(hot, "LEAST", 100)
     rows = spark.range(3000).selectExpr("if(id % 3 = 0, 7, id) k", "id v")
-    table = rows.groupBy("k").count().selectExpr("k", "count n", "k * 2 w")
-    got = hot.hot_join(rows, table, "k", "n").collect()
+    table = rows.groupBy("k").count().selectExpr("k", "k * 2 w")
+    got = hot.hot_join(rows, table, "k").collect()
     assert len(got) == 3000 and all(x.w == 2 * x.k for x in got)
 
 
