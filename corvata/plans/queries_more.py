@@ -20,14 +20,19 @@ def _proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each table of a page as seen raw and in two changed variants, a little displaced."""
     t = ledger(spark, sf_dir).groupBy("document_id", "page", "table_id").agg(F.min("part").alias("k"), F.collect_set("section").alias("words"))
     t = t.select("*", F.posexplode(F.array(*[F.lit(v) for v in NAMES])).alias("preference", "variant"))
-    left, top = (F.col("k") % 60 * 10).cast("double"), (F.abs(F.xxhash64("table_id")) % 120 * 10).cast("double")
+    left, top = (F.col("k") % 60 * 10).cast("double"), (F.col("table_id").cast("long") * 7919 % 120 * 10).cast("double")
     off = F.col("preference") * (F.col("k") % 40).cast("double")
     box = F.struct((left + off).alias("l"), top.alias("t"), (left + off + 300).alias("r"), (top + 200).alias("b"))
     words = F.when(F.col("preference") < 2, F.col("words")).otherwise(F.array().cast("array<string>"))
     return t.select("document_id", "page", F.concat_ws(":", "variant", "table_id").alias("proposal_id"), "variant", "preference", box.alias("box"), F.lit(1).alias("reading_order"), F.lit("item_ledger").alias("table_type"), words.alias("words"), F.lit(1000.0).alias("page_width"), F.lit(2000.0).alias("page_height"), (F.col("k") % 9 == 0).alias("grounded"), "k")
 
 
-@query()
+@query(f"""WITH {LEDGER_SQL}, t AS (SELECT document_id, page, table_id, min(part) AS k, list(DISTINCT section) AS words FROM ledger GROUP BY document_id, page, table_id),
+p AS (SELECT document_id, page, x.v || ':' || table_id AS id, x.v AS variant, CAST(k % 60 * 10 + x.i * (k % 40) AS DOUBLE) AS l, CAST(CAST(table_id AS BIGINT) * 7919 % 120 * 10 AS DOUBLE) AS top, CASE WHEN x.i < 2 THEN words ELSE [] END AS words FROM (SELECT *, unnest([{{'i': 0, 'v': 'raw'}}, {{'i': 1, 'v': 'bright'}}, {{'i': 2, 'v': 'straight'}}]) AS x FROM t)),
+m AS (SELECT b.document_id, b.page, b.variant, a.id AS anchor_id, b.id AS candidate_id, greatest(0, 300 - abs(a.l - b.l)) * greatest(0, 200 - abs(a.top - b.top)) AS common, sqrt((a.l - b.l) * (a.l - b.l) + (a.top - b.top) * (a.top - b.top)) / sqrt(5000000.0) AS far, len(list_intersect(a.words, b.words)) AS w, len(a.words) AS na, len(b.words) AS nb
+  FROM p a JOIN p b ON a.document_id = b.document_id AND a.page = b.page WHERE a.variant = 'raw' AND b.variant <> 'raw'),
+e AS (SELECT document_id, page, variant, anchor_id, candidate_id, round(0.45 * common / (120000 - common) + 0.15 * greatest(0, 1 - far) + 0.2 + CASE WHEN nb > 0 THEN 0.2 * w / (na + nb - w) ELSE 0 END, 6) AS score FROM m)
+SELECT *, CASE WHEN score < 0.6 THEN 'rejected_below_threshold' WHEN EXISTS (SELECT 1 FROM e o WHERE o.document_id = e.document_id AND o.page = e.page AND o.variant = e.variant AND o.score >= 0.6 AND e.score - o.score < 0.1 AND ((o.anchor_id = e.anchor_id) <> (o.candidate_id = e.candidate_id))) THEN 'abstained_ambiguous' ELSE 'accepted_maximum_weight' END AS reason FROM e""")
 def proposal_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return selection.proposal_edges(_proposals(spark, sf_dir), "raw")
 
