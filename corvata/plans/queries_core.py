@@ -429,7 +429,7 @@ def money_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query(f"""WITH {_PAIR_SQL} SELECT row_id, round(iou, 9) AS iou, round(greatest(0, 1 - sqrt(((gl + gr - al - ar) / 2) * ((gl + gr - al - ar) / 2) + ((gt + gb - atop - ab) / 2) * ((gt + gb - atop - ab) / 2)) / sqrt(200.0 * 200 + 100 * 100)), 9) AS proximity, 800.0 AS area, round(2 * gl + 3, 9) AS x, round((gt - 1) / 2, 9) AS y FROM u""")
+@query(f"""WITH {_PAIR_SQL} SELECT row_id, round(iou, 9) AS iou, round(greatest(0, 1 - sqrt(((gl + gr - al - ar) / 2) * ((gl + gr - al - ar) / 2) + ((gt + gb - atop - ab) / 2) * ((gt + gb - atop - ab) / 2)) / sqrt(200.0 * 200 + 100 * 100)), 9) AS proximity, CAST(800 AS DOUBLE) AS area, round(2 * gl + 3, 9) AS x, round((gt - 1) / 2, 9) AS y FROM u""")
 def box_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
     p, q = F.col("part"), F.col("quantity")
     g, a = _box(p % 60, q, F.lit(40), F.lit(20)), _box(p % 60 + p % 7 * 5, q + p % 3 * 6, F.lit(40), F.lit(20))
