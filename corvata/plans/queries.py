@@ -498,10 +498,10 @@ def document_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page.select("o_orderkey", F.col("o_orderdate").cast("date").alias("day"), F.lit(total).cast("long").alias("total"), F.lit(75 < total).alias("has_more"))
 
 
-@query("""WITH s AS (SELECT DISTINCT l_suppkey FROM lineitem WHERE l_quantity > 49), b AS (SELECT DISTINCT l_suppkey FROM lineitem WHERE l_discount > 0.09) SELECT l_suppkey FROM s WHERE l_suppkey NOT IN (SELECT l_suppkey FROM b)""")
+@query("""WITH s AS (SELECT DISTINCT l_orderkey FROM lineitem WHERE l_quantity > 49), b AS (SELECT DISTINCT l_orderkey FROM lineitem WHERE l_discount > 0.05) SELECT l_orderkey FROM s WHERE l_orderkey NOT IN (SELECT l_orderkey FROM b)""")
 def cohort_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = table(spark, sf_dir, "lineitem")
-    return corpus.containment(i.where("l_quantity > 49"), i.where("l_discount > 0.09"), ["l_suppkey"])
+    return corpus.containment(i.where("l_quantity > 49"), i.where("l_discount > 0.05"), ["l_orderkey"])
 
 
 @query(f"""WITH {_EXACT_SQL}, c AS (SELECT (SELECT count(*) FROM m) AS matched, (SELECT count(*) FROM ledger) AS gold, (SELECT count(*) FROM predicted) AS predicted)

@@ -376,6 +376,23 @@ def evaluation_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger(spark, sf_dir).select("row_id", dates.field_date(t).alias("field_date"), dates.authority_date(t).alias("authority_date"))
 
 
+_SEEN = [("05/03/2024", "Date", False, "Bed", "2024-03-05"), ("05/03/2024", "Expiry", False, "tablet", None), ("05/03/2024 ABC-1/22", "Particulars", False, "Bed", "2024-03-05"), ("Bed charge 05/03/2024", "Particulars", False, "Bed", "2024-03-05"), ("Bed 05/03/2024 to 06/03/2024", "Particulars", False, "Bed", None), ("05/03/2024", "Bill Date", True, "Bed", "2024-03-05"), ("05/03/2024", "Bill Date", False, "Bed", None), (None, "Date", True, "Bed", None)]
+
+
+@query(f"""WITH {LEDGER_SQL} SELECT row_id, CAST({pick_sql([x[4] for x in _SEEN], 'part')} AS DATE) AS service_date FROM ledger""")
+def service_dates_in_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    value, label, mapped, described = (pick([x[i] for x in _SEEN], F.col("part")) for i in range(4))
+    return ledger(spark, sf_dir).select("row_id", dates.service_date_from_context(value, label, mapped, described).alias("service_date"))
+
+
+_VALID = [("service_code", "AB-12", True), ("service_code", "ABC", False), ("hsn_code", "3004", True), ("hsn_code", "05/03/2024", False), ("request_no", "R/1", True), ("section", "Ward", True), ("section", "120.00", False), ("description", "", False), ("service_date", "05/03/2024", True), ("quantity", "5", False)]
+
+
+@query(f"""WITH {LEDGER_SQL} SELECT row_id, {pick_sql([str(x[2]).lower() for x in _VALID], 'part')} = 'true' AS valid FROM ledger""")
+def field_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ledger(spark, sf_dir).select("row_id", fields.is_valid(pick([x[0] for x in _VALID], F.col("part")), pick([x[1] for x in _VALID], F.col("part"))).alias("valid"))
+
+
 _EDITS = [("quantity", "007.50", "7.50", None), ("net_amount", "1,200", None, "not_a_decimal"), ("discount", "+.5", "0.5", None), ("unit_price", "1000000000000000", None, "out_of_range"), ("gross_amount", "-12.", "-12", None), ("quantity", " ", None, None), ("service_date_iso", "2024-02-30", None, "not_an_iso_date"), ("service_date_iso", "2024-02-29", "2024-02-29", None), ("role", "payment", None, "role_not_editable"), ("role", "refund", "refund", None), ("review_disposition", "pending", "pending", None), ("review_disposition", None, None, "disposition_invalid"), ("section", "  Ward ", "Ward", None), ("cents", "5", None, "unsupported_field"), ("description", "", None, None)]
 
 
