@@ -9,7 +9,8 @@ name that is mostly such words loses unless the element holds MOST of the text;
 among others loses only if most of it is links.
 
 A page votes for the deepest container that still holds most of its remaining text, but for none
-inside one with text of its own, with the title, or with several sections; and, for each path of
+inside one with text of its own, with the title, with several sections, or named as the main content
+(main, or a class or id made of words like article and content) with several parts; and, for each path of
 suspects, whether it stays. Spark adds the votes by host; every page is then read again with its
 host's verdict on suspects, from the best winning path of its host that it has, or from its own vote
 where it has none or where the path lies in a container that such a rule keeps whole.
@@ -100,6 +101,12 @@ def suspicion(tag: str, attrs: dict[str, str], in_article: bool) -> float:
     return min(worst, MOSTLY / 2) if own else worst
 
 
+def announced(tag: str, attrs: dict[str, str]) -> bool:
+    """Whether tag, class or id say that this is the page's main content."""
+    names = f"{attrs.get('class', '')} {attrs.get('id', '')}".split()
+    return tag == "main" or any(words and all(w in _OWN for w in words) for words in ([w for w in _SPLIT.split(_CAMEL.sub("-", n).lower()) if w] for n in names))
+
+
 def generalise(tag: str, attrs: dict[str, str]) -> str:
     classes = sorted({re.sub(r"\d+", "#", c) for c in attrs.get("class", "").split() if not re.fullmatch(r"(?=.*\d)[0-9a-zA-Z_-]{8,}", c)})
     name = attrs.get("id", "")
@@ -114,6 +121,7 @@ class Page:
         self.names, self.tags, self.parent, self.end = ["html"], ["html"], [-1], [0]
         self.chars, self.h1, self.own = [0], [0], [False]  #: own: text that stands in no inner container
         self.linked, self.odd = [0], [0.0]  #: text in links, and how suspect the name is
+        self.mine = [False]  #: whether the name says that this is the main content
         self.pieces: list[tuple[int, str]] = []
         self.kept = -1  #: what best() chose so that nothing beside the largest container is lost
         self._walk(html)
@@ -199,6 +207,7 @@ class Page:
                 self.own.append(False)
                 self.linked.append(0)
                 self.odd.append(odd)
+                self.mine.append(announced(tag, attrs))
                 stack.append((tag, k))
                 open_[tag] += 1
                 article += tag in ("article", "main")
@@ -233,7 +242,7 @@ class Page:
                 self.suspects.append((path, stays))
                 self.out[k] = not verdicts.get(path, stays)
             if self.out[k]:
-                self.chars[k] = self.h1[k] = 0
+                self.chars[k] = self.h1[k] = self.linked[k] = 0
                 self.own[k] = False
 
     def _add_up(self) -> None:
@@ -244,6 +253,7 @@ class Page:
             up = self.parent[k]
             self.kids[up].append(k)
             self.chars[up] += self.chars[k]
+            self.linked[up] += self.linked[k]
             self.h1[up] += self.h1[k]
             own = self.tags[k] == "article" and self.chars[k] > 0
             self.articles[up] += self.articles[k] + own
@@ -257,7 +267,9 @@ class Page:
         return ">".join(reversed(out))
 
     def whole(self, k: int, top: int) -> bool:
-        """Whether going down from k to top would lose text of k itself, its title or another section."""
+        """Whether going down from k to top would lose text of k itself, its title, another section, or, of a container named as the main one, any part that isn't mostly links."""
+        if self.mine[k] and any(i != top and self.chars[i] and self.linked[i] <= MOSTLY * (self.chars[i] + self.linked[i]) for i in self.kids[k]):
+            return True
         sections = self.tags[top] == "section" and any(i != top and self.tags[i] == "section" and self.chars[i] for i in self.kids[k])
         return self.own[k] or self.h1[top] < self.h1[k] or sections
 

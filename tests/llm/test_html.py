@@ -40,6 +40,8 @@ BESIDE = [
     (f"<body><h1>Title</h1><p>the lead</p><div><p>{LONG}</p></div></body>", f"Title the lead {LONG}"),
     (f"<body><div class=top><h1>Title</h1></div><div><p>{LONG}</p></div></body>", f"Title {LONG}"),
     ("<main><p>a lead nearly as long</p><div class=body><p>as the inner text is</p></div></main>", "a lead nearly as long as the inner text is"),
+    (f"<main><div class=intro><p>the lead</p></div><div class=x><p>{LONG}</p></div></main>", f"the lead {LONG}"),
+    (f"<body><div class=top>Site</div><div class='article-body'><div class=a>the lead</div><div class=b>{LONG}</div><div class=c><a href=x>a long list of links</a></div></div></body>", f"the lead {LONG}a long list of links"),
     (f"<main><section class=a><p>first part</p></section><section class=b><p>{LONG}</p></section></main>", f"first part {LONG}"),
 ]
 
@@ -53,6 +55,12 @@ def test_text_beside_the_largest_container_stays(html, text):
     assert Page(html).main([page.path(largest)]) == text.strip()
 
 
+def test_lists_of_links_beside_the_text_go():
+    """Also in a container named as the main one; elsewhere what stands beside most of the text goes."""
+    assert Page(f"<main><div class=x><p>{LONG}</p></div><div class=y><a href=x>one link</a> <a href=y>two links</a></div></main>").main(None) == LONG.strip()
+    assert Page(f"<div class=wrap><div class=x><p>{LONG}</p></div><div class=y>short</div></div>").main(None) == LONG.strip()
+
+
 def test_hosts_vote(spark):
     body = "<div class='wrap'><div class='story{}'><p>{}</p></div><div class='box'><p>{}</p></div></div>"
     rows = [(i, f"https://a.example/{i}", body.format("", "real text " * 20, "short"), "z") for i in range(9)]
