@@ -277,6 +277,24 @@ def test_reconstruction(spark):
     ]
 
 
+def test_reconstruction_of_payment_headings_and_proven_quantities(spark):
+    from corvata.operators.reconstruction import reconstruct
+
+    head = ["Particulars@.3", "Qty@.6", "Rate@.75", "Net Amount@.95"]
+    lines = [
+        head, ["Ward rent@.3", "3 days@.6", "100.00@.75", "300.00@.95"], ["Oxygen@.3", "2.@.58", "50.00@.75", "100.00@.95"], ["Nursing@.3", "4 days@.6", "100.00@.75", "350.00@.95"], ["Both@.3", "2.@.58", "2 days@.62", "50.00@.75", "100.00@.95"],
+        ["Waiting@.3"], ["7@.55", "Payment@.6", "Details@.65"], ["9.00@.95"], ["Gauze@.3"], ["Settlement history@.3"], ["5.00@.95"],
+    ]
+    tokens = [(1, 1, "t", n, f"{n}-{i}", t, float(x), n * 20.0, 18.0, "item_ledger") for n, line in enumerate(lines) for i, (t, x) in enumerate(c.split("@") for c in line)]
+    df = spark.createDataFrame(tokens, "document_id long, page int, table_id string, line int, token_id string, text string, x double, y double, height double, table_type string")
+    got = [(r.description, r.quantity and r.quantity / 10000, r.amount // 10000, r.flags) for r in reconstruct(df).orderBy("n").collect()]
+    derived, gaps = "quantity_derived_from_rate_amount", "missing_labeled_quantity,missing_labeled_unit_price"
+    assert got == [
+        ("Ward rent", 3, 300, ""), ("Oxygen", 2, 100, ""), ("Nursing", None, 350, "missing_labeled_quantity"), ("Both", 2, 100, derived),
+        ("", None, 9, f"missing_printed_description,{gaps}"), ("Gauze Settlement history", None, 5, gaps),
+    ]
+
+
 def codes(issues):
     return sorted((r.document_id, r.code) for r in issues.collect())
 
