@@ -5,6 +5,7 @@ import pytest
 from oracle import SF, same
 
 import corvata.plans.queries_core  # noqa: F401
+import corvata.plans.queries_crossview  # noqa: F401
 import corvata.plans.queries_merging  # noqa: F401
 import corvata.plans.queries_more  # noqa: F401
 from corvata.plans.queries import QUERIES, SQL
