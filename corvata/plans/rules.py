@@ -9,8 +9,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corvata.functions.money import parse_decimal, parse_quantity
+from corvata.functions.text import fold
 from corvata.operators.ledger import ITEM_ROLES
 
+# Fields that hold amounts, a number as it may stand in a token, and what may stand beside it.
+AMOUNTS = ("amount", "net_amount", "gross_amount", "discount", "rate", "unit_price", "quantity")
+NUMBER = r"[-+]?(?:\(\s*)?[0-9][0-9,]*(?:\.[0-9]+)?(?:\s*\))?"
+CURRENCY = r"₹|\brs\.?\b|\binr\b|\s"
+
+#: Full-width signs and the spaces that are not ASCII, and what they stand for.
+WIDE, NARROW = "".join(map(chr, range(0xFF01, 0xFF5F))) + "\u00a0\u3000", "".join(map(chr, range(0x21, 0x7F))) + "  "
+
 RANK = {"fatal": 3, "blocking": 2, "warning": 1}
 
 
@@ -59,11 +69,27 @@ def link_rules(rows: DataFrame, printed: DataFrame) -> DataFrame:
     return unknown.unionByName(loose).unionByName(_issue(double, "duplicate_canonical_source_link", "blocking", F.lit(True))).unionByName(_issue(missing, "canonical_source_link_missing", "blocking", F.lit(True)))
 
 
+def supports(field: Column, value: Column, texts: Column) -> Column:
+    """Whether the tokens named as evidence say the value: exactly one, of equal text, or for an amount of one number and currency signs alone.
+
+    An empty value needs no evidence. Dates need equal text. Case, white space and full-width forms don't count.
+    """
+    told = lambda c: F.trim(F.regexp_replace(F.translate(fold(c), WIDE, NARROW), r"\s+", " "))
+    want, seen = told(value), told(F.get(texts, F.lit(0)))
+    numbers = F.regexp_extract_all(seen, F.lit(NUMBER), F.lit(0))
+    one = F.get(numbers, F.lit(0))
+    rest = F.regexp_replace(F.replace(seen, one, F.lit("")), CURRENCY, "")
+    read = lambda c: F.when(field == "quantity", parse_quantity(c)).otherwise(parse_decimal(c))
+    amount = field.isin(*AMOUNTS) & (F.size(numbers) == 1) & (rest == "") & (read(one) == read(value))
+    return F.when(want == "", True).when(F.size(texts) != 1, False).otherwise((want == seen) | F.coalesce(amount, F.lit(False)))
+
+
 def evidence_rules(evidence: DataFrame, tokens: DataFrame) -> DataFrame:
-    """Evidence (document_id, page, table_id, row_id, token_id, value) that names no token, or one whose text lacks the value."""
+    """Evidence (document_id, page, table_id, row_id, field, value, token_id; a row for each token) that names no token, or tokens that don't say the value."""
     both = evidence.join(tokens.select("document_id", "token_id", F.col("text").alias("_text"), F.lit(True).alias("_known")), ["document_id", "token_id"], "left")
     missing = _issue(both, "evidence_token_missing", "fatal", F.col("_known").isNull())
-    wrong = _issue(both, "canonical_evidence_value_mismatch", "blocking", F.col("_known") & ~F.contains(F.lower("_text"), F.lower("value")))
+    said = both.groupBy("document_id", "page", "table_id", "row_id", "field", "value").agg(F.collect_list(F.coalesce("_text", F.lit(""))).alias("_texts"), F.count("_known").alias("_n"))
+    wrong = _issue(said, "canonical_evidence_value_mismatch", "blocking", (F.col("_n") == F.size("_texts")) & ~supports(F.col("field"), F.col("value"), F.col("_texts")))
     return missing.unionByName(wrong)
 
 

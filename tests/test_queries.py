@@ -8,6 +8,7 @@ import corvata.plans.queries_core  # noqa: F401
 import corvata.plans.queries_crossview  # noqa: F401
 import corvata.plans.queries_merging  # noqa: F401
 import corvata.plans.queries_more  # noqa: F401
+import corvata.plans.queries_rules  # noqa: F401
 from corvata.plans.queries import QUERIES, SQL
 
 
