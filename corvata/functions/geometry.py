@@ -44,10 +44,14 @@ def centre_proximity(a: Column, b: Column, width: Column, height: Column) -> Col
 
 
 def shoelace(polygon: Column) -> Column:
-    """Area of a simple polygon."""
-    n = F.size(polygon)
-    step = lambda acc, i: acc + polygon[i]["x"] * polygon[(i + 1) % n]["y"] - polygon[(i + 1) % n]["x"] * polygon[i]["y"]
-    return F.when(n >= 3, F.abs(F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(0.0), step)) / 2).otherwise(0.0)
+    """Area of a simple polygon; an expression that makes the polygon runs once, not once a point."""
+
+    def of(p: Column) -> Column:
+        n = F.size(p)
+        step = lambda acc, i: acc + p[i]["x"] * p[(i + 1) % n]["y"] - p[(i + 1) % n]["x"] * p[i]["y"]
+        return F.when(n >= 3, F.abs(F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(0.0), step)) / 2).otherwise(0.0)
+
+    return let(polygon, of)
 
 
 def project(h: Column, x: Column, y: Column) -> Column:
@@ -110,7 +114,8 @@ def subdivided(h: Column, polygon: Column, tolerance: float = 1.0, most: int = 1
 
         def image(e: Column) -> Column:
             def at(t: Column) -> Column:
-                return project(e["h"], e["a"]["x"] + (e["b"]["x"] - e["a"]["x"]) * t, e["a"]["y"] + (e["b"]["y"] - e["a"]["y"]) * t)
+                place = F.struct((e["a"]["x"] + (e["b"]["x"] - e["a"]["x"]) * t).alias("x"), (e["a"]["y"] + (e["b"]["y"] - e["a"]["y"]) * t).alias("y"))
+                return let(place, lambda p: project(e["h"], p["x"], p["y"]))
 
             def off(parts: Column) -> Column:
                 """How far the middles of so many parts are from their chords; infinite where a point has no image."""

@@ -472,11 +472,12 @@ def mapping_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def polygons_to_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Boxes under a slight perspective, with as many points as their edges need."""
-    p = table(spark, sf_dir, "part")
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_size").repartition(spark.sparkContext.defaultParallelism, "p_partkey")  # few bytes a row, but hundreds of points to work out
     h = F.array(F.lit(1.0), F.lit(0.1), F.lit(5.0), F.lit(0.05), F.lit(1.0), F.lit(2.0), F.col("p_size") * 1e-5, F.lit(0.0), F.lit(1.0))
     corner = lambda x, y: F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"))
     ring = geometry.subdivided(h, F.array(corner(0.0, 0.0), corner(900.0, 0.0), corner(900.0, 600.0), corner(0.0, 600.0)), 0.5)
-    return p.select("p_partkey", F.size(ring).alias("points"), F.round(geometry.shoelace(ring), 3).alias("area"))
+    found = money.let(ring, lambda r: F.struct(F.size(r).alias("points"), F.round(geometry.shoelace(r), 3).alias("area")))
+    return p.select("p_partkey", found.alias("found")).select("p_partkey", "found.points", "found.area")
 
 
 # Profiles, cohorts, graphs
