@@ -1,10 +1,16 @@
 """Quality scores by Bradley-Terry pairwise ranking.
 
 Each document is a short vector of statistics of its whole text (character classes, words, lines,
-repetition). From labelled rows, seeded pairs of a good and a bad document are preferences; the
-weights minimise the logistic loss on differences of their features, with a small ridge. The
-threshold is the quantile of training scores at the training share of bad rows, so as many rows are
-rejected as labels say; the score is the logistic function of the distance from it.
+repetition). Every pair of a good and a bad labelled document is a preference; the weights minimise
+the mean logistic loss on differences of their features, with a small ridge. The threshold is the
+quantile of all training scores at the training share of bad rows, so as many rows are rejected as
+labels say; the score is the logistic function of the distance from it.
+
+Nothing is sampled. Pairs needn't be laid out: what a row adds to the loss hangs on its own score and
+on how those of the other kind are spread, so each step of Newton's method takes one pass over all
+labelled rows that counts scores by class on a fine grid, and one that sums slopes and bends. Up to
+LOCAL_ROWS rows the passes run in the driver, beyond as Spark jobs over written features, of which
+the driver sees sums alone.
 
 Defined results: a null text counts as empty and is scored like one; labels that are null or not 0
 or 1 are skipped; without rows of both labels every score is 0.5. Repeated rows count once. Texts of any length are read half a megabyte at a time.
@@ -14,8 +20,9 @@ All columns of the input ride along in ``row``.
 from __future__ import annotations
 
 import hashlib
+import pickle
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,11 +30,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corvata.llm.spool import scratch, spool
 from corvata.llm.textblocks import BLOCK_BYTES, SPACE, U64, WORD, Block, blocks, carried, mix, words
 
-#: Labelled rows learned from, in expectation; about 700 bytes each reach the driver.
-SAMPLE_ROWS = 20_000
+#: Labelled rows, about 700 bytes each, up to which the passes over all of them run in the driver.
+LOCAL_ROWS = 16_384
+#: Pairs that the tests' plain version draws; the model here is of all pairs.
 PAIRS = 30_000
+#: Steps of the grid of scores: for slopes; the least for bends, which has up to COARSE places. TASKS bounds the sums that reach the driver.
+FINE, BEND, COARSE, TASKS = 1 / 256, 32, 96, 48
 #: Features of hashed words, and as many of hashed pairs of neighbouring words.
 HASHED = 64
 RIDGE = 1e-3
@@ -130,60 +141,236 @@ class Model:
     weights: np.ndarray
     threshold: float
 
+    def scaled(self, x: np.ndarray) -> np.ndarray:
+        return ((x - self.mean) / self.scale).clip(-8, 8)
+
     def raw(self, x: np.ndarray) -> np.ndarray:
-        return (((x - self.mean) / self.scale).clip(-8, 8) * self.weights).sum(axis=1)  # the same for a row in any batch
+        return (self.scaled(x) * self.weights).sum(axis=1)  # the same for a row in any batch
 
     def score(self, x: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-(self.raw(x) - self.threshold).clip(-500, 500)))
 
 
-def train(x: np.ndarray, label: np.ndarray, pairs: int = PAIRS, ridge: float = RIDGE, seed: int = 11) -> Model | None:
-    good, bad = np.flatnonzero(label == 1), np.flatnonzero(label == 0)
-    if not len(good) or not len(bad):
+Chunks = Iterator[tuple[np.ndarray, np.ndarray]]  #: labels and features of some rows
+Passes = Callable[[Callable[[Chunks], object]], list]  #: runs a function over all rows; gives what it made of each share of them
+
+
+def _moments(at: np.ndarray):
+    """Rows, good ones, and sums and squares of features less those of one row, at."""
+
+    def run(chunks: Chunks):
+        n, good, total, squares = 0, 0, np.zeros(len(at)), np.zeros(len(at))
+        for y, x in chunks:
+            d = x.astype(float) - at
+            n, good, total, squares = n + len(y), good + int((y == 1).sum()), total + d.sum(axis=0), squares + (d * d).sum(axis=0)
+        return n, good, total, squares
+
+    return run
+
+
+def _split(s: np.ndarray, step: float) -> tuple[np.ndarray, np.ndarray]:
+    """The place on a grid at or below each score, and the share that belongs to the next one."""
+    at = np.floor(s / step)
+    return at.astype(np.int64), s / step - at
+
+
+def _spread(m: Model):
+    """How many scores of bad and of good rows are at each place of the fine grid."""
+
+    def run(chunks: Chunks):
+        places, counts = np.zeros(0, np.int64), np.zeros((0, 2))
+        for y, x in chunks:
+            at, up = _split(m.raw(x), FINE)
+            kind = np.column_stack([y == 0, y == 1]).astype(float)
+            places, back = np.unique(np.concatenate([places, at, at + 1]), return_inverse=True)
+            rows = np.concatenate([counts, kind * (1 - up)[:, None], kind * up[:, None]])
+            counts = np.column_stack([np.bincount(back, rows[:, c], minlength=len(places)) for c in (0, 1)])
+        return places, counts
+
+    return run
+
+
+def _against(counts: np.ndarray, kernel: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+    """At each place of the fine grid, the kernel of (every other place's score less its own), weighted by counts."""
+    n = len(counts)
+    size = 1 << (3 * n).bit_length()
+    back = kernel(np.arange(n - 1, -n, -1) * FINE)
+    return np.fft.irfft(np.fft.rfft(counts, size) * np.fft.rfft(back, size), size)[n - 1 : 2 * n - 1]
+
+
+def _logistic(v: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp((-v).clip(-500, 500)))
+
+
+def _bend(v: np.ndarray) -> np.ndarray:
+    return _logistic(v) * _logistic(-v)
+
+
+def _slopes(m: Model, first: int, slope: np.ndarray, coarse: int, bend: np.ndarray):
+    """Sums over rows: features by slope, their products by bend, and features by class and place of the coarse grid.
+
+    slope: by class, at the places of the fine grid from the first on; bend: at those of the coarse one, coarse fine places apart.
+    """
+
+    def run(chunks: Chunks):
+        d = len(m.mean)
+        s1, s2, s3 = np.zeros(d), np.zeros((d, d)), np.zeros((2, bend.shape[1], d))
+        for y, x in chunks:
+            s, z = m.raw(x), m.scaled(x)
+            for c in (0, 1):
+                zc, fine = z[y == c], s[y == c] / FINE - first
+                at, up = _split(fine * FINE, coarse * FINE)
+                s1 += np.interp(fine, np.arange(slope.shape[1]), slope[c]) @ zc
+                s2 += (zc * np.interp(fine / coarse, np.arange(bend.shape[1]), bend[c])[:, None]).T @ zc
+                for place, share in ((at, 1 - up), (at + 1, up)):
+                    order = np.argsort(place, kind="stable")
+                    edge = np.flatnonzero(np.diff(place[order], prepend=-1))
+                    if len(edge):
+                        s3[c, place[order][edge]] += np.add.reduceat((zc * share[:, None])[order], edge)
+        return s1, s2, s3
+
+    return run
+
+
+def _between(m: Model, lo: float, hi: float, most: int):
+    """Scores below lo, by part of [lo, hi], the least above it, those in it while they are not more than most, and the ends of those."""
+
+    def run(chunks: Chunks):
+        below, parts, above, inside, least, last = 0, np.zeros(most, np.int64), np.inf, np.zeros(0), np.inf, -np.inf
+        for _, x in chunks:
+            s = m.raw(x)
+            below += int((s < lo).sum())
+            above = min(above, s[s > hi].min(initial=np.inf))
+            got = s[(s >= lo) & (s <= hi)]
+            parts += np.bincount(_part(got, lo, hi, most), minlength=most)
+            inside = np.concatenate([inside, got])[: most + 1]
+            least, last = min(least, got.min(initial=np.inf)), max(last, got.max(initial=-np.inf))
+        return below, parts, above, inside, least, last
+
+    return run
+
+
+def _part(s: np.ndarray, lo: float, hi: float, parts: int) -> np.ndarray:
+    return np.minimum((s - lo) / max(hi - lo, 1e-300) * parts, parts - 1).astype(np.int64)
+
+
+def _quantile(passes: Passes, m: Model, n: int, share: float, most: int = 4096) -> float:
+    """np.quantile of all scores: the range where it lies is cut into as many parts as most, again until so few are left or all of them are equal."""
+    place = share * (n - 1)
+    k = int(place)
+    hi = 8 * float(np.abs(m.weights).sum()) + 1
+    lo = -hi
+    for _ in range(64):
+        got = passes(_between(m, lo, hi, most))
+        below, parts, above = sum(g[0] for g in got), sum(g[1] for g in got), min(g[2] for g in got)
+        inside = np.sort(np.concatenate([g[3] for g in got]))
+        least, last = min(g[4] for g in got), max(g[5] for g in got)
+        if parts.sum() <= most:
+            break
+        if least == last:
+            inside = np.full(parts.sum(), least)
+            break
+        p = int(np.searchsorted(np.cumsum(parts) + below, k, side="right"))
+        width = (hi - lo) / most
+        new = max(lo, lo + width * (p - 1)), min(hi, lo + width * (p + 2))  # a part to either side, for rounding
+        if new == (lo, hi):  # neighbours among floats, each the score of many rows
+            return float(least if k - below < parts[: most // 2].sum() else last)
+        lo, hi = max(new[0], least), min(new[1], last)
+    here = inside[k - below]
+    after = inside[k - below + 1] if k - below + 1 < len(inside) else above
+    return float(here if place == k or not np.isfinite(after) else here + (place - k) * (after - here))
+
+
+def _learn(passes: Passes, one: np.ndarray, ridge: float) -> Model | None:
+    """The model of all pairs; one: any row's features."""
+    one = one.astype(float)
+    n, n_good, total, squares = (sum(p) for p in zip(*passes(_moments(one)), strict=True))
+    each = np.array([n - n_good, n_good])
+    if not each.all():
         return None
-    rng = np.random.default_rng(seed)
-    mean, scale = x.mean(axis=0, dtype=float), x.std(axis=0, dtype=float)
-    m = Model(mean, np.where(scale > 1e-9, scale, 1.0), np.zeros(x.shape[1]), 0.0)
-    z = ((x - m.mean) / m.scale).clip(-8, 8).astype(np.float32)
-    better, worse = rng.choice(good, pairs), rng.choice(bad, pairs)
-    for _ in range(25):  # Newton's method; pairs are laid out a few at a time
-        bend, slope = ridge * np.eye(x.shape[1]), -ridge * m.weights
-        for at in range(0, pairs, 4096):
-            d = z[better[at : at + 4096]].astype(float) - z[worse[at : at + 4096]]
-            p = 1 / (1 + np.exp((d @ m.weights).clip(-500, 500)))
-            bend += (d * (p * (1 - p))[:, None]).T @ d / pairs
-            slope += d.T @ p / pairs
-        step = np.linalg.solve(bend, slope)
-        m.weights += step
-        if np.abs(step).max() < 1e-6:
+    scale = np.sqrt(np.maximum(squares / n - (total / n) ** 2, 0))
+    m = Model(one + total / n, np.where(scale > 1e-9, scale, 1.0), np.zeros(len(one)), 0.0)
+    best, old, step = np.inf, m.weights, np.zeros(len(one))
+    for _ in range(40):
+        spread = passes(_spread(m))
+        first = min(p[0] for p, _ in spread if len(p))
+        size = max(p[-1] for p, _ in spread if len(p)) - first + 1
+        coarse = max(BEND, -(-size // COARSE))
+        size = -(-size // coarse) * coarse + 1  # the last place is one of the coarse grid
+        counts = np.zeros((2, size))
+        for p, c in spread:
+            counts[:, p - first] += c.T
+        bad, good = counts / each[:, None]
+        loss = float(good @ _against(bad, lambda v: np.logaddexp(0, v))) + ridge / 2 * float(m.weights @ m.weights)
+        if loss > best + 1e-9 and np.abs(step).max() > 1e-5:
+            step = step / 2
+            m.weights = old + step
+            continue
+        if np.abs(step).max() < 1e-5 and best < np.inf:
             break
-    m.threshold = float(np.quantile(np.concatenate([m.raw(x[i : i + 4096]) for i in range(0, len(x), 4096)]), len(bad) / len(label)))
+        best, old = loss, m.weights
+        slope = np.stack([-_against(good, lambda v: _logistic(-v)), _against(bad, _logistic)])
+        places = np.arange(0, size, coarse)
+        both = _bend((places[:, None] - places) * FINE)
+        at, up = np.divmod(np.arange(size), coarse)
+        held = np.stack([np.bincount(at, k * (1 - up / coarse), minlength=len(places) + 1)[: len(places)] + np.bincount(at + 1, k * up / coarse, minlength=len(places) + 1)[: len(places)] for k in (bad, good)])
+        s1, s2, s3 = (sum(p) for p in zip(*passes(_slopes(m, first, slope / each[:, None], coarse, (held @ both)[::-1] / each[:, None])), strict=True))
+        across = (s3[1] / n_good).T @ both @ (s3[0] / (n - n_good))
+        step = np.linalg.solve(s2 - across - across.T + ridge * np.eye(len(one)), s1 - ridge * old)
+        m.weights = old + step
+    m.threshold = _quantile(passes, m, n, (n - n_good) / n)
     return m
 
 
-def _features(column: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for b in blocks(batch[column]):
-                yield pa.RecordBatch.from_arrays([batch["label"].slice(b.first, b.n), pa.array([r.tobytes() for r in features(b).astype(np.float32)], pa.binary())], names=["label", "x"])
+def train(x: np.ndarray, label: np.ndarray, pairs: int | None = None, ridge: float = RIDGE) -> Model | None:
+    """The model of all pairs of these rows; None without both kinds. pairs is not used any more: all count."""
+    known = np.isin(label, (0, 1))
+    x, label = x[known], label[known]
+    if not len(x):
+        return None
+    return _learn(lambda f: [f((label[i : i + 4096], x[i : i + 4096]) for i in range(0, len(x), 4096))], x[0], ridge)
 
-    return run
 
+def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for b in blocks(batch["text"]):
+            made = pa.array([r.tobytes() for r in features(b).astype(np.float32)], pa.binary())
+            yield pa.RecordBatch.from_arrays([*(batch[c].slice(b.first, b.n) for c in ("key", "h")), made], names=["key", "h", "x"])
 
-def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", sample_rows: int = SAMPLE_ROWS, pairs: int = PAIRS, seed: int = 11) -> Model | None:
-    """Learn from a hashed sample of about sample_rows labels; None without both kinds."""
-    labels = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).select(F.col(key).cast("string").alias("key"), F.col(label).cast("int").alias("label")).distinct()
-    share = F.lit(float(sample_rows)) / F.greatest(F.lit(1), F.lit(labels.count()))
-    sample = labels.where(F.pmod(F.xxhash64(F.lit(seed), "key"), F.lit(1_000_000)) / 1_000_000.0 < share)
-    both = docs.select(F.col(key).cast("string").alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")).join(F.broadcast(sample), "key")  # of about sample_rows short rows
-    again = F.lit(2.0 * sample_rows) / F.greatest(F.lit(1), F.lit(both.count()))  # under 1 only where documents share keys
-    both = both.withColumn("h", F.xxhash64("key", "text")).where(F.pmod("h", F.lit(1_000_000)) / 1_000_000.0 < again).dropDuplicates(["key", "label", "h"])
-    got = sorted((r.label, bytes(r.x)) for r in both.select("label", "text").mapInArrow(_features("text"), "label int, x binary").collect())
-    if not got:
-        return None
-    x, y = np.frombuffer(b"".join(x for _, x in got), np.float32).reshape(len(got), -1), np.array([y for y, _ in got])
-    del got
-    return train(x, y, pairs, seed=seed)
+
+def _arrays(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    x = batch["x"].to_pylist()
+    return batch["label"].to_numpy(), np.frombuffer(b"".join(x), np.float32).reshape(len(x), -1)
+
+
+def _jobs(rows: DataFrame) -> Passes:
+    """Passes as Spark jobs."""
+
+    def passes(f: Callable[[Chunks], object]) -> list:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(f(_arrays(b) for b in batches if b.num_rows))], pa.binary())], names=["made"])
+
+        return [pickle.loads(r.made) for r in rows.coalesce(TASKS).mapInArrow(run, "made binary").collect()]
+
+    return passes
+
+
+def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", ridge: float = RIDGE) -> Model | None:
+    """Learn from every labelled row; None without both kinds."""
+    with scratch(docs.sparkSession):
+        labels = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).select(F.col(key).cast("string").alias("key"), F.col(label).cast("int").alias("label")).distinct()
+        texts = docs.select(F.col(key).cast("string").alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")).where("key is not null")
+        made = texts.withColumn("h", F.xxhash64("key", "text")).select("key", "h", "text").mapInArrow(_features, "key string, h long, x binary")
+        # Of all documents, since features are a third of the mean text, which a join would shuffle; never broadcast, so that disk grows with the input alone.
+        both = made.join(labels.hint("merge"), "key").dropDuplicates(["key", "label", "h"])
+        rows, _ = spool(both.sortWithinPartitions("h", "label").select("label", "x"), "features")
+        n = rows.count()
+        if not n:
+            return None
+        if n > LOCAL_ROWS:
+            return _learn(_jobs(rows), np.frombuffer(bytes(rows.first().x), np.float32), ridge)
+        got = sorted((r.label, bytes(r.x)) for r in rows.collect())
+        return train(np.frombuffer(b"".join(x for _, x in got), np.float32).reshape(n, -1), np.array([y for y, _ in got]), ridge=ridge)
 
 
 def score(docs: DataFrame, model: Model | None, text: str = "text", carry: list[str] | None = None) -> DataFrame:

@@ -185,3 +185,61 @@ def test_features_of_a_long_text_in_parts():
     for text in ("One two  two\nthree é, four!\n\n" * 300 + "One two  two", "x" * 9000, " \n \n" * 500):
         (b,) = blocks(pa.array([text]))
         assert np.allclose(quality.features(b), quality.features(b, limit=100))
+
+
+def of_all_pairs(x, y):
+    """Weights and threshold by Newton's method on every pair of a good and a bad row, laid out."""
+    import numpy as np
+
+    mean, scale = x.mean(axis=0, dtype=float), x.std(axis=0, dtype=float)
+    z = ((x - mean) / np.where(scale > 1e-9, scale, 1.0)).clip(-8, 8)
+    good, bad = z[y == 1], z[y == 0]
+    d = (good[:, None] - bad[None]).reshape(-1, x.shape[1])
+    w = np.zeros(x.shape[1])
+    for _ in range(60):
+        p = 1 / (1 + np.exp(d @ w))
+        step = np.linalg.solve((d * (p * (1 - p))[:, None]).T @ d / len(d) + quality.RIDGE * np.eye(len(w)), d.T @ p / len(d) - quality.RIDGE * w)
+        w += step
+        if np.abs(step).max() < 1e-9:
+            break
+    return w, np.quantile(z @ w, (y == 0).mean())
+
+
+def test_weights_are_those_of_all_pairs():
+    import numpy as np
+
+    for seed, n, d, noise in ((0, 200, 5, 1.0), (1, 900, 12, 0.01), (2, 40, 3, 0.0)):
+        r = np.random.default_rng(seed)
+        x = r.normal(size=(n, d)).astype(np.float32)
+        x[:, 2] = 3.0
+        y = (x[:, 0] - x[:, 1] + noise * r.normal(size=n) > 0.7).astype(int)
+        m, (w, cut) = quality.train(x, y), of_all_pairs(x, y)
+        assert np.abs(m.weights - w).max() < 1e-4 and abs(m.threshold - cut) < 1e-4
+
+
+def test_every_labelled_row_is_learned_from_in_the_driver_and_by_jobs(spark, monkeypatch):
+    """As many rows as the former sample had by half again, one of which alone has a feature."""
+    import numpy as np
+
+    words = F.concat_ws(" ", *[F.element_at(F.array(*[F.lit(w) for w in ("lorem", "Ipsum", "a", "dolor!!", "x1")]), F.pmod(F.xxhash64("doc_id", F.lit(i)), F.lit(5)).cast("int") + 1) for i in range(9)])
+    docs = spark.range(30_000).withColumnRenamed("id", "doc_id").withColumn("text", F.concat(words, F.when(F.col("doc_id") == 29_999, " {}").otherwise("")))
+    labels = docs.select("doc_id", F.when(F.length("text") % 5 == 0, 0).otherwise(1).alias("quality"))
+    by_jobs = quality.fit(docs, labels)
+    monkeypatch.setattr(quality, "LOCAL_ROWS", 1 << 20)
+    here = quality.fit(docs, labels)
+    assert np.abs(by_jobs.weights - here.weights).max() < 1e-5 and abs(by_jobs.threshold - here.threshold) < 1e-5
+    assert by_jobs.mean[quality._CLASS[ord("{")]] > 0
+    got = quality.score(docs, by_jobs).groupBy("predicted").count().collect()
+    bad = labels.where("quality = 0").count()
+    assert abs({r.predicted: r["count"] for r in got}[0] - bad) <= 0.001 * 30_000
+
+
+def test_quantile_where_many_scores_are_equal():
+    import numpy as np
+
+    r = np.random.default_rng(5)
+    for x in (np.repeat(r.normal(size=5), 3000)[:, None], r.normal(size=(9000, 1)), np.ones((9000, 1))):
+        m = quality.Model(np.zeros(1), np.ones(1), np.ones(1), 0.0)
+        for share in (0.0, 0.123, 0.4, 0.5, 1.0):
+            got = quality._quantile(lambda f, x=x: [f(iter([(np.zeros(len(x)), x)]))], m, len(x), share, most=64)
+            assert abs(got - np.quantile(x, share)) < 1e-12
