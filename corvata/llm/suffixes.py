@@ -272,17 +272,45 @@ def _finisher(as_text: bool):
     return lambda batches: _finish(batches, as_text)
 
 
+def _merged(found: list | None) -> list[list[int]]:
+    """Spans of one text, those that touch or overlap made one."""
+    out: list[list[int]] = []
+    for s, e in sorted((x["start"], x["end"]) for x in found or ()):
+        if out and s <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], e)
+        else:
+            out.append([s, e])
+    return out
+
+
+def _cut_runs(length: int):
+    """Of runs of repeated shorter strings the text, from a character to a character, where a repeated string of length bytes fits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (p for x in batches for p in pieces(x, "text")):
+            cols: list[list] = [[], [], [], []]
+            for text, key, h, found in zip(batch["text"], batch["key"], batch["hash"], batch["found"], strict=True):
+                data = text.as_py().encode("utf-8", "surrogatepass")
+                for s, e in _merged(found.as_py()):
+                    if e - s < length:
+                        continue
+                    while s > 0 and data[s] & 0xC0 == 0x80:
+                        s -= 1
+                    while e < len(data) and data[e] & 0xC0 == 0x80:
+                        e += 1
+                    for c, x in zip(cols, (key.as_py(), h.as_py(), s, data[s:e].decode("utf-8", "surrogatepass")), strict=True):
+                        c.append(x)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string() if i == 3 else pa.int64()) for i, c in enumerate(cols)], names=["key", "hash", "base", "text"])
+
+    return run
+
+
 def _finish(batches: Iterator[pa.RecordBatch], as_text: bool) -> Iterator[pa.RecordBatch]:
     for batch in (p for x in batches for p in pieces(x, "text")):
         texts, size, gone, spans, sha = [], [], [], [], []
         for t, f in zip(batch["text"], batch["found"], strict=True):
             data = (t.as_py() or "").encode("utf-8", "surrogatepass")
-            removed: list[list[int]] = []
-            for s, e in sorted((x["start"], x["end"]) for x in f.as_py() or ()):
-                if removed and s <= removed[-1][1]:
-                    removed[-1][1] = max(removed[-1][1], e)
-                else:
-                    removed.append([s, e])
+            removed = _merged(f.as_py())
             kept, at = [], 0
             for s, e in removed:
                 kept.append(data[at:s])
@@ -295,20 +323,28 @@ def _finish(batches: Iterator[pa.RecordBatch], as_text: bool) -> Iterator[pa.Rec
             sha.append(hashlib.sha256(left).hexdigest())
         span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         cols = [batch["row"], pa.array(texts, pa.string() if as_text else pa.binary()), pa.array(size, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, span), pa.array(sha, pa.string())]
-        yield pa.RecordBatch.from_arrays(cols, names=["row", "kept", "n_bytes", "n_removed", "removed", "kept_sha256"])
+        names = ["row", "kept", "n_bytes", "n_removed", "removed", "kept_sha256"]
+        if "passages" in batch.schema.names:
+            cols.append(pa.array([sum(e - s for s, e in _merged(f.as_py())) for f in batch["passages"]], pa.int64()))
+            names.append("n_repeated")
+        yield pa.RecordBatch.from_arrays(cols, names=names)
 
 
 def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, seed: int | None = None) -> DataFrame:
     """key, hash (of the row's key and text), start, end: spans whose union is what repeats. length up to 4000."""
     with scratch(docs.sparkSession) as keep:
-        return _repeats(docs, key, text, length, seed, keep)
+        return _repeats(_rows(docs, key, text), length, seed, keep)
 
 
-def _repeats(docs: DataFrame, key: str, text: str, length: int, seed: int | None, keep: list[str]) -> DataFrame:
-    spark = docs.sparkSession
-    seed = seed or min(SEED, max(1, length // 4))
+def _rows(docs: DataFrame, key: str, text: str) -> DataFrame:
     k, t = F.coalesce(F.col(key).cast("long"), F.lit(NULL_KEY)), F.col(text).cast("string")
-    rows = docs.where(F.octet_length(t) >= length).select(k.alias("key"), F.xxhash64(F.col(key).cast("long"), t).alias("hash"), t.alias("text"))
+    return docs.select(k.alias("key"), F.xxhash64(F.col(key).cast("long"), t).alias("hash"), t.alias("text"))
+
+
+def _repeats(rows: DataFrame, length: int, seed: int | None, keep: list[str]) -> DataFrame:
+    spark = rows.sparkSession
+    seed = seed or min(SEED, max(1, length // 4))
+    rows = rows.where(F.octet_length("text") >= length)
     string = Window.partitionBy("one", "two")
     made = rows.mapInArrow(_find_ranges(length, seed), _ROW)
     made = made.withColumn("all", F.sum(F.greatest("n", F.lit(0))).over(string)).withColumn("i", F.row_number().over(string.orderBy("key", "hash", "place")))
@@ -346,10 +382,37 @@ def _repeats(docs: DataFrame, key: str, text: str, length: int, seed: int | None
     return out
 
 
-def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, seed: int | None = None, as_text: bool = False, carry: list[str] | None = None) -> DataFrame:
-    """Columns: row (struct of all columns, or of those in carry), kept (bytes, or as text without characters cut in two), n_bytes, n_removed, removed (byte spans), kept_sha256."""
-    by_doc = repeats(docs, key, text, length, seed).groupBy("key", "hash").agg(F.collect_list(F.struct("start", "end")).alias("found"))
+def _both(rows: DataFrame, length: int, shorter: int, seed: int | None) -> DataFrame:
+    """(key, hash, found, passages): spans of strings of length bytes that repeat, and of shorter ones.
+
+    Whatever repeats at the length lies in runs of what repeats at the shorter one, at each of its places; so only those runs are searched again.
+    """
+    spans = F.collect_list(F.struct("start", "end"))
+    with scratch(rows.sparkSession) as keep:
+        with scratch(rows.sparkSession) as here:
+            passages, at = spool(_repeats(rows.where(F.octet_length("text") >= shorter), shorter, seed, []).groupBy("key", "hash").agg(spans.alias("passages")), "passages")
+            here.append(at)
+            keep.append(at)
+        long = passages.where(F.aggregate("passages", F.lit(0).cast("long"), lambda n, p: n + p["end"] - p["start"]) >= length)
+        cut = rows.join(long.withColumnRenamed("passages", "found"), ["key", "hash"]).select("key", "hash", "text", "found").mapInArrow(_cut_runs(length), "key long, hash long, base long, text string")
+        runs, at = spool(cut.select(F.xxhash64("key", "hash", "base").alias("run"), F.xxhash64(F.lit("second"), "base", "hash", "key").alias("run2"), "*"), "runs")
+        keep.append(at)
+        again = _repeats(runs.select(F.col("run").alias("key"), F.col("run2").alias("hash"), "text"), length, seed, keep).withColumnsRenamed({"key": "run", "hash": "run2"})
+        found = again.join(runs.select("run", "run2", "key", "hash", "base").distinct(), ["run", "run2"]).select("key", "hash", (F.col("start") + F.col("base")).alias("start"), (F.col("end") + F.col("base")).alias("end"))
+    return passages.join(found.groupBy("key", "hash").agg(spans.alias("found")), ["key", "hash"], "left")
+
+
+def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, seed: int | None = None, as_text: bool = False, carry: list[str] | None = None, shorter: int | None = None) -> DataFrame:
+    """Columns: row (struct of all columns, or of those in carry), kept (bytes, or as text without characters cut in two), n_bytes, n_removed, removed (byte spans), kept_sha256.
+
+    With a shorter length also n_repeated: bytes in strings of that many bytes that repeat, which stay unless longer ones cover them.
+    """
+    if shorter is not None and not 0 < shorter <= length:
+        raise ValueError("shorter is more than length")
+    by_doc = repeats(docs, key, text, length, seed).groupBy("key", "hash").agg(F.collect_list(F.struct("start", "end")).alias("found")) if shorter is None else _both(_rows(docs, key, text), length, shorter, seed)
+    more = [] if shorter is None else ["passages"]
     k, t = F.coalesce(F.col(key).cast("long"), F.lit(NULL_KEY)), F.col(text).cast("string")
-    state = docs.select(carried(docs, carry), k.alias("key"), F.xxhash64(F.col(key).cast("long"), t).alias("hash"), t.alias("text")).join(by_doc, ["key", "hash"], "left").select("row", "text", "found")
-    schema = state.select("row", F.lit("" if as_text else b"").alias("kept"), F.lit(0).cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("removed"), F.lit("").alias("kept_sha256")).schema
+    state = docs.select(carried(docs, carry), k.alias("key"), F.xxhash64(F.col(key).cast("long"), t).alias("hash"), t.alias("text")).join(by_doc, ["key", "hash"], "left").select("row", "text", "found", *more)
+    count = [F.lit(0).cast("long").alias("n_repeated") for _ in more]
+    schema = state.select("row", F.lit("" if as_text else b"").alias("kept"), F.lit(0).cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("removed"), F.lit("").alias("kept_sha256"), *count).schema
     return state.mapInArrow(_finisher(as_text), schema)

@@ -51,3 +51,25 @@ def test_against_brute_force(spark, seed, length):
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert suffixes.dedup(df).count() == 0
+
+
+@pytest.mark.parametrize(("seed", "length", "shorter"), [(1, 40, 20), (2, 25, 13), (5, 60, 60)])
+def test_two_lengths_against_brute_force(spark, seed, length, shorter):
+    texts = corpus(seed)
+    rows = [(None if i == 7 else i if i < 64 else i - 54, t) for i, t in enumerate(texts)]
+    got = suffixes.dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), length=length, shorter=shorter).selectExpr("row.doc_id", "row.text", "n_bytes", "n_removed", "size(removed) n", "kept_sha256", "n_repeated").collect()
+    want = Counter((*rows[i], *x, y[1]) for i, (x, y) in enumerate(zip(brute(texts, length), brute(texts, shorter), strict=True)))
+    assert Counter(map(tuple, got)) == want
+
+
+def test_query_tells_of_repeated_passages_under_400_bytes(spark, tmp_path):
+    from corvata.llm import queries
+
+    r = random.Random(9)
+    text = lambda n: " ".join("".join(r.choice("abcdefgh") for _ in range(4)) for _ in range(n))
+    passage = text(51)
+    docs = [(0, f"{text(60)} {passage} {text(30)}"), (1, f"{text(20)} {passage}"), (2, text(150)), (3, None), (4, "")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {x.doc_id: x for x in queries.op1_suffix_dedup(spark, str(tmp_path)).collect()}
+    assert len(passage) == 254 and got[0].n_repeated >= 254 and got[1].n_repeated >= 254
+    assert [got[i].n_repeated for i in (2, 3, 4)] == [0, 0, 0] and not any(x.n_removed for x in got.values())
